@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing, url_filter
+from . import chat_format, decontaminate, exact_dedup, language_model, mixing, near_dedup, pii, quality, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.query,
+    "op2_simhash": near_dedup.query,
+    "op3_pii": pii.query,
+    "op4_language_model": language_model.query,
+    "op5_quality": quality.query,
     "op6_mix_sources": mixing.query,
     "op7_exact_dedup": exact_dedup.query,
     "op8_url_filter": url_filter.query,
     "op9_chat_format": chat_format.query,
+    "op10_decontaminate": decontaminate.query,
 }
 ORACLES = {
     "op6_mix_sources": mixing.ORACLE,
