@@ -85,10 +85,14 @@ def spacing_outliers(ordered: DataFrame, tolerance: float = SPACING_TOLERANCE) -
     one = led.select(*SERIES, "leads", F.explode("all").alias("x")).withColumn("lead", F.coalesce(F.get(F.filter("leads", lambda g: close(g, F.col("x"))), F.lit(0)), F.col("x")))
     sized = one.groupBy(*SERIES, "lead").agg(F.sum("x.n").alias("n"))
     best = sized.groupBy(*SERIES).agg(F.min_by("lead", F.struct((-F.col("n")).alias("n"), "lead.row", "lead.col", "lead.first")).alias("best"))
-    minority = one.join(best, list(SERIES)).filter(F.col("lead") != F.col("best")).select(*SERIES, "best", "lead", F.col("x.row").alias("row"), F.col("x.col").alias("col"), F.col("x._lone").alias("_lone"))
-    text = lambda s: F.concat_ws("\\", s["row"], s["col"])
-    same = [have[c].eqNullSafe(minority[c]) for c in (*SERIES, "row", "col", "_lone")]
-    files = have.join(minority, [have["study"] == minority["study"], have["series"] == minority["series"], *same[2:]]).select(have["study"], have["series"], have["file"], have["ordinal"], text(F.col("lead")).alias("value"), text(F.col("best")).alias("expected_value"), F.col("lead.first").alias("item"))
+    names = (*SERIES, "row", "col", "_lone")
+    lead = lambda k: F.concat_ws("\\", f"{k}.row", f"{k}.col")
+    minority = one.join(best, list(SERIES)).filter(F.col("lead") != F.col("best"))
+    minority = minority.select(F.struct(*SERIES, "x.row", "x.col", "x._lone").alias("_m"), lead("lead").alias("value"), lead("best").alias("expected_value"), F.col("lead.first").alias("item"))
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"_m.{n}"))
+    files = have.select(*names, "file", "ordinal").join(minority, same)
     return _rows(files, 3, KINDS[2], **_kept(*SERIES, "file", "ordinal", "value", "expected_value", "item"))
 
 
