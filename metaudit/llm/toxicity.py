@@ -1,10 +1,10 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features of a text are its distinct words, word pairs and pairs with one word between (letters and digits,
-lower-cased), hashed to 2**bits places. A bounded sample of labelled rows is dealt over a fixed number of
-shards; each shard runs follow-the-regularised-leader with per-coordinate rates and an L1 term, which
-leaves few weights, and the shards' weights are averaged. The table of weights has a fixed size of
-4 * 2**bits bytes and is broadcast; texts are scored whole, a run of documents at a time.
+lower-cased), hashed to 2**bits places. Follow-the-regularised-leader with per-coordinate rates and an L1
+term learns from a bounded sample of labelled rows, in one task or in several whose weights are averaged,
+and leaves few weights. The table of weights has a fixed size of 4 * 2**bits bytes and is broadcast; texts
+are scored whole, a run of documents at a time.
 
 Defined results: a null or empty text has no feature and gets the score of the intercept; labels that are
 null or belong to no document are not used, and of several labels of an id the highest counts; without
@@ -57,8 +57,8 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, size: int, epochs: int, alp
     return np.where(np.abs(z) <= shrink, 0.0, (np.sign(z) * shrink - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, bits: int = BITS, max_rows: int = 16_000, shards: int = 8, epochs: int = 4, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> np.ndarray:
-    """Averaged weights. ``max_rows`` bounds the labelled rows that are learned from, chosen by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, label: str, bits: int = BITS, max_rows: int = 16_000, shards: int = 1, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0) -> np.ndarray:
+    """The weights. ``max_rows`` bounds the labelled rows that are learned from, chosen by a hash of the id. ``l1`` is the strength for 320 toxic rows or more; fewer rows get less in proportion."""
     size = 1 << bits
     known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
@@ -72,16 +72,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str, bits: int = BITS, max_
             owner, at = features(data, offsets, bits)
             pairs = np.unique((owner << bits) | at)
             cuts = np.searchsorted(pairs >> bits, np.arange(last - first + 1))
-            each += [np.append(pairs[a:b] & (size - 1), size) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        w = ftrl(each, rows["y"].to_numpy(float), size, epochs, alpha, beta, l1, l2)
+            each += [np.append(pairs[a:b] & (size - 1), size).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        y = rows["y"].to_numpy(float)
+        w = ftrl(each, y, size, epochs, alpha, beta, l1 * min(1.0, y.sum() / 320), l2)
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": at, "w": w[at]})
 
     learned = sharded.groupBy("shard").applyInPandas(fit, "at long, w double")
-    n = max(1, chosen.count() and sharded.select("shard").distinct().count())
     weights = np.zeros(size + 1, np.float32)
     for row in learned.groupBy("at").agg(F.sum("w").alias("w")).collect():  # 2**bits rows at most, few after L1
-        weights[row["at"]] = row["w"] / n
+        weights[row["at"]] = row["w"] / shards
     return weights
 
 
