@@ -7,12 +7,13 @@ pixel data. A file that cannot be read is a row, never an error of the task.
 from __future__ import annotations
 
 import math
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tags import BINARY_VRS
@@ -154,12 +155,13 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def as_files(files: DataFrame, root: str) -> DataFrame:
-    base = root.rstrip("/").rpartition("/")[2]
-    below = F.substring_index("path", F.lit(f"/{base}/"), -1)
+    folder = re.sub("^[a-z0-9]+:/*", "/", root).rstrip("/")  # as it stands in the files' paths
+    base = folder.rpartition("/")[2]
+    below = F.get(F.split("path", re.escape(f"{folder}/"), 2), F.lit(1))
     return files.select(F.col("path").alias("file"), F.concat(F.lit(f"{base}/"), below).alias("relative_path"), F.col("length").alias("size"), "content")
 
 
-def has_magic(content) -> F.Column:
+def has_magic(content: Column) -> Column:
     """The mark at bytes 128 to 131."""
     return F.coalesce(F.substring(content, 129, 4) == F.lit(b"DICM"), F.lit(False))
 
