@@ -52,13 +52,19 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, at, row): ``at`` is the locator of a row's content, the file and row of the table it is read from; ``row`` has all columns of ``docs``."""
-    own = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*docs.columns).alias("row")]
+def as_table(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is a plain read of a table, whose rows can be found again; else a copy that is."""
     try:
-        return docs.select(*own, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"))
-    except AnalysisException:  # not a plain read of a table: make it one
-        return located(materialise(docs, "arrivals"))
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return materialise(docs, "arrivals")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, at, row) of a table: ``at`` is the locator of a row's content, file and row number; ``row`` has all columns of ``docs``."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*docs.columns).alias("row"), at.alias("at"))
 
 
 def track_digests(spark: SparkSession, arrivals: DataFrame, checkpoint: str, max_bytes_per_trigger: int = 64 << 30) -> DataFrame:
@@ -84,7 +90,7 @@ def track_digests(spark: SparkSession, arrivals: DataFrame, checkpoint: str, max
 def find_copies(docs: DataFrame, digest=sha256_digest) -> DataFrame:
     """(doc_id, at, digest, keep_id, group_size, kept), one row for each row of ``docs``. ``at`` is the row's locator."""
     spark = docs.sparkSession
-    base = located(docs)
+    base = located(as_table(docs))
     text = normalised(text_or_empty())
     rows = base.select("doc_id", "at", digest(text).alias("digest"))
     arrivals = materialise(rows, "digests")
@@ -116,6 +122,7 @@ def _decided(rows: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay."""
+    docs = as_table(docs)
     stay = find_copies(docs, **options).filter("kept").select("at")
     return located(docs).join(stay, "at", "left_semi").select("row.*")
 
