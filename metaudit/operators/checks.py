@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import POSITION_TOLERANCE, SPACING_TOLERANCE, number
+from ..sources.scratch import written
 from .classify import PER_INSTANCE_TAGS
 
 FINDING_FILES = (
@@ -144,8 +145,8 @@ def varying_values(joined: DataFrame, exempt: Sequence[str] = PER_INSTANCE_TAGS)
 
 
 def check_series(files: DataFrame, ordered: DataFrame, findings: DataFrame, exempt: Sequence[str] = PER_INSTANCE_TAGS) -> DataFrame:
-    """All checks. ``files`` are all files read, grouped or not."""
-    joined = series_findings(ordered, findings)
+    """All checks. ``files`` are all files read, grouped or not. Several checks read ``ordered`` and ``findings``: give stored tables."""
+    joined = written(series_findings(ordered, findings), "series-findings")
     parts = [
         position_gaps(ordered), duplicate_positions(ordered), spacing_outliers(ordered), orientation_mix(ordered), mixed_modality_series(ordered),
         varying_values(joined, exempt), extra_fields(joined), shared_series(ordered), mixed_modality_folder(files),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, geometry, tags, voi
 from ..operators import checks, classify, pixels, series, summary, wording
+from ..sources.scratch import written
 from . import bindings as b
 
 _EXACT = ["check_no", "kind", "scope", "study", "series", "path", "item", "file", "ordinal", "value", "expected_value"]
@@ -20,6 +21,13 @@ def _line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.classify(b.line_attributes(spark, sf_dir), *b.profile(spark))
 
 
+def _all_checks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ordered, findings, finding rows) of the lineitem binding; what several checks read is written once."""
+    ordered = written(b.line_series(spark, sf_dir), "ordered")
+    findings = written(_line_findings(spark, sf_dir), "findings")
+    return ordered, findings, checks.check_series(ordered, ordered, findings)
+
+
 def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     hexes = F.format_string("%08x", "l_partkey")
     high, low = F.substring(hexes, 1, 4), F.substring(hexes, 5, 4)
@@ -120,12 +128,12 @@ def varying_value(spark, sf_dir):
 
 
 def check_series(spark, sf_dir):
-    return _shown(checks.check_series(b.line_files(spark, sf_dir), b.line_series(spark, sf_dir), _line_findings(spark, sf_dir)))
+    return _shown(_all_checks(spark, sf_dir)[2])
 
 
 def finding_text(spark, sf_dir):
-    rows = checks.check_series(b.line_files(spark, sf_dir), b.line_series(spark, sf_dir), _line_findings(spark, sf_dir))
-    sizes = b.line_files(spark, sf_dir).groupBy("study", "series").agg(F.count("*").alias("n_files"))
+    ordered, _, rows = _all_checks(spark, sf_dir)
+    sizes = ordered.groupBy("study", "series").agg(F.count("*").alias("n_files"))
     names = spark.createDataFrame([("00081030", "Study Description"), ("00100010", "Patient's Name")], "tag string, name string")
     return wording.finding_words(wording.finding_facts(rows, sizes, names)).select("check_no", "study", "series", "path", "item", "n_files", "text")
 
@@ -156,8 +164,8 @@ def file_summary(spark, sf_dir):
 
 
 def headline(spark, sf_dir):
-    files, ordered, found = b.line_files(spark, sf_dir), b.line_series(spark, sf_dir), _line_findings(spark, sf_dir)
-    counts = files.agg(F.count("*").alias("files"), F.count_distinct("study", "series").alias("series")).crossJoin(classify.identifying(found).agg(F.count_distinct("path").alias("fields"))).crossJoin(summary.finding_counts(checks.check_series(files, ordered, found)))
+    ordered, found, rows = _all_checks(spark, sf_dir)
+    counts = ordered.agg(F.count("*").alias("files"), F.count_distinct("study", "series").alias("series")).crossJoin(classify.identifying(found).agg(F.count_distinct("path").alias("fields"))).crossJoin(summary.finding_counts(rows))
     return summary.headline(counts)
 
 
