@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import tokens as tk
 from .common import crc_mod, materialise, table
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text, and as a context for its beginning
 #: Parts of an octave in which estimates are told apart for the mixture weights, and their range.
 FINE, OCTAVES = 8, 64
@@ -72,6 +72,16 @@ def pairs(lengths: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context, tk.combine(context, h, 3)
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in 4 bytes each where they fit, else 8; the first byte says which."""
+    width = 4 if counts.max(initial=0) < 1 << 32 else 8
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
 def bucket_edges(buckets: int) -> np.ndarray:
     return (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
 
@@ -103,9 +113,9 @@ def answered(questions: DataFrame) -> DataFrame:
         keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
         own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(inverse, np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]]), len(own)).astype(np.int64)
-        back = np.split(totals[inverse].astype(np.uint64), np.cumsum([len(k) for k in keys])[:-1])
+        back = np.split(totals[inverse], np.cumsum([len(k) for k in keys])[:-1])
         own_row = {"kind": rows["kind"].iloc[0], "bucket": rows["bucket"].iloc[0]}
-        out = [own_row | {"chunk": c, "totals": b.tobytes(), "different": None, "total": None} for c, b in zip(rows["chunk"], back, strict=True)]
+        out = [own_row | {"chunk": c, "totals": _narrow(b), "different": None, "total": None} for c, b in zip(rows["chunk"], back, strict=True)]
         out.append(own_row | {"chunk": None, "totals": None, "different": int((totals > 0).sum()), "total": int(totals.sum())})
         return pd.DataFrame(out).astype({"chunk": "Int64", "different": "Int64", "total": "Int64"})
 
@@ -141,7 +151,7 @@ def events(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     context, both = pairs(lengths, h)
     totals = {1: [], 2: []}
     for a in sorted(row["answers"], key=lambda a: (a["kind"], a["bucket"])):
-        totals[a["kind"]].append(np.frombuffer(a["totals"], np.uint64))
+        totals[a["kind"]].append(_wide(a["totals"]))
     words, joint = (np.concatenate(totals[k]).astype(np.int64) for k in (1, 2))
     distinct, inverse = np.unique(both, return_inverse=True)
     if len(words) != n or len(joint) != len(distinct):
