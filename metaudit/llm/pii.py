@@ -1,18 +1,18 @@
 """Personal data: base patterns, and information-theoretic sanitisation (native: DataFrame functions only).
 
 Base spans are emails, ip addresses, card and phone numbers. Their values are the protected entities.
-Terms within ``reach`` words of an entity are candidates; over all distinct documents of the corpus, the
+Terms within ``reach`` words of an entity are candidates; over all documents of the corpus, the
 pointwise mutual information of term and entity, divided by the entity's information content, estimates
 how much of the entity the term reveals (1: the term occurs with that entity alone). Terms that occur with
-an entity in at least ``support`` distinct documents and reach the lower threshold are generalised there,
+an entity in at least ``support`` different texts and reach the lower threshold are generalised there,
 those that reach the upper one are removed.
 
 Candidates are the words around base spans, so their number follows the number of spans; document
 frequencies count every word of every document.
 
-Defined results: a null text is empty; documents without base spans get none from the method; equal texts
-count as one document in the statistics; rows that repeat are rows of their own; an empty table gives an
-empty result; extra columns are ignored, whatever their names.
+Defined results: a null text is empty; documents without base spans get none from the method; rows that
+repeat are rows of their own, and only the support counts equal texts once; an empty table gives an empty
+result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -111,13 +111,12 @@ def candidates(found: DataFrame, reach: int) -> DataFrame:
 
 def disclosure(docs: DataFrame, found: DataFrame, around: DataFrame, support: int) -> DataFrame:
     """(entity, term, reveals): share of the entity's information that the term gives away, for pairs with enough support."""
-    digest = lambda: F.xxhash64(text_or_empty())
-    pairs = around.groupBy("entity", "term").agg(F.count_distinct("digest").alias("n_ct")).filter(F.col("n_ct") >= support)
-    pairs = materialise(pairs, "pairs")
-    words = docs.select(digest().alias("digest"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count_distinct("digest").alias("n_t"))
-    n_c = around.groupBy("entity").agg(F.count_distinct("digest").alias("n_c"))
-    total = docs.select(digest().alias("digest")).agg(F.count_distinct("digest").alias("total"))
+    pairs = around.groupBy("entity", "term").agg(F.count_distinct("uid").alias("n_ct"), F.count_distinct("digest").alias("texts")).filter(F.col("texts") >= support)
+    pairs = materialise(pairs.drop("texts"), "pairs")
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
+    n_t = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_c = around.groupBy("entity").agg(F.count_distinct("uid").alias("n_c"))
+    total = found.agg(F.count("*").alias("total"))
     stats = pairs.join(n_t, "term").join(n_c, "entity").crossJoin(total)  # with one row
     reveals = F.log2(F.col("n_ct") * F.col("total") / (F.col("n_c") * F.col("n_t"))) / F.log2(F.col("total") / F.col("n_c"))
     return stats.filter("n_c < total").select("entity", "term", reveals.alias("reveals"))
