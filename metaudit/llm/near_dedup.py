@@ -172,23 +172,35 @@ def connect(edges: DataFrame, label: str = "stars") -> DataFrame:
         state = materialise(small, label)
 
 
-def find_groups(docs: DataFrame, keep: list[str] = (), radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp, component_id, row): one row a document; ``row`` has the columns ``keep``."""
-    signed = materialise(fingerprints(docs, keep, shingle, seed), "signed")
+def _sign(docs: DataFrame, keep: list[str], shingle: int, seed: int) -> DataFrame:
+    """(uid, doc_id, fp, row), written: texts are read once."""
+    signed = fingerprints(docs, keep, shingle, seed)
+    return materialise(signed.withColumn("uid", F.monotonically_increasing_id()), "signed")
+
+
+def _group(signed: DataFrame, radius: int) -> DataFrame:
+    """(uid, doc_id, fp, component_id) of signed rows."""
     prints = materialise(signed.groupBy("fp").agg(F.min("doc_id").alias("low")), "prints")
     roots = connect(links(prints, radius))
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root")).distinct()
     lows = members.join(prints, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("low").alias("component"))
     linked = members.join(lows, "root").select(F.col("node").alias("fp"), "component")
     named = prints.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"))
-    return signed.join(named, "fp").select("doc_id", "fp", "component_id", "row")
+    return signed.select("uid", "doc_id", "fp").join(named, "fp").select("uid", "doc_id", "fp", "component_id")
+
+
+def find_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """(doc_id, fp, component_id): one row a document."""
+    return _group(_sign(docs, [], shingle, seed), radius).drop("uid")
 
 
-def drop_near_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_near_copies(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """One row of each group stays: the one with the smallest id. Of rows that share it, one; rows without an id only give way to rows with one."""
-    found = find_groups(docs, keep=docs.columns, **options)
-    best = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return best.withColumn("key", F.coalesce(F.col("component_id"), F.col("fp"))).dropDuplicates(["component_id", "key"]).select("row.*")
+    signed = _sign(docs, docs.columns, shingle, seed)
+    best = _group(signed, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    key = F.when(F.col("component_id").isNull(), F.col("fp"))
+    stay = best.groupBy("component_id", key.alias("key")).agg(F.min("uid").alias("uid")).select("uid")
+    return signed.join(stay, "uid", "left_semi").select("row.*")
 
 
 def query(spark, sf_dir):
