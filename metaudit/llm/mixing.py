@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import count_words, text_or_empty
+from .common import count_words, materialise, text_or_empty
 
 
 def _hex8(text: Column) -> Column:
@@ -63,6 +63,7 @@ def plan_copies(
         count_words(text_or_empty()).alias("size"),
         F.struct(*[F.col(c) for c in keep]).alias("row") if keep else F.lit(None).cast("int").alias("row"),
     ).withColumn("octave", F.length(F.bin("size")))
+    rows = materialise(rows, "sized")  # texts are read once; the steps below read sizes and sources only
     octaves = rows.groupBy("source", "octave").agg(F.count("*").alias("octave_rows"), F.sum("size").alias("octave_size"))
     targets = source_targets(octaves.groupBy("source").agg(F.sum("octave_size").alias("source_size")), weights, max_factor)
     salts = octaves.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).select(
@@ -73,12 +74,7 @@ def plan_copies(
         .withColumn("salt", F.pmod(F.coalesce(_hex8(F.col("doc_id").cast("string")), F.lit(0)), F.col("salts")))
         .drop("s", "o", "salts")
     )
-    counts = (
-        rows.join(salts, F.col("source").eqNullSafe(F.col("s")) & (F.col("octave") == F.col("o")))
-        .withColumn("salt", F.pmod(F.coalesce(_hex8(F.col("doc_id").cast("string")), F.lit(0)), F.col("salts")))
-        .groupBy("source", "octave", "salt")
-        .agg(F.count("*").alias("n"))
-    )
+    counts = salted.groupBy("source", "octave", "salt").agg(F.count("*").alias("n"))
     along = Window.partitionBy("source").orderBy("octave", "salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(F.col("source").alias("s"), F.col("octave").alias("o"), F.col("salt").alias("b"), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("start"))
     block = Window.partitionBy("source", "octave", "salt").orderBy("size", F.col("doc_id").asc_nulls_first())
