@@ -7,7 +7,8 @@ stand for one value in the document; then different values are a re-parameterise
 leaks an item if it holds at least 0.8 of the item's windows.
 
 Before that, documents that cannot leak are set aside without loss: who holds 0.8 of an item's windows
-holds one of any set of more than 0.2 of them, so it has the longest word of one window of such a set.
+holds one of any set of more than 0.2 of them, so it has all literal words of one window of such a set,
+the longest one (its anchor) among them.
 
 Defined results: a null or empty text has no tokens and leaks nothing; an item without tokens never
 matches; an item of fewer than five tokens is one window of its length; rows that repeat are rows of their
@@ -28,44 +29,48 @@ UNITS = (
 ).split()
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 WINDOW, SHARE, LITERALS = 5, 0.8, 2
-#: Anchor words are shipped to every task up to this many; beyond it all documents are compared in full.
-MOST_ANCHORS = 200_000
+#: Anchor windows are shipped to every task up to this many (a few MB); beyond it all documents are compared in full.
+MOST_ANCHORS = 50_000
+
+
+_STOP = "\u0001"
+_INNER = r"\x20\x09-\x0D"
 
 
 def tokens(text: Column) -> Column:
-    """array<struct<token, value>>: ``value`` is what a placeholder stands for, else null."""
-    words = F.filter(F.split(text, SPACE), lambda w: w != "")
-    stops = F.transform(words, lambda w: F.rlike(w, F.lit(r"[.!?:][^\p{L}\p{N}]*$")))
-    cores = F.transform(words, lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    """array<struct<token, value>>: ``value`` is what a placeholder stands for, else null.
+
+    Punctuation is handled in the whole text at once: stops at the end of a word become one mark, other outer
+    punctuation goes. A word after a mark, or the first one, starts a sentence."""
+    marked = F.regexp_replace(F.translate(text, _STOP, "\u0002"), rf"[.!?:][^\p{{L}}\p{{N}}{_INNER}]*(?![^{_INNER}])", _STOP)
+    bare = F.regexp_replace(marked, rf"(?<![^{_INNER}])[^\p{{L}}\p{{N}}{_STOP}{_INNER}]+|[^\p{{L}}\p{{N}}{_STOP}{_INNER}]+(?![^{_STOP}{_INNER}])", "")
+    words = F.filter(F.split(bare, SPACE), lambda w: w != "")
+    stops = F.transform(words, lambda w: F.endswith(w, F.lit(_STOP)))
     # Each word beside whether the one before it ends a sentence; the longer array's last entry has no word.
-    ahead = F.zip_with(cores, F.concat(F.array(F.lit(True)), stops), lambda c, s: F.struct(c.alias("core"), s.alias("starts")))
+    ahead = F.zip_with(words, F.concat(F.array(F.lit(True)), stops), lambda w, s: F.struct(F.translate(w, _STOP, "").alias("core"), s.alias("starts")))
 
     def token(c: Column) -> Column:
         core, low = c["core"], F.lower(c["core"])
         kind = (
-            F.when(F.rlike(core, F.lit(r"^[0-9]+([.,:/][0-9]+)*$")), F.lit(NUMBER))
+            F.when((core >= "0") & (core < ":") & F.rlike(core, F.lit(r"^[0-9]+([.,:/][0-9]+)*$")), F.lit(NUMBER))
             .when(low.isin(UNITS), F.lit(UNIT))
-            .when(~c["starts"] & F.rlike(core, F.lit(r"^\p{Lu}\p{L}*\p{Ll}")), F.lit(NAME))
+            .when(~c["starts"] & (core != low) & F.rlike(core, F.lit(r"^\p{Lu}\p{L}*\p{Ll}")), F.lit(NAME))
         )
         return F.struct(F.coalesce(kind, low).alias("token"), F.when(kind.isNotNull(), low).alias("value"))
 
-    return F.transform(F.filter(ahead, lambda c: c["core"] != ""), token)
+    return F.transform(F.filter(ahead, lambda c: F.coalesce(c["core"], F.lit("")) != ""), token)
 
 
-def windows(t: Column, size: int) -> Column:
-    """array<struct<at, key, slots>> of all windows of ``size`` tokens with enough literal words; slots are "offset:value" texts."""
-    starts = F.when(F.size(t) >= size, F.sequence(F.lit(0), F.size(t) - size)).otherwise(F.array().cast("array<int>"))
+def windows(size: int) -> Column:
+    """array<struct<at, key, slots>> of all windows of ``size`` tokens of the columns ``tok`` and ``val``; slots are joined by spaces, empty for literal words."""
+    starts = F.when(F.size("tok") >= size, F.sequence(F.lit(0), F.size("tok") - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("tok", i + 1, size), " ").alias("key"), F.array_join(F.slice("val", i + 1, size), " ", "").alias("slots")))
 
-    def one(i: Column) -> Column:
-        part = F.slice(t, i + 1, size)
-        return F.struct(
-            i.alias("at"),
-            F.array_join(F.transform(part, lambda x: x["token"]), " ").alias("key"),
-            F.transform(part, lambda x: x["value"]).alias("slots"),
-            F.size(F.filter(part, lambda x: x["value"].isNull())).alias("literals"),
-        )
 
-    return F.filter(F.transform(starts, one), lambda w: w["literals"] >= min(LITERALS, size))
+def tokenised(rows: DataFrame, key: str, label: str) -> DataFrame:
+    """(key, tok, val), written: what reads windows would otherwise make the tokens anew for each."""
+    made = rows.select(F.col(key).alias(key), tokens(text_or_empty()).alias("t"))
+    return materialise(made.select(key, F.transform("t", lambda t: t["token"]).alias("tok"), F.transform("t", lambda t: t["value"]).alias("val")), label)
 
 
 def _plain_words(text: Column) -> Column:
@@ -73,54 +78,60 @@ def _plain_words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(item_id, size, n, at, key, slots) of all items, written; and the window sizes in use, five at most."""
-    items = materialise(benchmark.select(F.col("item_id").alias("item_id"), tokens(text_or_empty()).alias("t")), "item-tokens").filter(F.size("t") > 0)
-    parts = [items.filter(F.size("t") >= WINDOW).select("item_id", F.lit(WINDOW).alias("size"), windows(F.col("t"), WINDOW).alias("w"))]
-    parts += [items.filter(F.size("t") == k).select("item_id", F.lit(k).alias("size"), windows(F.col("t"), k).alias("w")) for k in range(1, WINDOW)]
+    """(item_id, size, n, at, key, slots) of all items' windows with enough literal words, written; and the window sizes in use, five at most."""
+    items = tokenised(benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")), "item_id", "item-tokens").filter(F.size("tok") > 0)
+    parts = [items.filter(F.size("tok") >= WINDOW).select("item_id", F.lit(WINDOW).alias("size"), windows(WINDOW).alias("w"))]
+    parts += [items.filter(F.size("tok") == k).select("item_id", F.lit(k).alias("size"), windows(k).alias("w")) for k in range(1, WINDOW)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    keys = F.size(F.array_distinct(F.transform("w", lambda w: w["key"])))
-    found = materialise(every.select("item_id", "size", keys.alias("n"), F.explode("w").alias("w")).select("item_id", "size", "n", "w.at", "w.key", "w.slots"), "items")
+    literal = F.size(F.filter(F.split("w.slots", " "), lambda v: v == ""))
+    rows = every.select("item_id", "size", F.explode("w").alias("w")).filter(literal >= F.least(F.lit(LITERALS), F.col("size"))).select("item_id", "size", "w.*")
+    counts = rows.groupBy("item_id").agg(F.count_distinct("key").alias("n"))
+    found = materialise(rows.join(counts, "item_id"), "items")
     return found, [r[0] for r in found.select("size").distinct().collect()]  # of 1 to 5
 
 
 def anchors(items: DataFrame) -> DataFrame:
-    """(word): for each item, the longest words of as many windows as a leaking document cannot all miss."""
+    """(anchor, words): of each item as many windows as a leaking document cannot all miss, those with the longest words."""
     keys = items.select("item_id", "n", "key").distinct()
     literal = F.filter(F.split("key", " "), lambda w: ~w.isin(NUMBER, UNIT, NAME))
-    pieces = F.filter(F.flatten(F.transform(literal, _plain_words)), lambda w: w != "")
-    longest = F.array_max(F.transform(pieces, lambda w: F.struct(F.length(w).alias("l"), w.alias("w"))))
+    words = F.array_distinct(F.filter(F.flatten(F.transform(literal, _plain_words)), lambda w: w != ""))
+    sized = keys.select("item_id", "n", words.alias("words")).select("item_id", "n", "words", F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("l"), w.alias("w")))).alias("longest"))
     needed = F.floor(F.col("n") * (1 - SHARE) + 1e-9) + 1
-    ranked = keys.withColumn("longest", longest).groupBy("item_id", "n").agg(F.reverse(F.array_sort(F.collect_list("longest"))).alias("l"))
-    return ranked.select(F.explode(F.slice("l", F.lit(1), needed.cast("int"))).alias("l")).select(F.col("l.w").alias("word")).distinct()
+    ranked = sized.groupBy("item_id", "n").agg(F.reverse(F.array_sort(F.collect_list(F.struct("longest", "words")))).alias("l"))
+    return ranked.select(F.explode(F.slice("l", F.lit(1), needed.cast("int"))).alias("l")).select(F.col("l.longest.w").alias("anchor"), F.col("l.words").alias("words")).distinct()
 
 
 def compare(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(suspects, leaks, others): suspects (uid, doc_id, row), written; leaks (uid, item_id, matched, windows), written; and the rows that cannot leak."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), text_or_empty().alias("text"), F.struct(*docs.columns).alias("row"))
     items, sizes = item_windows(benchmark)
-    words = anchors(items).agg(F.collect_list("word").alias("anchors"), F.count("*").alias("n"))
-    words = materialise(words.withColumn("anchors", F.when(F.col("n") <= MOST_ANCHORS, F.col("anchors"))), "anchors")
-    may_leak = F.coalesce(F.arrays_overlap(_plain_words(F.col("text")), F.col("anchors")), F.lit(True))
-    tried = rows.crossJoin(F.broadcast(words.select("anchors"))).withColumn("may_leak", may_leak)  # one row of bounded size
-    suspects = materialise(tried.filter("may_leak").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "row"), "suspects")
-    found = materialise(suspects.select("uid", tokens(F.col("text")).alias("t")), "suspect-tokens")  # else each window would make the tokens anew
+    windows_of = anchors(items)
+    one = windows_of.agg(F.when(F.count("*") <= MOST_ANCHORS, F.collect_set("anchor")).alias("anchors"))
+    one = materialise(one, "anchors")
+    has_anchor = F.coalesce(F.arrays_overlap(_plain_words(F.col("text")), F.col("anchors")), F.lit(True))
+    tried = rows.crossJoin(F.broadcast(one)).withColumn("has_anchor", has_anchor)  # one row of bounded size
+    others = tried.filter("NOT has_anchor").select("row")
+    suspects = materialise(tried.filter("has_anchor").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "row", F.col("anchors").isNotNull().alias("sifted")), "suspects")
+    # Of those, the ones that have all words of a window whose anchor they have.
+    met = suspects.filter("sifted").crossJoin(F.broadcast(one)).select("uid", _plain_words(F.col("text")).alias("words"), "anchors").select("uid", "words", F.explode(F.array_intersect("words", "anchors")).alias("anchor"))
+    close = met.join(windows_of.withColumnRenamed("words", "needed"), "anchor").filter(F.size(F.array_except("needed", "words")) == 0).select("uid").distinct()
+    close = close.unionByName(suspects.filter("NOT sifted").select("uid"))
+    found = tokenised(suspects.select("uid", "text").join(close, "uid", "left_semi"), "uid", "suspect-tokens")
     held = None
     for size in sizes:
-        part = found.select("uid", F.explode(windows(F.col("t"), size)).alias("w")).select("uid", F.lit(size).alias("size"), F.col("w.at").alias("d_at"), F.col("w.key").alias("key"), F.col("w.slots").alias("d_slots"))
+        part = found.select("uid", F.lit(size).alias("size"), F.explode(windows(size)).alias("w")).select("uid", "size", F.col("w.at").alias("d_at"), F.col("w.key").alias("key"), F.col("w.slots").alias("d_slots"))
         held = part if held is None else held.unionByName(part)
-    schema = "uid bigint, item_id bigint, matched bigint, windows bigint"
     if held is None:
-        leaks = docs.sparkSession.createDataFrame([], schema)
-        return suspects, leaks, tried.filter("NOT may_leak").select("row")
-    met = held.join(items, ["size", "key"]).select("uid", "item_id", "n", "key", (F.col("d_at") - F.col("at")).alias("shift"), F.arrays_zip(F.col("slots").alias("i"), F.col("d_slots").alias("d")).alias("slots"))
+        return suspects, docs.sparkSession.createDataFrame([], "uid bigint, item_id bigint, matched bigint, windows bigint"), others
+    values = lambda c: F.transform(F.split(c, " "), lambda v: F.when(v != "", v))
+    met = held.join(items, ["size", "key"]).select("uid", "item_id", "n", "key", (F.col("d_at") - F.col("at")).alias("shift"), F.arrays_zip(values("slots").alias("i"), values("d_slots").alias("d")).alias("slots"))
     met = materialise(met, "met")
     slots = met.select("uid", "item_id", "shift", F.explode("slots").alias("s")).filter("s.i IS NOT NULL").groupBy("uid", "item_id", "shift", "s.i").agg((F.min("s.d") != F.max("s.d")).alias("bad"))
     bad = slots.filter("bad").select("uid", "item_id", "shift").distinct()
     whole = met.join(bad, ["uid", "item_id", "shift"], "left_anti").groupBy("uid", "item_id").agg(F.count_distinct("key").alias("matched"), F.max("n").cast("bigint").alias("windows"))
-    leaks = materialise(whole.filter(F.col("matched") >= SHARE * F.col("windows") - 1e-9), "leaks")
-    return suspects, leaks, tried.filter("NOT may_leak").select("row")
+    return suspects, materialise(whole.filter(F.col("matched") >= SHARE * F.col("windows") - 1e-9), "leaks"), others
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -138,3 +149,28 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir):
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+#: The same in SQL, for items of five tokens or more. ``matched`` counts different windows on consistent alignments.
+_SQL_TOKENS = r"""
+{x}1 AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM ({source}))),
+{x}0 AS (SELECT id, i, regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS core, regexp_matches(w, '[.!?:][^\p{{L}}\p{{N}}]*$') AS stops FROM {x}1),
+{x}2 AS (SELECT id, i, core, coalesce(lag(stops) OVER (PARTITION BY id ORDER BY i), TRUE) AS starts FROM {x}0 WHERE core <> '' OR stops),
+{x}3 AS (SELECT id, i, lower(core) AS low, CASE WHEN regexp_matches(core, '^[0-9]+([.,:/][0-9]+)*$') THEN '<num>' WHEN lower(core) IN ({units}) THEN '<unit>' WHEN NOT starts AND regexp_matches(core, '^\p{{Lu}}\p{{L}}*\p{{Ll}}') THEN '<name>' END AS kind FROM {x}2 WHERE core <> ''),
+{x}4 AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS p, coalesce(kind, low) AS t, CASE WHEN kind IS NOT NULL THEN low END AS v FROM {x}3),
+{x}5 AS (SELECT id, p, concat_ws(' ', t, lead(t, 1) OVER k, lead(t, 2) OVER k, lead(t, 3) OVER k, lead(t, 4) OVER k) AS key, [v, lead(v, 1) OVER k, lead(v, 2) OVER k, lead(v, 3) OVER k, lead(v, 4) OVER k] AS slots,
+               count(*) OVER (PARTITION BY id) AS n FROM {x}4 WINDOW k AS (PARTITION BY id ORDER BY p)),
+{x} AS (SELECT id, p, key, slots FROM {x}5 WHERE p + 4 <= n AND len(list_filter(slots, lambda s: s IS NULL)) >= 2)"""
+_UNITS_SQL = ", ".join(f"'{u}'" for u in UNITS)
+ORACLE = (
+    "WITH u AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents),"
+    + _SQL_TOKENS.format(x="d", source="SELECT id, text FROM u", units=_UNITS_SQL)
+    + ","
+    + _SQL_TOKENS.format(x="b", source="SELECT item_id AS id, text FROM benchmark", units=_UNITS_SQL)
+    + """,
+n AS (SELECT id, count(DISTINCT key) AS windows FROM b GROUP BY id),
+m AS (SELECT d.id, b.id AS item_id, d.key, d.p - b.p AS shift, unnest(b.slots) AS item_value, unnest(d.slots) AS doc_value FROM d JOIN b ON d.key = b.key),
+x AS (SELECT DISTINCT id, item_id, shift FROM (SELECT id, item_id, shift, item_value FROM m WHERE item_value IS NOT NULL GROUP BY ALL HAVING min(doc_value) <> max(doc_value))),
+l AS (SELECT id, item_id, count(DISTINCT key) AS matched FROM m ANTI JOIN x USING (id, item_id, shift) GROUP BY ALL)
+SELECT doc_id, item_id, matched, windows, round(matched / windows, 6) AS share FROM l JOIN n ON l.item_id = n.id JOIN u ON u.id = l.id WHERE matched >= 0.8::DOUBLE * windows - 1e-9"""
+)

@@ -20,4 +20,5 @@ ORACLES = {
     "op6_mix_sources": mixing.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
+    "op10_decontaminate": decontaminate.ORACLE,
 }
