@@ -1,17 +1,19 @@
 """Personal data: base patterns, and information-theoretic sanitisation (native: DataFrame functions only).
 
-Base spans are emails, ip addresses, card and phone numbers. Their values are the protected entities.
-Terms within ``reach`` words of an entity are candidates; over all documents of the corpus, the
+Base spans are emails, ip addresses, card and phone numbers. Their values are the protected entities, and
+so are the parts that several values share: a mail domain, the first three numbers of an ip address, the
+first six digits of a card, the first four of a phone. Terms within ``reach`` words of an entity are candidates; over all documents of the corpus, the
 pointwise mutual information of term and entity, divided by the entity's information content, estimates
-how much of the entity the term reveals (1: the term occurs with that entity alone). Terms that occur with
-an entity in at least ``support`` different texts and reach the lower threshold are generalised there,
-those that reach the upper one are removed.
+how much of the entity the term reveals (1: the term occurs with that entity alone). The entity's
+probability given the term is smoothed: ``support`` documents in which the term says nothing about the
+entity are added to those seen, so a pair that was seen once counts, but for less than one seen often.
+Terms that reach the lower threshold are generalised there, those that reach the upper one are removed.
 
 Candidates are the words around base spans, so their number follows the number of spans; document
 frequencies count every word of every document.
 
 Defined results: a null text is empty; documents without base spans get none from the method; rows that
-repeat are rows of their own, and only the support counts equal texts once; an empty table gives an empty
+repeat are rows of their own, in the counts too; an empty table gives an empty
 result; extra columns are ignored, whatever their names.
 """
 
@@ -92,33 +94,42 @@ def _context(text: Column, reach: int) -> str:
     return rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{0,{reach - 1}}}+[^\x20\x09-\x0D]*"
 
 
+def entities(span: Column) -> Column:
+    """The protected value of a base span and the part of it that other values may share."""
+    kind, digits = span["kind"], _digits(span["value"])
+    value = F.when(kind <= 1, F.lower(span["value"])).otherwise(digits)
+    part = F.when(kind == 0, F.substring_index(value, "@", -1)).when(kind == 1, F.substring_index(value, ".", 3)).when(kind == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    return F.array(F.concat_ws(":", kind, value), F.concat_ws(":", kind, F.lit("part"), part))
+
+
 def candidates(found: DataFrame, reach: int) -> DataFrame:
-    """(uid, digest, entity, term, start, end) of the words around each base span of (uid, digest, text, base)."""
+    """(uid, entity, term, start, end) of the words around each base span of (uid, text, base)."""
     near = _context(F.col("text"), reach)
-    spans = found.select("uid", "digest", "text", "base", F.explode("base").alias("s")).select(
-        "uid", "digest", "base",
-        F.concat_ws(":", F.col("s.kind"), F.when(F.col("s.kind") <= 1, F.lower("s.value")).otherwise(_digits(F.col("s.value")))).alias("entity"),
+    spans = found.select("uid", "text", "base", F.explode("base").alias("s")).select(
+        "uid", "base",
+        entities(F.col("s")).alias("entities"),
         F.reverse(F.regexp_extract(F.reverse(F.substring(F.col("text"), F.lit(1), F.col("s.start").cast("int"))), near, 0)).alias("left"),
         F.regexp_extract(F.substr(F.col("text"), (F.col("s.end") + 1).cast("int")), near, 0).alias("right"),
         F.col("s.start").alias("begin"), F.col("s.end").alias("stop"),
     )
     move = lambda side, by: F.transform(matches(F.col(side), TERM), lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value")))
     both = F.concat(move("left", F.col("begin") - F.length("left")), move("right", F.col("stop")))
-    words = spans.select("uid", "digest", "entity", "base", F.explode(both).alias("w"))
+    words = spans.select("uid", "entities", "base", F.explode(both).alias("w"))
     free = ~F.exists("base", lambda b: (b["start"] < F.col("w.end")) & (F.col("w.start") < b["end"]))
-    return words.filter(free).select("uid", "digest", "entity", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).distinct()
+    return words.filter(free).select("uid", F.explode("entities").alias("entity"), F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).distinct()
 
 
 def disclosure(docs: DataFrame, found: DataFrame, around: DataFrame, support: int) -> DataFrame:
-    """(entity, term, reveals): share of the entity's information that the term gives away, for pairs with enough support."""
-    pairs = around.groupBy("entity", "term").agg(F.count_distinct("uid").alias("n_ct"), F.count_distinct("digest").alias("texts")).filter(F.col("texts") >= support)
-    pairs = materialise(pairs.drop("texts"), "pairs")
+    """(entity, term, reveals): share of the entity's information that the term gives away, of all pairs."""
+    pairs = around.groupBy("entity", "term").agg(F.count_distinct("uid").alias("n_ct"))
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))  # added up before the shuffle
     n_c = around.groupBy("entity").agg(F.count_distinct("uid").alias("n_c"))
     total = found.agg(F.count("*").alias("total"))
     stats = pairs.join(n_t, "term").join(n_c, "entity").crossJoin(total)  # with one row
-    reveals = F.log2(F.col("n_ct") * F.col("total") / (F.col("n_c") * F.col("n_t"))) / F.log2(F.col("total") / F.col("n_c"))
+    usual = F.col("n_c") / F.col("total")
+    given = (F.col("n_ct") + support * usual) / (F.col("n_t") + support)
+    reveals = F.log2(given / usual) / -F.log2(usual)
     return stats.filter("n_c < total").select("entity", "term", reveals.alias("reveals"))
 
 
@@ -127,8 +138,8 @@ def find_personal_data(docs: DataFrame, reach: int = 10, support: int = 3, gener
     rows = docs.select(F.col("doc_id").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     found = F.size("base") > 0
-    rows = materialise(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.when(found, F.xxhash64("text")).alias("digest"), F.when(found, F.col("text")).alias("text"), "base"), "personal")
-    around = materialise(candidates(rows.filter("digest IS NOT NULL"), reach), "around")
+    rows = materialise(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.when(found, F.col("text")).alias("text"), "base"), "personal")
+    around = materialise(candidates(rows.filter("text IS NOT NULL"), reach), "around")
     revealing = disclosure(docs, rows, around, support).filter(F.col("reveals") >= generalise_at)
     kind = F.when(F.max("reveals") >= remove_at, F.lit(5)).otherwise(F.lit(4))
     spans = around.join(revealing, ["entity", "term"]).groupBy("uid", "start", "end").agg(kind.alias("kind"))

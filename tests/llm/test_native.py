@@ -191,6 +191,14 @@ def test_revealing_terms(spark):
     assert got[101]["text"] == "text 1 that someone wrote about work, mail [EMAIL]"
 
 
+def test_entities_of_one_text_and_parts_of_many(spark):
+    """A name beside an address that occurs once counts, less than one that comes with all addresses of a domain."""
+    rows = [(0, "ask Zorblax at boss@corp.com about work")] + [(k, f"ask Umbrella staff at u{k}@umbrella.org about work") for k in range(1, 41)] + [(k, "ask them about work at any time, staff") for k in range(41, 3000)]
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    marked = lambda k: [(rows[k][1][s["start"] : s["end"]], s["kind"]) for s in got[k]["added"]]
+    assert marked(0) == [("Zorblax", 4)] and marked(7) == [("Umbrella", 5)] and marked(50) == []
+
+
 # --- decontamination
 
 ITEM = "What is the total weight of 12 boxes if each box holds 35 kg of fresh green apples from the farm"
