@@ -2,15 +2,16 @@
 
 Base spans are emails, ip addresses, card and phone numbers. Their values are the protected entities, and
 so are the parts that several values share: a mail domain, the first three numbers of an ip address, the
-first six digits of a card, the first four of a phone. Terms within ``reach`` words of an entity are candidates; over all documents of the corpus, the
-pointwise mutual information of term and entity, divided by the entity's information content, estimates
+first six digits of a card, the first four of a phone. All terms of a document that holds an entity are
+candidates, at any distance from it; over all documents of the corpus, the pointwise mutual information of term and entity, divided by the entity's information content, estimates
 how much of the entity the term reveals (1: the term occurs with that entity alone). The entity's
 probability given the term is smoothed: ``support`` documents in which the term says nothing about the
 entity are added to those seen, so a pair that was seen once counts, but for less than one seen often.
-Terms that reach the lower threshold are generalised there, those that reach the upper one are removed.
+Terms that reach the lower threshold are generalised wherever they occur in the entity's documents, those
+that reach the upper one are removed.
 
-Candidates are the words around base spans, so their number follows the number of spans; document
-frequencies count every word of every document.
+All counts are of documents and of what lies outside base spans. A document gives a pair for each of its
+different terms and entities; documents without entities are only counted.
 
 Defined results: a null text is empty; documents without base spans get none from the method; rows that
 repeat are rows of their own, in the counts too; an empty table gives an empty
@@ -19,7 +20,7 @@ result; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, text_or_empty
@@ -90,8 +91,17 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _context(text: Column, reach: int) -> str:
-    return rf"^[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{0,{reach - 1}}}+[^\x20\x09-\x0D]*"
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans, so that what lies beside them keeps its place."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def blank(acc: Column, s: Column) -> Column:
+        ahead = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        end = F.greatest(acc["at"], s["end"])
+        gap = F.repeat(F.lit(" "), (end - F.greatest(acc["at"], s["start"])).cast("int"))
+        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(ahead, gap)).alias("out"))
+
+    return F.aggregate(spans, start, blank, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
 
 
 def entities(span: Column) -> Column:
@@ -102,48 +112,58 @@ def entities(span: Column) -> Column:
     return F.array(F.concat_ws(":", kind, value), F.concat_ws(":", kind, F.lit("part"), part))
 
 
-def candidates(found: DataFrame, reach: int) -> DataFrame:
-    """(uid, entity, term, start, end) of the words around each base span of (uid, text, base)."""
-    near = _context(F.col("text"), reach)
-    spans = found.select("uid", "text", "base", F.explode("base").alias("s")).select(
-        "uid", "base",
-        entities(F.col("s")).alias("entities"),
-        F.reverse(F.regexp_extract(F.reverse(F.substring(F.col("text"), F.lit(1), F.col("s.start").cast("int"))), near, 0)).alias("left"),
-        F.regexp_extract(F.substr(F.col("text"), (F.col("s.end") + 1).cast("int")), near, 0).alias("right"),
-        F.col("s.start").alias("begin"), F.col("s.end").alias("stop"),
-    )
-    move = lambda side, by: F.transform(matches(F.col(side), TERM), lambda x: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["value"].alias("value")))
-    both = F.concat(move("left", F.col("begin") - F.length("left")), move("right", F.col("stop")))
-    words = spans.select("uid", "entities", "base", F.explode(both).alias("w"))
-    free = ~F.exists("base", lambda b: (b["start"] < F.col("w.end")) & (F.col("w.start") < b["end"]))
-    return words.filter(free).select("uid", F.explode("entities").alias("entity"), F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")).distinct()
+def _terms(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
 
 
-def disclosure(docs: DataFrame, found: DataFrame, around: DataFrame, support: int) -> DataFrame:
-    """(entity, term, reveals): share of the entity's information that the term gives away, of all pairs."""
-    pairs = around.groupBy("entity", "term").agg(F.count_distinct("uid").alias("n_ct"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))  # added up before the shuffle
-    n_c = around.groupBy("entity").agg(F.count_distinct("uid").alias("n_c"))
-    total = found.agg(F.count("*").alias("total"))
-    stats = pairs.join(n_t, "term").join(n_c, "entity").crossJoin(total)  # with one row
-    usual = F.col("n_c") / F.col("total")
-    given = (F.col("n_ct") + support * usual) / (F.col("n_t") + support)
-    reveals = F.log2(given / usual) / -F.log2(usual)
-    return stats.filter("n_c < total").select("entity", "term", reveals.alias("reveals"))
+def candidates(found: DataFrame) -> DataFrame:
+    """(uid, term, places) of all terms outside base spans of (uid, text, base); places are array<struct<start, end>>."""
+    free = found.select("uid", _outside(F.col("text"), F.col("base")).alias("free"))
+    sized = F.zip_with(_terms(F.col("free")), F.transform(F.split("free", TERM, -1), F.length), lambda m, b: F.struct(b.alias("gap"), m.alias("m")))
+    words = free.select("uid", F.posexplode(sized).alias("pos", "w")).filter("w.m IS NOT NULL")
+    # Sums along each document, as an array that grows by a term at a time takes the square of their number.
+    end = F.sum(F.col("w.gap") + F.length("w.m")).over(Window.partitionBy("uid").orderBy("pos")).cast("bigint")
+    placed = words.select("uid", F.lower("w.m").alias("term"), F.length("w.m").alias("length"), end.alias("end"))
+    return placed.groupBy("uid", "term").agg(F.collect_list(F.struct((F.col("end") - F.col("length")).alias("start"), "end")).alias("places"))
 
 
-def find_personal_data(docs: DataFrame, reach: int = 10, support: int = 3, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
+def disclosure(n_ct: Column, total: int, support: int) -> Column:
+    """Share of an entity's information that a term gives away, from the documents with both (n_ct), the entity (n_c) and the term (n_t)."""
+    usual = F.col("n_c") / total
+    given = (n_ct + support * usual) / (F.col("n_t") + support)
+    return F.log2(given / usual) / -F.log2(usual)
+
+
+def revealing(docs: DataFrame, held: DataFrame, around: DataFrame, total: int, support: int, least: float) -> DataFrame:
+    """(uid, term, reveals) for the pairs of ``held`` (uid, entity) and ``around`` (uid, term) that reach ``least``."""
+    around = around.select("uid", "term")
+    plain = docs.select(text_or_empty().alias("text")).filter(F.size(base_spans(F.col("text"))) == 0)
+    words = plain.select(F.explode(F.array_distinct(F.transform(_terms(F.col("text")), F.lower))).alias("term")).unionByName(around.select("term"))
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))  # added up before the shuffle
+    n_c = held.groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") < total)
+    # A pair occurs n_c or n_t times at most; what cannot reach the threshold with that is not counted.
+    most = disclosure(F.least("n_c", "n_t"), total, support)
+    pairs = around.join(n_t, "term").join(held.join(n_c, "entity"), "uid").filter(most >= least)
+    pairs = materialise(pairs.withColumn("most", most), "pairs")
+    alone, shared = pairs.filter("n_c = 1"), pairs.filter("n_c > 1")
+    n_ct = shared.groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct"))
+    met = n_ct.select("entity", "term", disclosure(F.col("n_ct"), total, support).alias("reveals")).filter(F.col("reveals") >= least)
+    return alone.select("uid", "term", F.col("most").alias("reveals")).unionByName(shared.join(met, ["entity", "term"]).select("uid", "term", "reveals"))
+
+
+def find_personal_data(docs: DataFrame, support: int = 3, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
     """(doc_id, text, base, added), one row a document: ``base`` and ``added`` are arrays of spans; added kinds are 4 (generalise) and 5 (remove). ``text`` is null where there is no span."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     found = F.size("base") > 0
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.when(found, F.col("text")).alias("text"), "base"), "personal")
-    around = materialise(candidates(rows.filter("text IS NOT NULL"), reach), "around")
-    revealing = disclosure(docs, rows, around, support).filter(F.col("reveals") >= generalise_at)
+    holders = rows.filter("text IS NOT NULL")
+    around = materialise(candidates(holders), "around")
+    held = materialise(holders.select("uid", F.explode(F.array_distinct(F.flatten(F.transform("base", entities)))).alias("entity")), "held")
     kind = F.when(F.max("reveals") >= remove_at, F.lit(5)).otherwise(F.lit(4))
-    spans = around.join(revealing, ["entity", "term"]).groupBy("uid", "start", "end").agg(kind.alias("kind"))
-    added = spans.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", F.lit(None).cast("string").alias("value")))).alias("added"))
+    marked = revealing(docs, held, around, rows.count(), support, generalise_at).groupBy("uid", "term").agg(kind.alias("kind"))
+    spans = F.transform("places", lambda p: F.struct(p["start"].alias("start"), F.col("kind").alias("kind"), p["end"].alias("end"), F.lit(None).cast("string").alias("value")))
+    added = around.join(marked, ["uid", "term"]).groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("added"))
     return rows.join(added, "uid", "left").select("doc_id", "text", "base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")).alias("added"))
 
 

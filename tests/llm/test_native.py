@@ -199,6 +199,14 @@ def test_entities_of_one_text_and_parts_of_many(spark):
     assert marked(0) == [("Zorblax", 4)] and marked(7) == [("Umbrella", 5)] and marked(50) == []
 
 
+def test_terms_at_any_distance(spark):
+    """A name far from the address is marked at each place; one that also occurs elsewhere tells less; blanks keep places beside overlapping and long spans."""
+    far = "Zorblax wrote 1.2.3.4-Zorblax é😀 " + "and then he wrote " * 400 + "to boss@corp.com +1 (736) 555-2678 " + "and then he wrote " * 400 + "ZORBLAX"
+    rows = [(0, far)] + [(k, "and then he wrote to Quux") for k in range(1, 2000)]
+    r = next(r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r["doc_id"] == 0)
+    assert [far[s["start"] : s["end"]] for s in r["added"]] == ["Zorblax", "Zorblax", "ZORBLAX"]
+
+
 # --- decontamination
 
 ITEM = "What is the total weight of 12 boxes if each box holds 35 kg of fresh green apples from the farm"
