@@ -4,14 +4,16 @@ Words become template tokens: lower-case without outer punctuation, or a typed p
 unit or a name (a capitalised word within a sentence). Windows of five tokens of documents and benchmark
 items meet in a hash join. Along one alignment of an item and a document each slot value of the item must
 stand for one value in the document; then different values are a re-parameterised question. A document
-leaks an item if it holds at least 0.8 of the item's windows.
+leaks an item if it holds at least 0.8 of the item's windows. A window of fewer than two literal words says
+too little as a template: it only meets windows with the same values.
 
 Before that, documents that cannot leak are set aside without loss: who holds 0.8 of an item's windows
 holds one of any set of more than 0.2 of them, so it has all literal words of one window of such a set,
 the longest one (its anchor) among them.
 
 Defined results: a null or empty text has no tokens and leaks nothing; an item without tokens never
-matches; an item of fewer than five tokens is one window of its length; rows that repeat are rows of their
+matches; an item of fewer than five tokens is one window of its length; of an item made of placeholders
+only copies with its values leak, not the question with others; rows that repeat are rows of their
 own; with an empty table nothing leaks; extra columns are ignored or kept as they are, whatever their names.
 """
 
@@ -62,9 +64,17 @@ def tokens(text: Column) -> Column:
 
 
 def windows(size: int) -> Column:
-    """array<struct<at, key, slots>> of all windows of ``size`` tokens of the columns ``tok`` and ``val``; slots are joined by spaces, empty for literal words."""
+    """array<struct<at, key, slots>> of all windows of ``size`` tokens of the columns ``tok`` and ``val``; slots are joined by spaces, empty for literal words. Where literal words are short the key has the values too."""
     starts = F.when(F.size("tok") >= size, F.sequence(F.lit(0), F.size("tok") - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("tok", i + 1, size), " ").alias("key"), F.array_join(F.slice("val", i + 1, size), " ", "").alias("slots")))
+    cut = F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("tok", i + 1, size), " ").alias("key"), F.array_join(F.slice("val", i + 1, size), " ", "").alias("slots")))
+
+    def keyed(w: Column) -> Column:
+        # Without values the slots are spaces alone, which is told apart cheaply.
+        literal = F.size(F.filter(F.split(w["slots"], " "), lambda v: v == ""))
+        short = (F.length(w["slots"]) >= size) & (literal < min(LITERALS, size)) if size > 1 else w["slots"] != ""
+        return F.struct(w["at"].alias("at"), F.when(short, F.concat_ws(f" {_STOP} ", w["key"], w["slots"])).otherwise(w["key"]).alias("key"), w["slots"].alias("slots"))
+
+    return F.transform(cut, keyed)
 
 
 def tokenised(rows: DataFrame, key: str, label: str) -> DataFrame:
@@ -78,22 +88,21 @@ def _plain_words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(item_id, size, n, at, key, slots) of all items' windows with enough literal words, written; and the window sizes in use, five at most."""
+    """(item_id, size, n, at, key, slots) of all items' windows, written; and the window sizes in use, five at most."""
     items = tokenised(benchmark.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")), "item_id", "item-tokens").filter(F.size("tok") > 0)
     parts = [items.filter(F.size("tok") >= WINDOW).select("item_id", F.lit(WINDOW).alias("size"), windows(WINDOW).alias("w"))]
     parts += [items.filter(F.size("tok") == k).select("item_id", F.lit(k).alias("size"), windows(k).alias("w")) for k in range(1, WINDOW)]
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    literal = F.size(F.filter(F.split("w.slots", " "), lambda v: v == ""))
-    rows = every.select("item_id", "size", F.explode("w").alias("w")).filter(literal >= F.least(F.lit(LITERALS), F.col("size"))).select("item_id", "size", "w.*")
+    rows = every.select("item_id", "size", F.explode("w").alias("w")).select("item_id", "size", "w.*")
     counts = rows.groupBy("item_id").agg(F.count_distinct("key").alias("n"))
     found = materialise(rows.join(counts, "item_id"), "items")
     return found, [r[0] for r in found.select("size").distinct().collect()]  # of 1 to 5
 
 
 def anchors(items: DataFrame) -> DataFrame:
-    """(anchor, words): of each item as many windows as a leaking document cannot all miss, those with the longest words."""
+    """(anchor, words): of each item as many windows as a leaking document cannot all miss, those with the longest words. Values in a key are words that the document must have."""
     keys = items.select("item_id", "n", "key").distinct()
     literal = F.filter(F.split("key", " "), lambda w: ~w.isin(NUMBER, UNIT, NAME))
     words = F.array_distinct(F.filter(F.flatten(F.transform(literal, _plain_words)), lambda w: w != ""))

@@ -233,3 +233,14 @@ def test_slots_must_be_consistent(spark):
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, item.replace("12", "30")), (2, item.replace("12", "30", 1))], "doc_id bigint, text string")
     assert [r["doc_id"] for r in decontaminate.find_leaks(docs, bench).collect()] == [1]
+
+
+def test_windows_short_of_literal_words(spark):
+    """Items made of names and numbers leak with their values alone; one template among them does not make a leak."""
+    names = "Guests: we saw Anna Bertha Carl Dora Emil Fritz Gustav Heinrich Ida Julius Karl Ludwig"
+    sums = "12 3.5 40 7 99 18 250"
+    one = "5"
+    bench = spark.createDataFrame([(1, names), (2, sums), (3, one)], "item_id bigint, text string")
+    docs = [(1, f"so {names} there"), (2, names.replace("a ", "o ")), (3, f"they add {sums} up"), (4, "12 3.5 41 7 98 18 251"), (5, "here we saw Otto Paul Quirin Rosa and more"), (6, "It is 5 now"), (7, "It is 6 now")]
+    got = sorted(tuple(r) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).select("doc_id", "item_id", "windows").collect())
+    assert got == [(1, 1, 11), (3, 2, 3), (6, 3, 1)]
