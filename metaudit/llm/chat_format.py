@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import running_sums
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -50,11 +52,9 @@ def frame(conversations: DataFrame) -> DataFrame:
         F.array_join(F.transform("t", lambda x: F.concat(x["head"], x["body"], tail)), "").alias("framed"),
         F.transform("t", lambda x: F.struct(x["role"].alias("role"), F.length(x["head"]).cast("long").alias("head"), F.length(x["body"]).cast("long").alias("body"))).alias("t"),
     )
-    # Running ends by one fold that builds the result array; a conversation's turns are few or at least one row's worth.
-    empty = F.array().cast("array<struct<role:string,begin:bigint,end:bigint,stop:bigint>>")
-    last = lambda acc: F.coalesce(F.element_at(F.concat(F.array(F.struct(F.lit("").alias("role"), F.lit(0).cast("long").alias("begin"), F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("stop"))), acc), -1)["stop"], F.lit(0).cast("long"))
-    add = lambda acc, x: F.concat(acc, F.array(F.struct(x["role"].alias("role"), (last(acc) + x["head"]).alias("begin"), (last(acc) + x["head"] + x["body"]).alias("end"), (last(acc) + x["head"] + x["body"] + len(END) + 1).alias("stop"))))
-    return lengths.select("conv_id", "framed", F.aggregate("t", empty, add).alias("turns"))
+    stops = running_sums(F.transform("t", lambda x: x["head"] + x["body"] + len(END) + 1))
+    turns = F.zip_with("t", stops, lambda x, stop: F.struct(x["role"].alias("role"), (stop - len(END) - 1 - x["body"]).alias("begin"), (stop - len(END) - 1).alias("end"), stop.alias("stop")))
+    return lengths.select("conv_id", "framed", turns.alias("turns"))
 
 
 def expand(conversations: DataFrame, trainable: str = "assistant") -> DataFrame:

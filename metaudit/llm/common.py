@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,11 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Tables of keys up to so many rows are sent to every task; larger ones are joined by a shuffle.
+SMALL_ROWS = 100_000
+
 _own_folders: dict[str, str] = {}
+_stored: dict[str, list[str]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +49,7 @@ def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = path or new_path(spark, label)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -53,8 +60,87 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def drop_stored(spark: SparkSession, keep: Sequence[DataFrame] = ()) -> None:
+    """Delete what ``materialise`` has written in this application, but for the tables that ``keep`` reads. For callers that have stored their results."""
+    own = _stored.get(spark.sparkContext.applicationId, [])
+    read = {f.rpartition("/")[0].rpartition("/metaudit/")[2] for df in keep for f in df.inputFiles()}
+    for path in [p for p in own if p.rpartition("/metaudit/")[2] not in read]:
+        drop_path(spark, path)
+        own.remove(path)
+
+
+def named(column: str) -> Column:
+    """A column by its name as it is, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(columns: Sequence[str]) -> Column:
+    """A struct of the columns, whatever their names."""
+    return F.struct(*[named(c) for c in columns])
+
+
+def _reads_rows_once(docs: DataFrame) -> bool:
+    """Whether a frame is a read of files with columns and rows chosen, so that a file and row number stand for one row."""
+    plan = [docs._jdf.queryExecution().analyzed()]
+    while plan:
+        node = plan.pop()
+        if node.nodeName() not in ("Project", "Filter", "LogicalRelation", "Relation", "SubqueryAlias") and not node.nodeName().startswith("Relation"):
+            return False
+        plan += [node.children().apply(i) for i in range(node.children().length())]
+    return True
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """(row, at): all columns of ``docs`` as a struct, and a locator that finds the row again, file and row number.
+
+    A frame that is not a plain read of files is written to the shared folder first."""
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at")
+    if not any(c.lower() == "_metadata" for c in docs.columns) and _reads_rows_once(docs):
+        try:
+            return docs.select(packed(docs.columns).alias("row"), at)
+        except AnalysisException:  # a format without row numbers
+            pass
+    return materialise(docs.select(packed(docs.columns).alias("row")), "arrivals").select("row", at)
+
+
+def small(keys: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """Keys marked for sending to every task if they are ``most`` rows at most; else as they are, for a join by shuffle."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
+def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """array<bigint> of the values folded up to and with each entry; ``add`` is associative. It goes by blocks of the square root of the entries, as a fold that appends takes the square of a block's length."""
+    none = F.array().cast("array<bigint>")
+    start = F.lit(None).cast("bigint")
+    put = lambda acc, x: F.when(acc.isNull(), x.cast("bigint")).otherwise(add(acc, x.cast("bigint")))
+
+    def along(entries: Column, first: Column) -> Column:
+        return F.aggregate(entries, none, lambda acc, x: F.concat(acc, F.array(put(F.coalesce(F.get(acc, F.size(acc) - 1), first), x))))
+
+    def cut(entries: Column) -> Column:
+        n = F.size(entries)
+        width = F.greatest(F.ceil(F.sqrt(n.cast("double"))).cast("int"), F.lit(1))
+        numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / width).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda b: F.slice(entries, b * width + 1, width))
+
+    def whole(blocks: Column) -> Column:
+        firsts = F.concat(F.array(start), along(F.transform(blocks, lambda b: F.aggregate(b, start, put)), start))
+        return F.flatten(F.zip_with(blocks, firsts, lambda b, first: F.when(b.isNotNull(), along(b, first)).otherwise(none)))
+
+    return bound(bound(values, cut), whole)
+
+
+def running_sums(sizes: Column) -> Column:
+    return running(sizes, lambda a, x: a + x)
+
+
+def bound(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once: what a lambda function names is otherwise made anew for each entry."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+    return F.coalesce(F.col(name).cast("string"), F.lit(""))  # a name or the path to a field
 
 
 def lower_ascii(text: Column) -> Column:

@@ -20,19 +20,22 @@ result; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import bound, materialise, running, running_sums, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = r"A-Za-z0-9._%+-"
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Patterns that find the same leftmost matches as the contract's in linear time: an email starts where a
-#: run of its characters starts or the last match ended, a card is a whole run of digits of the right length.
+#: run of its characters starts or the last match ended, an ip where a run of digits starts, a card is a whole
+#: run of digits of the right length.
 PATTERNS = {
     "email": rf"(?:\G|(?<![{_LOCAL}]))[{_LOCAL}]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)++",
-    "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+    "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -64,18 +67,15 @@ def _holds(kind: str, value: Column) -> Column:
 
 def matches(text: Column, pattern: str, kind: int = 0) -> Column:
     """array<struct<start, kind, end, value>> of all leftmost matches, in code points from 0. What lies between matches gives their places."""
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.filter(F.zip_with(found, between, lambda m, b: F.struct(F.length(b).alias("gap"), m.alias("m"))), lambda x: x["m"].isNotNull())
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def span(m: Column, end: Column) -> Column:
+        return F.struct((end - F.length(m)).alias("start"), F.lit(kind).alias("kind"), end.alias("end"), m.alias("value"))
+
+    def placed(found: Column) -> Column:
+        gaps = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(found))
+        return F.zip_with(found, running_sums(F.zip_with(gaps, found, lambda g, m: g + F.length(m))), span)
 
-    return F.aggregate(sized, start, add, lambda acc: acc["spans"])
+    return bound(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def _that_hold(kind: str, spans: Column) -> Column:
@@ -91,17 +91,36 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _outside(text: Column, spans: Column) -> Column:
-    """The text with blanks in place of the spans, so that what lies beside them keeps its place."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+#: Code points of the pieces that a text is cut into, so that a cut needs no walk from the beginning.
+_PIECE = 1024
+
+
+def _cut(pieces: Column, begin: Column, end: Column) -> Column:
+    """The text of code points begin to end, from its pieces."""
+    first, last = F.floor(begin / _PIECE).cast("int"), F.floor((end - 1) / _PIECE).cast("int")
+    ahead, behind = (begin % _PIECE + 1).cast("int"), ((end - 1) % _PIECE + 1).cast("int")
+    within = F.substring(F.get(pieces, first), ahead, (end - begin).cast("int"))
+    across = F.concat(F.substr(F.get(pieces, first), ahead), F.array_join(F.slice(pieces, first + 2, last - first - 1), ""), F.substring(F.get(pieces, last), F.lit(1), behind))
+    return F.when(end <= begin, F.lit("")).when(first == last, within).otherwise(across)
+
+
+def _rewritten(text: Column, spans: Column, put: Callable[[Column, Column, Column], Column]) -> Column:
+    """The text with ``put(span, at, ahead)`` for each span and what lies ahead of it; ``at`` is where the spans before it end."""
+    zero = F.lit(0).cast("bigint")
+
+    def joined(pieces: Column) -> Column:
+        def over(ends: Column) -> Column:
+            made = F.zip_with(spans, F.concat(F.array(zero), ends), lambda s, at: F.when(s.isNotNull(), put(s, at, _cut(pieces, at, s["start"]))))
+            return F.concat(F.array_join(made, ""), _cut(pieces, F.coalesce(F.get(ends, F.size(ends) - 1), zero), F.length(text).cast("bigint")))
+
+        return bound(running(F.transform(spans, lambda s: s["end"]), F.greatest), over)
 
-    def blank(acc: Column, s: Column) -> Column:
-        ahead = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        end = F.greatest(acc["at"], s["end"])
-        gap = F.repeat(F.lit(" "), (end - F.greatest(acc["at"], s["start"])).cast("int"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(ahead, gap)).alias("out"))
+    return bound(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)), joined)
 
-    return F.aggregate(spans, start, blank, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
+
+def _outside(text: Column, spans: Column) -> Column:
+    """The text with blanks in place of the spans, so that what lies beside them keeps its place."""
+    return _rewritten(text, spans, lambda s, at, ahead: F.concat(ahead, F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0)).cast("int"))))
 
 
 def entities(span: Column) -> Column:
@@ -117,14 +136,22 @@ def _terms(text: Column) -> Column:
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """(uid, term, places) of all terms outside base spans of (uid, text, base); places are array<struct<start, end>>."""
-    free = found.select("uid", _outside(F.col("text"), F.col("base")).alias("free"))
-    sized = F.zip_with(_terms(F.col("free")), F.transform(F.split("free", TERM, -1), F.length), lambda m, b: F.struct(b.alias("gap"), m.alias("m")))
-    words = free.select("uid", F.posexplode(sized).alias("pos", "w")).filter("w.m IS NOT NULL")
-    # Sums along each document, as an array that grows by a term at a time takes the square of their number.
-    end = F.sum(F.col("w.gap") + F.length("w.m")).over(Window.partitionBy("uid").orderBy("pos")).cast("bigint")
-    placed = words.select("uid", F.lower("w.m").alias("term"), F.length("w.m").alias("length"), end.alias("end"))
-    return placed.groupBy("uid", "term").agg(F.collect_list(F.struct((F.col("end") - F.col("length")).alias("start"), "end")).alias("places"))
+    """(uid, term) of all terms outside base spans of (uid, text, base), once for each text; made within its row."""
+    return found.select("uid", F.explode(F.array_distinct(F.transform(_terms(_outside(F.col("text"), F.col("base"))), F.lower))).alias("term"))
+
+
+def places(found: DataFrame) -> DataFrame:
+    """(uid, term, start, end) of each term outside base spans."""
+
+    def placed(free: Column) -> Column:
+        def at(terms: Column) -> Column:
+            gaps = F.slice(F.transform(F.split(free, TERM, -1), F.length), 1, F.size(terms))
+            ends = running_sums(F.zip_with(gaps, terms, lambda g, m: g + F.length(m)))
+            return F.zip_with(terms, ends, lambda m, end: F.struct(F.lower(m).alias("term"), (end - F.length(m)).alias("start"), end.alias("end")))
+
+        return bound(_terms(free), at)
+
+    return found.select("uid", F.explode(bound(_outside(F.col("text"), F.col("base")), placed)).alias("p")).select("uid", "p.*")
 
 
 def disclosure(n_ct: Column, total: int, support: int) -> Column:
@@ -136,7 +163,6 @@ def disclosure(n_ct: Column, total: int, support: int) -> Column:
 
 def revealing(docs: DataFrame, held: DataFrame, around: DataFrame, total: int, support: int, least: float) -> DataFrame:
     """(uid, term, reveals) for the pairs of ``held`` (uid, entity) and ``around`` (uid, term) that reach ``least``."""
-    around = around.select("uid", "term")
     plain = docs.select(text_or_empty().alias("text")).filter(F.size(base_spans(F.col("text"))) == 0)
     words = plain.select(F.explode(F.array_distinct(F.transform(_terms(F.col("text")), F.lower))).alias("term")).unionByName(around.select("term"))
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))  # added up before the shuffle
@@ -158,12 +184,11 @@ def find_personal_data(docs: DataFrame, support: int = 3, generalise_at: float =
     found = F.size("base") > 0
     rows = materialise(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.when(found, F.col("text")).alias("text"), "base"), "personal")
     holders = rows.filter("text IS NOT NULL")
-    around = materialise(candidates(holders), "around")
     held = materialise(holders.select("uid", F.explode(F.array_distinct(F.flatten(F.transform("base", entities)))).alias("entity")), "held")
     kind = F.when(F.max("reveals") >= remove_at, F.lit(5)).otherwise(F.lit(4))
-    marked = revealing(docs, held, around, rows.count(), support, generalise_at).groupBy("uid", "term").agg(kind.alias("kind"))
-    spans = F.transform("places", lambda p: F.struct(p["start"].alias("start"), F.col("kind").alias("kind"), p["end"].alias("end"), F.lit(None).cast("string").alias("value")))
-    added = around.join(marked, ["uid", "term"]).groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list(spans))).alias("added"))
+    marked = revealing(docs, held, candidates(holders), rows.count(), support, generalise_at).groupBy("uid", "term").agg(kind.alias("kind"))
+    span = F.struct("start", "kind", "end", F.lit(None).cast("string").alias("value"))
+    added = places(holders).join(marked, ["uid", "term"]).groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("added"))
     return rows.join(added, "uid", "left").select("doc_id", "text", "base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")).alias("added"))
 
 
@@ -173,15 +198,8 @@ PLACEHOLDERS = ("[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", "")
 
 def sanitised(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its placeholder; of spans that overlap the first counts."""
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     marks = F.array(*[F.lit(p) for p in PLACEHOLDERS])
-
-    def put(acc: Column, s: Column) -> Column:
-        ahead = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = s["start"] >= acc["at"]
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], ahead, F.get(marks, s["kind"]))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(spans, start, put, lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"))))
+    return _rewritten(text, spans, lambda s, at, ahead: F.when(s["start"] >= at, F.concat(ahead, F.get(marks, s["kind"]))).otherwise(F.lit("")))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
