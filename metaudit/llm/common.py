@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,18 @@ _own_folders: dict[str, str] = {}
 _stored: dict[str, list[str]] = {}
 
 
+@contextmanager
+def conf_set(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -103,11 +116,44 @@ def located(docs: DataFrame) -> DataFrame:
     return materialise(docs.select(packed(docs.columns).alias("row")), "arrivals").select("row", at)
 
 
-def small(keys: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+def small(keys: DataFrame, most: int | None = None) -> DataFrame:
     """Keys marked for sending to every task if they are ``most`` rows at most; else as they are, for a join by shuffle."""
+    most = SMALL_ROWS if most is None else most
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+#: Bits of the filter that stands for a large set of keys: 16 MB at most, sent to every task.
+FILTER_BITS = 1 << 27
+
+
+def _flagged(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """``rows`` with ``_maybe``: false where the key is surely not among ``keys``, by a bitmap of hashed keys of a fixed size."""
+    place = F.pmod(F.xxhash64(F.col(on)), F.lit(FILTER_BITS)) + 1
+    bits = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket", "left")
+    return joined.withColumn("_maybe", F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
+def among(rows: DataFrame, keys: DataFrame, on: str = "at") -> DataFrame:
+    """``rows`` joined with ``keys`` on the keys' unique column ``on``; of rows without a key few are shuffled."""
+    marked = small(keys)
+    if marked is not keys:
+        return rows.join(marked, on)
+    return _flagged(rows, keys, on).filter("_maybe").drop("_maybe").join(keys, on)
+
+
+def without(rows: DataFrame, keys: DataFrame, on: str = "at") -> DataFrame:
+    """The ``rows`` whose key is not among ``keys``; of those few are shuffled."""
+    marked = small(keys)
+    if marked is not keys:
+        return rows.join(marked, on, "left_anti")
+    flagged = _flagged(rows, keys, on)
+    unsure = flagged.filter("_maybe").drop("_maybe").join(keys, on, "left_anti")
+    return flagged.filter("NOT _maybe").drop("_maybe").unionByName(unsure)
+
+
 def running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
     """array<bigint> of the values folded up to and with each entry; ``add`` is associative. It goes by blocks of the square root of the entries, as a fold that appends takes the square of a block's length."""
     none = F.array().cast("array<bigint>")
@@ -157,3 +203,19 @@ def count_words(text: Column) -> Column:
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; a null id counts as the text ''."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
+
+
+def text_hash() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
+def sampled(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
+    """(doc_id, text_hash, y) of the labelled rows of ``docs``, one for each id and text, ``max_rows`` at most: those with the smallest hashes, so that reruns agree."""
+    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
+    rows = docs.select(F.col("doc_id").alias("doc_id"), text_hash().alias("text_hash")).join(known, "doc_id").dropDuplicates(["doc_id", "text_hash"])
+    rows = materialise(rows.withColumn("h", F.xxhash64("doc_id", "text_hash")), "labelled")
+    count = rows.count()
+    if count > 4 * max_rows:  # so that the sort takes few rows of each task; a share of the range of hashes with about four times the rows wanted
+        few = rows.filter(F.col("h") < int(2**64 * 4 * max_rows / count) - 2**63)
+        rows = few if few.count() >= max_rows else rows
+    return rows.orderBy("h", "doc_id", "text_hash").limit(max_rows).select("doc_id", "text_hash", "y")

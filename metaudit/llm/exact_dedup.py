@@ -2,9 +2,10 @@
 
 The digests of the arriving rows are read as a stream. A streaming aggregation keeps, for each digest and
 without expiry, how often it came and which row stays (smallest identifier, with the locator of its
-content), in RocksDB on the executors' disks; the checkpoints lie in the shared folder. Digests that came
-more than once are hits: the full bytes of their rows are compared, and rows of one digest with different
-bytes are grouped by their text instead.
+content), in RocksDB on the executors' disks; the checkpoints lie in the shared folder, in a folder of the
+caller's that later calls go on with, or one of a single call. Digests that came more than once are hits: the
+full bytes of their rows, found by the locators, are compared, and rows of one digest with different bytes
+are grouped by their text instead. Texts of other rows are not shuffled.
 
 Defined results: a null text is the empty text; the row with the smallest id stays, rows with a null id
 come last, and equal ids are told apart by their locator, so of rows that repeat wholly exactly one is
@@ -13,13 +14,12 @@ kept; an empty table gives an empty result; extra columns are ignored, whatever
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_path, materialise, new_path, text_or_empty
+from .common import SPACE, among, conf_set, drop_path, located, materialise, new_path, text_or_empty, without
 
 #: Bounded memory for all state stores of an executor; the state itself is on disk.
 STATE_CONF = {
@@ -32,18 +32,6 @@ STATE_CONF = {
 }
 
 
-@contextmanager
-def _conf(spark: SparkSession, values: dict[str, str]):
-    before = {k: spark.conf.get(k, None) for k in values}
-    for k, v in values.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, " ")
 
@@ -52,79 +40,95 @@ def sha256_digest(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
-def as_table(docs: DataFrame) -> DataFrame:
-    """``docs`` if it is a plain read of a table, whose rows can be found again; else a copy that is."""
-    try:
-        docs.select("_metadata.row_index")
-        return docs
-    except AnalysisException:
-        return materialise(docs, "arrivals")
-
-
-def located(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, at, row) of a table: ``at`` is the locator of a row's content, file and row number; ``row`` has all columns of ``docs``."""
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.struct(*docs.columns).alias("row"), at.alias("at"))
+_KEEPER = "struct<no_id: boolean, doc_id: bigint, at: struct<file: string, row: bigint>>"
 
 
 def track_digests(spark: SparkSession, arrivals: DataFrame, checkpoint: str, max_bytes_per_trigger: int = 64 << 30) -> DataFrame:
     """Run the stateful stream over the table ``arrivals`` (doc_id, at, digest) as far as it goes; returns (digest, n, keeper).
 
     A later call with the same checkpoint takes up the state and reads only files that are new."""
-    path = f"{checkpoint}/changes"
     stream = spark.readStream.schema(arrivals.schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(arrivals.inputFiles()[0].rpartition("/")[0])
     keeper = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
     state = stream.groupBy("digest").agg(F.count("*").alias("n"), F.min(keeper).alias("keeper"))
-    schema = "digest binary, n bigint, keeper struct<no_id: boolean, doc_id: bigint, at: struct<file: string, row: bigint>>"
 
     def changed(batch: DataFrame, batch_id: int) -> None:  # a batch that is run again replaces its own folder
-        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch={batch_id}")
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{checkpoint}/changes/batch={batch_id}")
 
-    with _conf(spark, STATE_CONF):
+    with conf_set(spark, STATE_CONF):
         run = state.writeStream.outputMode("update").option("checkpointLocation", f"{checkpoint}/state").trigger(availableNow=True).foreachBatch(changed).start()
         run.awaitTermination()
-    changes = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
-    return changes.groupBy("digest").agg(F.max("n").alias("n"), F.min("keeper").alias("keeper"))  # counts only grow, keepers only fall
-
-
-def find_copies(docs: DataFrame, digest=sha256_digest) -> DataFrame:
-    """(doc_id, at, digest, keep_id, group_size, kept), one row for each row of ``docs``. ``at`` is the row's locator."""
-    spark = docs.sparkSession
-    base = located(as_table(docs))
+    return _changes(spark, checkpoint).groupBy("digest").agg(F.max("n").alias("n"), F.min("keeper").alias("keeper"))  # counts only grow, keepers only fall
+
+
+def _changes(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """(digest, n, keeper) after each batch that changed a digest's state."""
+    return spark.read.schema(f"digest binary, n bigint, keeper {_KEEPER}").option("recursiveFileLookup", "true").parquet(f"{checkpoint}/changes")
+
+
+def _earlier(spark: SparkSession, checkpoint: str, hits: DataFrame, text: Column) -> DataFrame:
+    """(doc_id, at, digest, bytes) of the rows of earlier calls that were kept under a digest of the hits, read by their locators."""
+    kept = _changes(spark, checkpoint).join(hits.select("digest").distinct(), "digest").select("digest", "keeper.doc_id", "keeper.at").distinct()
+    kept = materialise(kept.join(hits.select("at"), "at", "left_anti"), "earlier")
+    files = [r[0] for r in kept.select("at.file").distinct().collect()]  # names of input files, as a reader takes them
+    own = [f for f in files if f.rpartition("/")[0].endswith("-arrivals")]
+    rows = kept.limit(0).select("doc_id", "at", "digest", F.lit("").alias("bytes"))
+    for names, column in ((own, "row.text"), ([f for f in files if f not in own], "text")):
+        if names:
+            at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+            texts = spark.read.parquet(*names).select(F.col(column).alias("text"), at.alias("at")).select("at", text.alias("bytes"))
+            rows = rows.unionByName(among(texts, kept).select("doc_id", "at", "digest", "bytes"))
+    return rows
+
+
+def _find(base: DataFrame, digest, checkpoint: str | None) -> DataFrame:
+    """``find_copies`` of located rows."""
+    spark = base.sparkSession
+    folder, call = checkpoint or new_path(spark, "exact-dedup"), uuid.uuid4().hex
+    rows = base.select(F.col("row.doc_id").cast("long").alias("doc_id"), "at", digest(normalised(text_or_empty("row.text"))).alias("digest"), F.lit(call).alias("call"))
+    rows.write.mode("append").option("compression", "zstd").parquet(f"{folder}/arrivals")
+    every = spark.read.schema(rows.schema).parquet(f"{folder}/arrivals")
+    arrivals = every.filter(F.col("call") == call).drop("call")
+    if arrivals.isEmpty():
+        return _decided(arrivals.withColumns({"n": F.lit(0).cast("long"), "keeper": F.lit(None).cast(_KEEPER)}))
+    decided = materialise(_decided(arrivals.join(track_digests(spark, every, folder), "digest")), "decided")
+
+    # Full bytes of all hits, and of no other row: equal texts of a digest have an equal least and greatest text.
+    hits = decided.filter("group_size > 1").select("doc_id", "digest", "at")
     text = normalised(text_or_empty())
-    rows = base.select("doc_id", "at", digest(text).alias("digest"))
-    arrivals = materialise(rows, "digests")
-    if not arrivals.inputFiles():
-        return _decided(arrivals.withColumns({"n": F.lit(0).cast("long"), "keeper": F.lit(None).cast("struct<no_id: boolean, doc_id: bigint, at: struct<file: string, row: bigint>>")}))
-    checkpoint = new_path(spark, "exact-dedup")
-    groups = materialise(track_digests(spark, arrivals, checkpoint), "groups")
-    drop_path(spark, checkpoint)
-
-    # Full bytes of all hits: equal texts of a digest have an equal least and greatest text.
-    hits = base.select("doc_id", "at", digest(text).alias("digest"), text.alias("bytes")).join(
-        groups.filter("n > 1").select("digest"), "digest", "left_semi"
-    )
-    differ = hits.groupBy("digest").agg((F.min("bytes") != F.max("bytes")).alias("differ")).filter("differ").select("digest")
+    compared = among(base.select(F.col("row.text").alias("text"), "at").select("at", text.alias("bytes")), hits)
+    if checkpoint is None:
+        drop_path(spark, folder)
+    else:
+        compared = compared.select("doc_id", "at", "digest", "bytes").unionByName(_earlier(spark, folder, hits, text))
+    differ = compared.groupBy("digest").agg((F.min("bytes") != F.max("bytes")).alias("differ")).filter("differ").select("digest")
     differ = materialise(differ, "collisions")
-    decided = _decided(arrivals.join(groups, "digest"))
     if differ.isEmpty():
         return decided
     keeper = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
-    clashing = hits.join(differ, "digest", "left_semi")
+    clashing = compared.join(differ, "digest", "left_semi")
     by_text = clashing.groupBy("digest", "bytes").agg(F.count("*").alias("n"), F.min(keeper).alias("keeper"))
-    parted = _decided(clashing.join(by_text, ["digest", "bytes"]))
+    parted = _decided(clashing.join(hits.select("at"), "at", "left_semi").join(by_text, ["digest", "bytes"]))
     return decided.join(differ, "digest", "left_anti").unionByName(parted)
 
 
+def find_copies(docs: DataFrame, digest=sha256_digest, checkpoint: str | None = None) -> DataFrame:
+    """(doc_id, at, digest, keep_id, group_size, kept), one row for each row of ``docs``. ``at`` is the row's locator.
+
+    With a ``checkpoint``, a folder that all executors share, the state is kept there: a later call with it takes
+    its rows for new ones and decides them beside all rows of earlier calls, whose texts are read by their
+    locators. Without it the state is dropped in the end. Texts that differ under one digest are told apart
+    within a call and from the rows kept before."""
+    return _find(located(docs), digest, checkpoint)
+
+
 def _decided(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "at", "digest", F.col("keeper.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("at") == F.col("keeper.at")).alias("kept"))
 
 
-def drop_copies(docs: DataFrame, **options) -> DataFrame:
+def drop_copies(docs: DataFrame, digest=sha256_digest, checkpoint: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay."""
-    docs = as_table(docs)
-    stay = find_copies(docs, **options).filter("kept").select("at")
-    return located(docs).join(stay, "at", "left_semi").select("row.*")
+    base = located(docs)
+    return without(base, _find(base, digest, checkpoint).filter("NOT kept").select("at")).select("row.*")
 
 
 def query(spark, sf_dir):

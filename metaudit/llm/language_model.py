@@ -4,11 +4,13 @@ The probability of a word after another is a mixture of the pair's and the word'
 estimates and a uniform part. The weights depend on a bucket of the context's frequency and are learned by
 expectation-maximisation on held-out counts: each training event is deleted from the counts that predict it.
 
-Counts are exact and cover all training documents. Documents are taken in chunks of a few megabytes of text.
-A chunk sends its distinct words and pairs (64-bit hashes, sorted, with its training counts) to buckets of
-the hash range; each bucket adds up and answers with the totals in the order asked. So every distinct n-gram
-of a chunk travels once, frequent ones too, and no task holds more than a chunk or a bucket. The number of
-buckets is spark.sql.shuffle.partitions.
+Counts are exact and cover all training documents. Documents are taken in chunks of a few megabytes of text,
+stored as numbers of each chunk's own words; texts are read once. A chunk sends its distinct words and pairs
+(64-bit hashes, sorted, with its training counts) to buckets of the hash range; each bucket adds up and
+answers with the totals in the order asked. So every distinct n-gram of a chunk travels once, frequent ones
+too. The number of buckets follows from the measured size of the questions, so that no task holds more than
+a chunk or a bucket of ``bucket_bytes``. There are as many messages as chunks times buckets; corpora of many
+terabytes want larger chunks and buckets.
 
 Defined results: a null or empty text is the end token alone; without training documents every base
 probability is 1 and the model is uniform; a null id counts as the empty text when training and held-out
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import crc_mod, materialise, table
+from .common import conf_set, crc_mod, drop_path, materialise, new_path, table
 
 CHUNK_BYTES = 3 << 20
 END = np.uint64(0x5851F42D4C957F2D)  # stands for the end of a text, and as a context for its beginning
@@ -72,47 +74,96 @@ def pairs(lengths: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context, tk.combine(context, h, 3)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of all values by their place: those of the high places are mostly alike and compress."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: str, offset: int = 0, n: int | None = None) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(raw, np.uint8, -1 if n is None else n * width, offset).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _steps(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps from one to the next."""
+    return _planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _from_steps(raw: bytes, offset: int = 0, n: int | None = None) -> np.ndarray:
+    return np.cumsum(_from_planes(raw, "<u8", offset, n), dtype=np.uint64)
+
+
 def _narrow(counts: np.ndarray) -> bytes:
     """Counts in 4 bytes each where they fit, else 8; the first byte says which."""
     width = 4 if counts.max(initial=0) < 1 << 32 else 8
-    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
+    return bytes([width]) + _planes(counts.astype(f"<u{width}"))
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+    return _from_planes(raw, f"<u{raw[0]}", 1)
 
 
 def bucket_edges(buckets: int) -> np.ndarray:
     return (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
 
 
-def asked(docs: DataFrame, buckets: int) -> DataFrame:
-    """(kind, bucket, chunk, keys, counts): what each chunk asks of each bucket; kind 1 words, 2 pairs."""
+def kept(docs: DataFrame) -> DataFrame:
+    """(chunk, ids, held, n, tokens, body): each chunk's documents as numbers of its own sorted words."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, ids, held, lengths, h in chunks(batches):
+            own, inverse = np.unique(h, return_inverse=True)
+            body = zstandard.ZstdCompressor(level=1).compress(_steps(own) + _planes(lengths.astype(np.uint32)) + _planes(inverse.astype(np.uint32)))
+            columns = [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([len(own)], pa.int64()), pa.array([len(h)], pa.int64()), pa.array([body], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "held", "n", "tokens", "body"])
+
+    return docs.mapInArrow(keep, "chunk long, ids array<long>, held array<boolean>, n long, tokens long, body binary")
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """A chunk at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def _opened(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(own words, number of the word at each token, lengths of the documents) of a chunk."""
+    raw, n, docs = zstandard.ZstdDecompressor().decompress(row["body"]), row["n"], len(row["ids"])
+    lengths = _from_planes(raw, "<u4", 8 * n, docs).astype(np.int64)
+    return _from_steps(raw, 0, n), _from_planes(raw, "<u4", 8 * n + 4 * docs), lengths
+
+
+def asked(stored: DataFrame, buckets: int) -> DataFrame:
+    """(kind, bucket, chunk, keys, counts): what each stored chunk asks of each bucket; kind 1 words, 2 pairs."""
     edges = bucket_edges(buckets)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, _, held, lengths, h in chunks(batches):
-            training = np.repeat(~held, lengths)
+        for row in _rows(batches):
+            words, at, lengths = _opened(row)
+            h = words[at]
+            training = np.repeat(~np.array(row["held"], bool), lengths)
             for kind, keys in ((1, h), (2, pairs(lengths, h)[1])):
                 own, inverse = np.unique(keys, return_inverse=True)
-                counts = np.bincount(inverse, training, len(own)).astype(np.uint32)
+                counts = np.bincount(inverse, training, len(own)).astype("<u4")
                 cuts = [0, *np.searchsorted(own, edges, "left"), len(own)]
                 some = [(b, cuts[b], cuts[b + 1]) for b in range(buckets) if cuts[b] < cuts[b + 1]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([kind] * len(some), pa.int32()), pa.array([b for b, _, _ in some], pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array([own[i:j].tobytes() for _, i, j in some], pa.binary()), pa.array([counts[i:j].tobytes() for _, i, j in some], pa.binary())],
+                    [pa.array([kind] * len(some), pa.int32()), pa.array([b for b, _, _ in some], pa.int32()), pa.array([row["chunk"]] * len(some), pa.int64()), pa.array([_steps(own[i:j]) for _, i, j in some], pa.binary()), pa.array([_planes(counts[i:j]) for _, i, j in some], pa.binary())],
                     ["kind", "bucket", "chunk", "keys", "counts"],
                 )
 
-    return docs.mapInArrow(ask, "kind int, bucket int, chunk long, keys binary, counts binary")
+    return stored.mapInArrow(ask, "kind int, bucket int, chunk long, keys binary, counts binary")
 
 
 def answered(questions: DataFrame) -> DataFrame:
     """(kind, bucket, chunk, totals, different, total): totals in the order asked; the row with a null chunk has the bucket's number of different keys with a count, and their sum."""
 
     def add_up(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
+        keys = [_from_steps(k) for k in rows["keys"]]
         own, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, np.concatenate([np.frombuffer(c, np.uint32) for c in rows["counts"]]), len(own)).astype(np.int64)
+        totals = np.bincount(inverse, np.concatenate([_from_planes(c, "<u4") for c in rows["counts"]]), len(own)).astype(np.int64)
         back = np.split(totals[inverse], np.cumsum([len(k) for k in keys])[:-1])
         own_row = {"kind": rows["kind"].iloc[0], "bucket": rows["bucket"].iloc[0]}
         out = [own_row | {"chunk": c, "totals": _narrow(b), "different": None, "total": None} for c, b in zip(rows["chunk"], back, strict=True)]
@@ -122,40 +173,15 @@ def answered(questions: DataFrame) -> DataFrame:
     return questions.groupBy("kind", "bucket").applyInPandas(add_up, "kind int, bucket int, chunk long, totals binary, different long, total long")
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(a.tobytes() for a in arrays))
-
-
-def kept(docs: DataFrame) -> DataFrame:
-    """(chunk, ids, held, n, words, body): each chunk's documents as numbers of its own sorted words; made from the same chunks as the questions."""
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, ids, held, lengths, h in chunks(batches):
-            own, inverse = np.unique(h, return_inverse=True)
-            body = _pack(own, lengths.astype(np.uint32), inverse.astype(np.uint32))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held.tolist()], pa.list_(pa.bool_())), pa.array([len(own)], pa.int64()), pa.array([body], pa.binary())], ["chunk", "ids", "held", "n", "body"]
-            )
-
-    return docs.mapInArrow(keep, "chunk long, ids array<long>, held array<boolean>, n long, body binary")
-
-
 def events(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lengths, word counts, context counts, pair counts) of all tokens of a chunk, from its documents and answers."""
-    raw = zstandard.ZstdDecompressor().decompress(row["body"])
-    n, docs = row["n"], len(row["ids"])
-    own = np.frombuffer(raw, np.uint64, n)
-    lengths = np.frombuffer(raw, np.uint32, docs, 8 * n).astype(np.int64)
-    at = np.frombuffer(raw, np.uint32, -1, 8 * n + 4 * docs)
-    h = own[at]
-    context, both = pairs(lengths, h)
+    own, at, lengths = _opened(row)
+    context, both = pairs(lengths, own[at])
     totals = {1: [], 2: []}
     for a in sorted(row["answers"], key=lambda a: (a["kind"], a["bucket"])):
         totals[a["kind"]].append(_wide(a["totals"]))
     words, joint = (np.concatenate(totals[k]).astype(np.int64) for k in (1, 2))
-    distinct, inverse = np.unique(both, return_inverse=True)
-    if len(words) != n or len(joint) != len(distinct):
-        raise ValueError("the documents were dealt out differently between two passes")
+    inverse = np.unique(both, return_inverse=True)[1]
     # A word's frequency as a context is its own, as every text ends with END; END stands for the beginning.
     return lengths, words[at], words[np.searchsorted(own, context)], joint[inverse]
 
@@ -174,16 +200,14 @@ def histogram(chunked: DataFrame, tokens: int, kinds: int) -> DataFrame:
     """(bucket, pair, word, n): how many training events, each deleted from its own counts, have a context of a bucket and estimates of a size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # a chunk at a time
-                row = batch.slice(k, 1).to_pylist()[0]
-                lengths, words, context, joint = events(row)
-                use = np.repeat(~np.array(row["held"], bool), lengths)
-                words, context, joint = words[use] - 1, context[use] - 1, joint[use] - 1
-                f2, f1, f0 = estimates(words, context, joint, tokens - 1, kinds)
-                size = [np.where(f > 0, np.clip(np.round(np.log2(np.maximum(f, 1e-300) / f0) * FINE) + FINE * OCTAVES, 1, 2 * FINE * OCTAVES), 0).astype(np.int64) for f in (f2, f1)]
-                key, n = np.unique((context_bucket(context) << 24) | (size[0] << 12) | size[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+        for row in _rows(batches):
+            lengths, words, context, joint = events(row)
+            use = np.repeat(~np.array(row["held"], bool), lengths)
+            words, context, joint = words[use] - 1, context[use] - 1, joint[use] - 1
+            f2, f1, f0 = estimates(words, context, joint, tokens - 1, kinds)
+            size = [np.where(f > 0, np.clip(np.round(np.log2(np.maximum(f, 1e-300) / f0) * FINE) + FINE * OCTAVES, 1, 2 * FINE * OCTAVES), 0).astype(np.int64) for f in (f2, f1)]
+            key, n = np.unique((context_bucket(context) << 24) | (size[0] << 12) | size[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
     return chunked.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
@@ -209,37 +233,36 @@ def mixture_weights(keys: np.ndarray, n: np.ndarray, rounds: int = 50) -> np.nda
     return weights
 
 
-def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+def score_texts(docs: DataFrame, modulus: int = 7, held: int = 2, bucket_bytes: int = 24 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). Rows whose crc32(id) mod ``modulus`` is ``held`` are not learned from."""
     spark = docs.sparkSession
-    # A plain read of a table is dealt out alike each time; anything else is written first.
-    plain = [F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), modulus) == held).alias("held")]
-    rows = docs.select(*plain)
-    if "Exchange" in rows._jdf.queryExecution().executedPlan().toString() or not docs.inputFiles():
-        rows = materialise(rows, "texts")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answers = materialise(answered(asked(rows, buckets)), "answers")
+    rows = docs.select(F.col("text").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), (crc_mod(F.col("doc_id"), modulus) == held).alias("held"))
+    stored = materialise(kept(rows), "words", first := new_path(spark, "words"))
+    asks = stored.agg(F.coalesce(F.sum(F.col("n") + F.col("tokens")), F.lit(0))).first()[0] * 12  # bytes at most: a key and a count for each word and pair
+    with conf_set(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):  # a chunk is a large row
+        answers = materialise(answered(asked(stored, max(1, -(-asks // bucket_bytes)))), "answers", second := new_path(spark, "answers"))
     stats = answers.filter("chunk IS NULL AND kind = 1").agg(F.coalesce(F.sum("different"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
     kinds, tokens = int(stats["v"]), int(stats["n"])
     replies = answers.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "totals")).alias("answers"))
-    chunked = materialise(kept(rows).join(replies, "chunk"), "chunks")
-    counted = histogram(chunked, tokens, kinds).collect()  # sizes and buckets have a fixed range
+    chunked = materialise(stored.join(replies, "chunk"), "chunks")
+    for path in (first, second):
+        drop_path(spark, path)
+    with conf_set(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}):
+        counted = histogram(chunked, tokens, kinds).collect()  # sizes and buckets have a fixed range
     weights = mixture_weights(np.array([r["key"] for r in counted], np.int64), np.array([r["n"] for r in counted], float))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):  # a chunk at a time
-                row = batch.slice(k, 1).to_pylist()[0]
-                lengths, words, context, joint = events(row)
-                f2, f1, f0 = estimates(words, context, joint, tokens, kinds)
-                w = weights[context_bucket(context)]
-                logs = np.log10(w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] * f0)
-                base = np.log10((words + 1) / (tokens + kinds + 1))
-                at = np.cumsum(lengths) - lengths
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths), pa.array(np.add.reduceat((words > 0).astype(np.int64), at)), pa.array(np.full(len(at), tokens)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(logs, at))],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
+        for row in _rows(batches):
+            lengths, words, context, joint = events(row)
+            f2, f1, f0 = estimates(words, context, joint, tokens, kinds)
+            w = weights[context_bucket(context)]
+            logs = np.log10(w[:, 0] * f2 + w[:, 1] * f1 + w[:, 2] * f0)
+            base = np.log10((words + 1) / (tokens + kinds + 1))
+            at = np.cumsum(lengths) - lengths
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths), pa.array(np.add.reduceat((words > 0).astype(np.int64), at)), pa.array(np.full(len(at), tokens)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(logs, at))],
+                ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
 
     return chunked.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 

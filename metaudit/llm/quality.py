@@ -6,8 +6,9 @@ features of a bounded sample of labelled rows; it is a few tables, and every who
 vectorised bin lookups.
 
 Defined results: a null or empty text has all features zero; labels that are null or belong to no document
-are not used, and of several labels of an id the highest counts; without labels every score is 0.5; rows
-that repeat are rows of their own; an empty table gives an empty result; extra columns are ignored.
+are not used, and of several labels of an id the highest counts; rows with the same id and text are learned
+from once; without labels every score is 0.5; rows that repeat get scores of their own; an empty table gives
+an empty result; extra columns are ignored or kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import crc_mod, table
+from .common import crc_mod, packed, sampled, table, text_hash
 
 FEATURES = (
     "words", "word_length", "upper", "digits", "symbols", "punctuation", "exclamations", "bars", "lines", "line_length",
@@ -187,8 +188,8 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, rounds: int = 150, n_pairs
 
 def _over_texts(docs: DataFrame, keep: list[str], make, kind: str) -> DataFrame:
     """Columns ``keep`` and a column ``out`` made from the features of each run of texts."""
-    packed = docs.select(F.col("text").alias("text"), F.struct(*[F.col(c) for c in keep]).alias("row"))
-    schema = packed.select("row", F.lit(None).cast(kind).alias("out")).schema
+    rows = docs.select(F.col("text").alias("text"), packed(keep).alias("row"))
+    schema = rows.select("row", F.lit(None).cast(kind).alias("out")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,16 +198,15 @@ def _over_texts(docs: DataFrame, keep: list[str], make, kind: str) -> DataFrame:
             values = pa.array(list(out)) if out.ndim == 2 else pa.array(out, pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(1), values], ["row", "out"])
 
-    return packed.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = 20_000, **options) -> Model:
-    """``max_rows`` bounds the labelled rows that are learned from, chosen by a hash of the id; their features come to the driver."""
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows at most
-    rows = _over_texts(texts, ["doc_id", "y"], lambda x: x, "array<double>").select("row.doc_id", "row.y", "out").limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["y"], r["out"]))
+    """``max_rows`` bounds the labelled rows of ``docs`` that are learned from; of more, those with the smallest hashes are taken. Their features, 18 numbers each, come to the driver."""
+    chosen = sampled(docs, labels, label, max_rows)
+    texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), text_hash().alias("text_hash")).join(F.broadcast(chosen), ["doc_id", "text_hash"])  # max_rows rows at most
+    made = _over_texts(texts, ["doc_id", "text_hash", "y"], lambda x: x, "array<double>").select("row.*", "out").dropDuplicates(["doc_id", "text_hash"])
+    rows = sorted(made.collect(), key=lambda r: (r["doc_id"], r["text_hash"]))  # one for each of the chosen at most
     x = np.array([r["out"] for r in rows], float).reshape(len(rows), len(FEATURES))
     return fit(x, np.array([r["y"] for r in rows], float), **options)
 

@@ -3,12 +3,12 @@
 Features of a text are its distinct words, word pairs and pairs with one word between (letters and digits,
 lower-cased), hashed to 2**bits places. Follow-the-regularised-leader with per-coordinate rates and an L1
 term learns from a bounded sample of labelled rows, in one task or in several whose weights are averaged,
-and leaves few weights. The table of weights has a fixed size of 4 * 2**bits bytes and is broadcast; texts
+and leaves few weights. Texts become the numbers of their features before they are gathered. The table of weights has a fixed size of 4 * 2**bits bytes and is broadcast; texts
 are scored whole, a run of documents at a time.
 
 Defined results: a null or empty text has no feature and gets the score of the intercept; labels that are
-null or belong to no document are not used, and of several labels of an id the highest counts; without
-labels every score is 0.5; rows that repeat are rows of their own; an empty table gives an empty result;
+null or belong to no document are not used, and of several labels of an id the highest counts; rows with the
+same id and text are learned from once; without labels every score is 0.5; rows that repeat are rows of their own; an empty table gives an empty result;
 extra columns are ignored or kept as they are, whatever their names.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import crc_mod, table
+from .common import crc_mod, packed, sampled, table, text_hash
 
 BITS = 20
 
@@ -57,24 +57,39 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, size: int, epochs: int, alp
     return np.where(np.abs(z) <= shrink, 0.0, (np.sign(z) * shrink - z) / ((beta + np.sqrt(n)) / alpha + l2))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str, bits: int = BITS, max_rows: int = 16_000, shards: int = 1, epochs: int = 6, alpha: float = 2.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.0) -> np.ndarray:
-    """The weights. ``max_rows`` bounds the labelled rows that are learned from, chosen by a hash of the id. ``l1`` is the strength for 320 toxic rows or more; fewer rows get less in proportion."""
+def hashed(texts: DataFrame, bits: int) -> DataFrame:
+    """All columns but ``text``, and ``places``: the distinct places of each text's features."""
+    rest = [c for c in texts.columns if c != "text"]
+    schema = texts.select(*rest, F.array().cast("array<int>").alias("places")).schema
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = []
+            for first, last, data, offsets in tk.runs(batch.column(0)):
+                owner, at = features(data, offsets, bits)
+                pairs = np.unique((owner << bits) | at)
+                cuts = np.searchsorted(pairs >> bits, np.arange(last - first + 1))
+                places += [(pairs[a:b] & ((1 << bits) - 1)).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(places, pa.list_(pa.int32()))], [*rest, "places"])
+
+    return texts.select("text", *rest).mapInArrow(make, schema)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str, bits: int = BITS, max_rows: int = 16_000, shards: int = 1, epochs: int = 6, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.6, l2: float = 0.0) -> np.ndarray:
+    """The weights. ``max_rows`` bounds the labelled rows of ``docs`` that are learned from; of more, those with the smallest hashes are taken.
+
+    ``l1`` is for one row: sums of gradients scatter by the square root of the rows of the rarer label, so the term grows with that root, at every size."""
     size = 1 << bits
-    known = labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("int").alias("y")).dropna().groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).join(F.broadcast(chosen), "doc_id")  # max_rows rows at most
-    sharded = texts.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(shards)))
+    chosen = sampled(docs, labels, label, max_rows)
+    texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), text_hash().alias("text_hash")).join(F.broadcast(chosen), ["doc_id", "text_hash"])  # max_rows rows at most
+    rows = hashed(texts.select("doc_id", "text", "text_hash", "y"), bits).dropDuplicates(["doc_id", "text_hash"])
+    sharded = rows.withColumn("order", F.xxhash64("doc_id", "text_hash", F.lit(7))).withColumn("shard", F.pmod("order", F.lit(shards)))
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("doc_id", key=lambda ids: ids.astype("uint64") * np.uint64(0x9E3779B97F4A7C15))
-        each: list[np.ndarray] = []
-        for first, last, data, offsets in tk.runs(pa.array(rows["text"], pa.large_string())):
-            owner, at = features(data, offsets, bits)
-            pairs = np.unique((owner << bits) | at)
-            cuts = np.searchsorted(pairs >> bits, np.arange(last - first + 1))
-            each += [np.append(pairs[a:b] & (size - 1), size).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = rows.sort_values(["order", "doc_id", "text_hash"])
+        each = [np.append(np.asarray(p, np.int32), np.int32(size)) for p in rows["places"]]
         y = rows["y"].to_numpy(float)
-        w = ftrl(each, y, size, epochs, alpha, beta, l1 * min(1.0, y.sum() / 320), l2)
+        w = ftrl(each, y, size, epochs, alpha, beta, l1 * np.sqrt(min(y.sum(), (1 - y).sum())), l2)
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": at, "w": w[at]})
 
@@ -90,8 +105,8 @@ def with_score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights)
     bits = int(np.log2(len(weights) - 1))
-    packed = docs.select(F.col("text").alias("text"), F.struct(*[F.col(c) for c in keep]).alias("row"))
-    schema = packed.select("row", F.lit(0.0).alias("score")).schema
+    rows = docs.select(F.col("text").alias("text"), packed(keep).alias("row"))
+    schema = rows.select("row", F.lit(0.0).alias("score")).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -104,7 +119,7 @@ def with_score(docs: DataFrame, weights: np.ndarray, keep: list[str], name: str
                 out[first:last] += np.bincount(pairs >> bits, w[pairs & ((1 << bits) - 1)], last - first)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(1 / (1 + np.exp(-np.clip(out, -35, 35))))], ["row", "score"])
 
-    return packed.mapInArrow(score, schema).select("row.*", F.col("score").alias(name))
+    return rows.mapInArrow(score, schema).select("row.*", F.col("score").alias(name))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, **options) -> DataFrame:
@@ -115,7 +130,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` that score below the threshold."""
-    row = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), F.struct(*docs.columns).alias("kept"))
+    row = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), packed(docs.columns).alias("kept"))
     return score_toxicity(row, labels, ["kept"], **options).filter(F.col("toxicity") < threshold).select("kept.*")
 
 
