@@ -9,7 +9,9 @@ too little as a template: it only meets windows with the same values.
 
 Before that, documents that cannot leak are set aside without loss: who holds 0.8 of an item's windows
 holds one of any set of more than 0.2 of them, so it has all literal words of one window of such a set,
-the longest one (its anchor) among them.
+the longest one (its anchor) among them. Documents and anchors meet by an equi-join on words, so the cost of
+a document does not grow with the benchmark; what a window does that many documents share with many items
+is a pair for each, which the comparison needs.
 
 Defined results: a null or empty text has no tokens and leaks nothing; an item without tokens never
 matches; an item of fewer than five tokens is one window of its length; of an item made of placeholders
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, text_or_empty
+from .common import SPACE, among, located, materialise, small, text_or_empty, without
 
 #: Measures and currencies that count as units.
 UNITS = (
@@ -31,8 +33,6 @@ UNITS = (
 ).split()
 NUMBER, UNIT, NAME = "<num>", "<unit>", "<name>"
 WINDOW, SHARE, LITERALS = 5, 0.8, 2
-#: Anchor windows are shipped to every task up to this many (a few MB); beyond it all documents are compared in full.
-MOST_ANCHORS = 50_000
 
 
 _STOP = "\u0001"
@@ -112,73 +112,75 @@ def anchors(items: DataFrame) -> DataFrame:
     return ranked.select(F.explode(F.slice("l", F.lit(1), needed.cast("int"))).alias("l")).select(F.col("l.longest.w").alias("anchor"), F.col("l.words").alias("words")).distinct()
 
 
-def compare(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(suspects, leaks, others): suspects (uid, doc_id, row), written; leaks (uid, item_id, matched, windows), written; and the rows that cannot leak."""
-    rows = docs.select(F.col("doc_id").alias("doc_id"), text_or_empty().alias("text"), F.struct(*docs.columns).alias("row"))
+def compare(base: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(suspects, leaks) of located rows: suspects (uid, at, doc_id), leaks (uid, item_id, matched, windows); both written.
+
+    Texts are read three times, for ever fewer rows, and only words and windows of those that may leak are shuffled."""
+    rows = base.select("at", F.col("row.doc_id").alias("doc_id"), text_or_empty("row.text").alias("text"))
     items, sizes = item_windows(benchmark)
-    windows_of = anchors(items)
-    one = windows_of.agg(F.when(F.count("*") <= MOST_ANCHORS, F.collect_set("anchor")).alias("anchors"))
-    one = materialise(one, "anchors")
-    has_anchor = F.coalesce(F.arrays_overlap(_plain_words(F.col("text")), F.col("anchors")), F.lit(True))
-    tried = rows.crossJoin(F.broadcast(one)).withColumn("has_anchor", has_anchor)  # one row of bounded size
-    others = tried.filter("NOT has_anchor").select("row")
-    suspects = materialise(tried.filter("has_anchor").select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text", "row", F.col("anchors").isNotNull().alias("sifted")), "suspects")
-    # Of those, the ones that have all words of a window whose anchor they have.
-    met = suspects.filter("sifted").crossJoin(F.broadcast(one)).select("uid", _plain_words(F.col("text")).alias("words"), "anchors").select("uid", "words", F.explode(F.array_intersect("words", "anchors")).alias("anchor"))
-    close = met.join(windows_of.withColumnRenamed("words", "needed"), "anchor").filter(F.size(F.array_except("needed", "words")) == 0).select("uid").distinct()
-    close = close.unionByName(suspects.filter("NOT sifted").select("uid"))
-    found = tokenised(suspects.select("uid", "text").join(close, "uid", "left_semi"), "uid", "suspect-tokens")
+    windows_of = materialise(anchors(items), "anchors")
+    shortest = windows_of.agg(F.coalesce(F.min(F.length("anchor")), F.lit(0))).first()[0]
+    # Which anchors a document has: an equi-join of its words that are no shorter than any anchor.
+    words = F.filter(F.array_distinct(_plain_words(F.col("text"))), lambda w: F.length(w) >= shortest)
+    met = materialise(rows.select("at", F.explode(words).alias("anchor")).join(small(windows_of.select("anchor").distinct()), "anchor"), "anchored")
+    # Of those documents, the ones that have all words of a window whose anchor they have.
+    needed = met.join(windows_of, "anchor").groupBy("at").agg(F.collect_set("words").alias("needed"))
+    having = among(rows, met.select("at").distinct()).select("at", "doc_id", _plain_words(F.col("text")).alias("words")).join(needed, "at")
+    close = having.filter(F.exists("needed", lambda n: F.size(F.array_except(n, "words")) == 0)).select("at", "doc_id")
+    suspects = materialise(close.withColumn("uid", F.monotonically_increasing_id()), "suspects")
+    found = tokenised(among(rows.select("at", "text"), suspects.select("at", "uid")), "uid", "suspect-tokens")
     held = None
     for size in sizes:
         part = found.select("uid", F.lit(size).alias("size"), F.explode(windows(size)).alias("w")).select("uid", "size", F.col("w.at").alias("d_at"), F.col("w.key").alias("key"), F.col("w.slots").alias("d_slots"))
         held = part if held is None else held.unionByName(part)
     if held is None:
-        return suspects, docs.sparkSession.createDataFrame([], "uid bigint, item_id bigint, matched bigint, windows bigint"), others
+        return suspects, base.sparkSession.createDataFrame([], "uid bigint, item_id bigint, matched bigint, windows bigint")
     values = lambda c: F.transform(F.split(c, " "), lambda v: F.when(v != "", v))
-    met = held.join(items, ["size", "key"]).select("uid", "item_id", "n", "key", (F.col("d_at") - F.col("at")).alias("shift"), F.arrays_zip(values("slots").alias("i"), values("d_slots").alias("d")).alias("slots"))
+    met = held.join(small(items), ["size", "key"]).select("uid", "item_id", "n", "key", (F.col("d_at") - F.col("at")).alias("shift"), F.arrays_zip(values("slots").alias("i"), values("d_slots").alias("d")).alias("slots"))
     met = materialise(met, "met")
     slots = met.select("uid", "item_id", "shift", F.explode("slots").alias("s")).filter("s.i IS NOT NULL").groupBy("uid", "item_id", "shift", "s.i").agg((F.min("s.d") != F.max("s.d")).alias("bad"))
     bad = slots.filter("bad").select("uid", "item_id", "shift").distinct()
     whole = met.join(bad, ["uid", "item_id", "shift"], "left_anti").groupBy("uid", "item_id").agg(F.count_distinct("key").alias("matched"), F.max("n").cast("bigint").alias("windows"))
-    return suspects, materialise(whole.filter(F.col("matched") >= SHARE * F.col("windows") - 1e-9), "leaks"), others
+    return suspects, materialise(whole.filter(F.col("matched") >= SHARE * F.col("windows") - 1e-9), "leaks")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched, windows, share), one row for each leaking document and item."""
-    suspects, leaks, _ = compare(docs, benchmark)
+    suspects, leaks = compare(located(docs), benchmark)
     return suspects.select("uid", "doc_id").join(leaks, "uid").select("doc_id", "item_id", "matched", "windows", F.round(F.col("matched") / F.col("windows"), 6).alias("share"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that leak no item."""
-    suspects, leaks, others = compare(docs, benchmark)
-    clean = suspects.join(leaks, "uid", "left_anti").select("row")
-    return others.unionByName(clean).select("row.*")
+    base = located(docs)
+    suspects, leaks = compare(base, benchmark)
+    return without(base, suspects.join(leaks, "uid", "left_semi").select("at")).select("row.*")
 
 
 def query(spark, sf_dir):
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-#: The same in SQL, for items of five tokens or more. ``matched`` counts different windows on consistent alignments.
+#: The same in SQL, windows of all sizes compared. ``matched`` counts different windows on consistent alignments.
 _SQL_TOKENS = r"""
 {x}1 AS (SELECT id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda v: v <> '') AS w FROM ({source}))),
 {x}0 AS (SELECT id, i, regexp_replace(w, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS core, regexp_matches(w, '[.!?:][^\p{{L}}\p{{N}}]*$') AS stops FROM {x}1),
 {x}2 AS (SELECT id, i, core, coalesce(lag(stops) OVER (PARTITION BY id ORDER BY i), TRUE) AS starts FROM {x}0 WHERE core <> '' OR stops),
 {x}3 AS (SELECT id, i, lower(core) AS low, CASE WHEN regexp_matches(core, '^[0-9]+([.,:/][0-9]+)*$') THEN '<num>' WHEN lower(core) IN ({units}) THEN '<unit>' WHEN NOT starts AND regexp_matches(core, '^\p{{Lu}}\p{{L}}*\p{{Ll}}') THEN '<name>' END AS kind FROM {x}2 WHERE core <> ''),
 {x}4 AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) AS p, coalesce(kind, low) AS t, CASE WHEN kind IS NOT NULL THEN low END AS v FROM {x}3),
-{x}5 AS (SELECT id, p, concat_ws(' ', t, lead(t, 1) OVER k, lead(t, 2) OVER k, lead(t, 3) OVER k, lead(t, 4) OVER k) AS key, [v, lead(v, 1) OVER k, lead(v, 2) OVER k, lead(v, 3) OVER k, lead(v, 4) OVER k] AS slots,
+{x}5 AS (SELECT id, p, [t, lead(t, 1) OVER k, lead(t, 2) OVER k, lead(t, 3) OVER k, lead(t, 4) OVER k] AS ts, [v, lead(v, 1) OVER k, lead(v, 2) OVER k, lead(v, 3) OVER k, lead(v, 4) OVER k] AS vs,
                count(*) OVER (PARTITION BY id) AS n FROM {x}4 WINDOW k AS (PARTITION BY id ORDER BY p)),
-{x} AS (SELECT id, p, key, slots FROM {x}5 WHERE p + 4 <= n AND len(list_filter(slots, lambda s: s IS NULL)) >= 2)"""
+{x}6 AS (SELECT id, p, n, s, ts[1:s] AS ts, vs[1:s] AS slots FROM {x}5, (SELECT unnest(range(1, 6)) AS s) WHERE p + s - 1 <= n AND {sizes}),
+{x} AS (SELECT id, p, s, slots, array_to_string(ts, ' ') || CASE WHEN len(list_filter(slots, lambda v: v IS NULL)) < least(2, s) THEN chr(1) || array_to_string(list_transform(slots, lambda v: coalesce(v, '')), ' ') ELSE '' END AS key FROM {x}6)"""
 _UNITS_SQL = ", ".join(f"'{u}'" for u in UNITS)
 ORACLE = (
     "WITH u AS (SELECT row_number() OVER () AS id, doc_id, text FROM documents),"
-    + _SQL_TOKENS.format(x="d", source="SELECT id, text FROM u", units=_UNITS_SQL)
+    + _SQL_TOKENS.format(x="b", source="SELECT item_id AS id, text FROM benchmark", units=_UNITS_SQL, sizes="s = least(n, 5)")
     + ","
-    + _SQL_TOKENS.format(x="b", source="SELECT item_id AS id, text FROM benchmark", units=_UNITS_SQL)
+    + _SQL_TOKENS.format(x="d", source="SELECT id, text FROM u", units=_UNITS_SQL, sizes="s IN (SELECT s FROM b)")
     + """,
 n AS (SELECT id, count(DISTINCT key) AS windows FROM b GROUP BY id),
-m AS (SELECT d.id, b.id AS item_id, d.key, d.p - b.p AS shift, unnest(b.slots) AS item_value, unnest(d.slots) AS doc_value FROM d JOIN b ON d.key = b.key),
+m AS (SELECT d.id, b.id AS item_id, d.key, d.p - b.p AS shift, unnest(b.slots) AS item_value, unnest(d.slots) AS doc_value FROM d JOIN b ON d.s = b.s AND d.key = b.key),
 x AS (SELECT DISTINCT id, item_id, shift FROM (SELECT id, item_id, shift, item_value FROM m WHERE item_value IS NOT NULL GROUP BY ALL HAVING min(doc_value) <> max(doc_value))),
 l AS (SELECT id, item_id, count(DISTINCT key) AS matched FROM m ANTI JOIN x USING (id, item_id, shift) GROUP BY ALL)
 SELECT doc_id, item_id, matched, windows, round(matched / windows, 6) AS share FROM l JOIN n ON l.item_id = n.id JOIN u ON u.id = l.id WHERE matched >= 0.8::DOUBLE * windows - 1e-9"""

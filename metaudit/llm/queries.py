@@ -19,6 +19,7 @@ QUERIES = {
 ORACLES = {
     "op6_mix_sources": mixing.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_url_filter": url_filter.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
 }

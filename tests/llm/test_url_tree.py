@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from metaudit.llm import url_filter
 
 
-def brute(rows, levels=4, max_children=16, z=1.96, strength=4.0):
+def similar(n, b, fn, fb, z):
+    share = (fb + 1) / (fn + 2)
+    return abs((b + share) / (n + 1) - share) <= z * math.sqrt(share * (1 - share) / (n + 1))
+
+
+def brute(rows, max_children=16, z=1.96, strength=4.0):
     """{(host, shape): (template, labelled, bad, purity)}"""
     tree = {}
     for host, shape, bad in rows:
@@ -17,13 +22,19 @@ def brute(rows, levels=4, max_children=16, z=1.96, strength=4.0):
         t[1] += bad is not None
         t[2] += bool(bad)
     star = lambda t, k: (*t[:k], "*", *t[k + 1 :])
+    levels = max((len(shape) for _, shape, _ in rows), default=0)
     for k in range(levels):
-        children = {}
-        for (host, _), (t, _, _) in tree.items():
+        kids, family = {}, {}
+        for (host, _), (t, n, b) in tree.items():
             if len(t) > k:
-                children.setdefault((host, t[:k]), set()).add(t[k])
+                for table, key in ((kids, (host, t[:k], t[k])), (family, (host, t[:k]))):
+                    x = table.setdefault(key, [0, 0])
+                    x[0] += n
+                    x[1] += b
+        many = {f for f in family if sum(key[:2] == f for key in kids) > max_children}
         for (host, _), e in tree.items():
-            if len(e[0]) > k and len(children[host, e[0][:k]]) > max_children:
+            f = (host, e[0][:k])
+            if len(e[0]) > k and f in many and similar(*kids[*f, e[0][k]], *family[f], z):
                 e[0] = star(e[0], k)
     for k in reversed(range(levels)):
         branch, pooled = {}, {}
@@ -36,8 +47,7 @@ def brute(rows, levels=4, max_children=16, z=1.96, strength=4.0):
         for (host, _), e in tree.items():
             if len(e[0]) > k:
                 (n, b), (fn, fb) = branch[host, e[0]], pooled[host, star(e[0], k)]
-                share = (fb + 1) / (fn + 2)
-                if abs((b + share) / (n + 1) - share) <= z * math.sqrt(share * (1 - share) / (n + 1)):
+                if similar(n, b, fn, fb, z):
                     e[0] = star(e[0], k)
     n, b = sum(e[1] for e in tree.values()), sum(e[2] for e in tree.values())
     out = {}
