@@ -3,6 +3,9 @@
 Each check gives rows, one for each file of each finding (``FINDING_FILES``), so a finding that names a
 million files is a million rows. ``collapse`` makes one row a finding with arrays, for reports.
 
+Checks of positions, orientation and modality mark the ordered files by windows of their series, so that one
+exchange serves them all and no table is joined with itself; the checks of fields do the same by series and path.
+
 ``ordered`` comes from ``series.order_series``; ``findings`` from ``classify.classify``. The key of a
 series is (study, series) except where a check looks across studies.
 """
@@ -15,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import POSITION_TOLERANCE, SPACING_TOLERANCE, number
-from ..sources.scratch import written
 from .classify import PER_INSTANCE_TAGS
 
 FINDING_FILES = (
@@ -31,82 +33,126 @@ IDENTIFYING_KINDS = ("varying-value", "extra-field")
 SERIES = ("study", "series")
 
 
-def _rows(found: DataFrame, check_no: int, kind: str, scope: str = "series", **columns: Column) -> DataFrame:
-    """The common columns of finding rows; what a check does not set is null."""
-    fields = [f.split(" ") for f in FINDING_FILES.split(", ")]
+_FIELDS = [f.split(" ") for f in FINDING_FILES.split(", ")]
+_ONE = "struct<" + ", ".join(f"{n}: {t}" for n, t in _FIELDS) + ">"
+
+
+def _finding(check_no: int, kind: str, scope: str = "series", **columns: Column) -> Column:
+    """A struct of the common columns of a finding row; what a check does not set is null."""
     fixed = {"check_no": F.lit(check_no), "kind": F.lit(kind), "scope": F.lit(scope)} | columns
-    return found.select(*[fixed.get(n, F.lit(None)).cast(t).alias(n) for n, t in fields])
+    return F.struct(*[fixed.get(n, F.lit(None)).cast(t).alias(n) for n, t in _FIELDS])
+
+
+def _rows(found: DataFrame, check_no: int, kind: str, scope: str = "series", **columns: Column) -> DataFrame:
+    return found.select(_finding(check_no, kind, scope, **columns).alias("f")).select("f.*")
 
 
 def _kept(*names: str) -> dict[str, Column]:
     return {n: F.col(n) for n in names}
 
 
+#: A check as marks: the windows' columns in the order in which they are made, and what a row then finds, an array.
+Marks = tuple[list[dict[str, Column]], Column]
+
+
+def _marked(ordered: DataFrame, checks: Sequence[Marks]) -> DataFrame:
+    """The finding rows of checks that mark rows, from one pass over the table."""
+    for steps, _ in checks:
+        for columns in steps:
+            ordered = ordered.withColumns(columns)
+    found = F.flatten(F.array(*[F.coalesce(f, F.array().cast(f"array<{_ONE}>")) for _, f in checks]))
+    return ordered.select(F.explode(found).alias("f")).select("f.*")
+
+
+def _gap_marks(tolerance: float) -> Marks:
+    group, along = Window.partitionBy(*SERIES), Window.partitionBy(*SERIES).orderBy("ordinal")
+    bucket = Window.partitionBy(*SERIES, "_bucket")
+    placed = F.col("ordered_by") == "position"
+    steps = [
+        {"_previous": F.lag("file").over(along), "_step": F.when(placed, F.col("distance") - F.lag("distance").over(along))},
+        {"_bucket": F.floor(F.col("_step") / tolerance + 0.5)},
+        {"_n": F.count("_step").over(bucket), "_first": F.min_by("_step", F.when(F.col("_step").isNotNull(), F.col("ordinal"))).over(bucket)},
+        {"_steps": F.count("_step").over(group), "_usual": F.min_by("_first", F.when(F.col("_step").isNotNull(), F.struct((-F.col("_n")).alias("n"), F.col("_first").alias("f")))).over(group)},
+    ]
+    pair = [_finding(1, KINDS[0], **_kept(*SERIES), expected=F.col("_usual"), actual=F.col("_step"), item=F.col("ordinal"), file=F.col(f), ordinal=at) for f, at in (("_previous", F.col("ordinal") - 1), ("file", F.col("ordinal")))]
+    return steps, F.when((F.col("_steps") >= 2) & (F.abs(F.col("_step") - F.col("_usual")) > tolerance), F.array(*pair))
+
+
+def _duplicate_marks(tolerance: float) -> Marks:
+    along = Window.partitionBy(*SERIES).orderBy("ordinal")
+    placed = F.col("ordered_by") == "position"
+    steps = [
+        {"_near": F.coalesce(F.col("distance") - F.lag("distance").over(along) <= tolerance, F.lit(False))},
+        {"_island": F.sum(F.when(F.col("_near"), 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0))},
+        {"_size": F.count("*").over(Window.partitionBy(*SERIES, "_island"))},
+    ]
+    return steps, F.when(placed & (F.col("_size") > 1), F.array(_finding(2, KINDS[1], **_kept(*SERIES, "file", "ordinal"), item=F.col("_island"))))
+
+
+def _orientation_marks() -> Marks:
+    return [], F.when(~F.col("orientation_consistent"), F.array(_finding(4, KINDS[3], **_kept(*SERIES, "file", "ordinal"))))
+
+
+def _modality_marks() -> Marks:
+    group = Window.partitionBy(*SERIES)
+    steps = [{"_low": F.min("modality").over(group), "_high": F.max("modality").over(group)}]
+    return steps, F.when(F.col("modality").isNotNull() & (F.col("_low") != F.col("_high")), F.array(_finding(5, KINDS[4], **_kept(*SERIES, "file", "ordinal"), value=F.col("modality"))))
+
+
 def position_gaps(ordered: DataFrame, tolerance: float = POSITION_TOLERANCE) -> DataFrame:
     """Steps between consecutive positions that differ from the series' most frequent step, for series of three files or more.
 
     The most frequent step is that of the largest bucket of hundredths; its first value stands for it, the smaller of equally frequent ones."""
-    along = Window.partitionBy(*SERIES).orderBy("ordinal")
-    steps = ordered.filter("ordered_by = 'position'").select(*SERIES, "file", "ordinal", "distance", F.lag("distance").over(along).alias("_before"), F.lag("file").over(along).alias("_previous"))
-    steps = steps.filter("_before IS NOT NULL").withColumn("actual", F.col("distance") - F.col("_before"))
-    buckets = steps.groupBy(*SERIES, F.floor(F.col("actual") / tolerance + 0.5).alias("_bucket")).agg(F.count("*").alias("n"), F.min_by("actual", "ordinal").alias("first"))
-    expected = buckets.groupBy(*SERIES).agg(F.min_by("first", F.struct((-F.col("n")).alias("n"), "first")).alias("expected"), F.sum("n").alias("_steps")).filter("_steps >= 2")
-    off = steps.join(expected, list(SERIES)).filter(F.abs(F.col("actual") - F.col("expected")) > tolerance)
-    pair = off.select(*SERIES, "expected", "actual", F.col("ordinal").alias("_at"), F.explode(F.array(F.struct(F.col("_previous").alias("file"), (F.col("ordinal") - 1).alias("ordinal")), F.struct("file", "ordinal"))).alias("f"))
-    return _rows(pair, 1, KINDS[0], **_kept(*SERIES, "expected", "actual"), item=F.col("_at"), file=F.col("f.file"), ordinal=F.col("f.ordinal"))
+    return _marked(ordered, [_gap_marks(tolerance)])
 
 
 def duplicate_positions(ordered: DataFrame, tolerance: float = POSITION_TOLERANCE) -> DataFrame:
     """Runs of two or more files whose consecutive positions lie within the tolerance; runs may chain."""
-    along = Window.partitionBy(*SERIES).orderBy("ordinal")
-    step = F.col("distance") - F.lag("distance").over(along)
-    marked = ordered.filter("ordered_by = 'position'").withColumn("_new", F.when(step <= tolerance, 0).otherwise(1))
-    islands = marked.withColumn("_island", F.sum("_new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    sized = islands.withColumn("_size", F.count("*").over(Window.partitionBy(*SERIES, "_island"))).filter("_size > 1")
-    return _rows(sized, 2, KINDS[1], **_kept(*SERIES, "file", "ordinal"), item=F.col("_island"))
+    return _marked(ordered, [_duplicate_marks(tolerance)])
 
 
 def spacing_outliers(ordered: DataFrame, tolerance: float = SPACING_TOLERANCE) -> DataFrame:
     """Files whose pixel spacing is not that of most files of the series.
 
-    Distinct spacings (few) are folded in order of first use, each joining the first group whose first spacing agrees;
-    equal spacings always share a group. A spacing that is not two numbers agrees with none and is a group a file."""
-    have = ordered.filter("spacing IS NOT NULL").withColumn("_pair", F.transform(F.slice(F.split("spacing", r"\\"), 1, 2), number))
+    Distinct spacings are folded in order of first use, each joining the first group whose first spacing agrees; equal
+    spacings always share a group. A spacing that is not two numbers agrees with none and is a group of its own for each
+    file. Such files are counted, not listed, and only series whose spacings differ are folded."""
+    group = Window.partitionBy(*SERIES)
+    pair = F.transform(F.slice(F.split("spacing", r"\\"), 1, 2), number)
     row, col = F.get("_pair", F.lit(0)), F.get("_pair", F.lit(1))
-    have = have.withColumns({"row": row, "col": F.when(row.isNotNull(), col)}).withColumn("_lone", F.when(F.col("row").isNull() | F.col("col").isNull(), F.col("file")))
-    kinds = have.groupBy(*SERIES, "row", "col", "_lone").agg(F.min("ordinal").alias("first"), F.count("*").alias("n"))
-    entry = F.struct("first", "row", "col", "_lone", "n")
-    lists = kinds.groupBy(*SERIES).agg(F.array_sort(F.collect_list(entry)).alias("all"), F.sum("n").alias("files")).filter("files >= 2 AND size(all) >= 2")
+    have = ordered.filter("spacing IS NOT NULL").select(*SERIES, "file", "ordinal", pair.alias("_pair")).select(*SERIES, "file", "ordinal", row.alias("row"), F.when(row.isNotNull(), col).alias("col"))
+    both = F.col("row").isNotNull() & F.col("col").isNotNull()
+    have = have.withColumn("_read", both).withColumns({"_r": F.when(both, F.col("row")), "_c": F.when(both, F.col("col"))})
+    differ = (F.min("_r").over(group) != F.max("_r").over(group)) | (F.min("_c").over(group) != F.max("_c").over(group)) | ~F.bool_and("_read").over(group)
+    have = have.withColumn("_differ", F.coalesce(differ, F.lit(True))).filter("_differ")
+    kinds = have.filter("_read").groupBy(*SERIES, "row", "col").agg(F.min("ordinal").alias("first"), F.count("*").alias("n"))
+    lists = kinds.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("first", "row", "col", "n"))).alias("all"))
 
     def close(a: Column, b: Column) -> Column:
-        return F.coalesce((F.abs(a["row"] - b["row"]) <= tolerance) & (F.abs(a["col"] - b["col"]) <= tolerance), F.lit(False))
+        return (F.abs(a["row"] - b["row"]) <= tolerance) & (F.abs(a["col"] - b["col"]) <= tolerance)
 
     leads = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda g: close(g, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    led = lists.withColumn("leads", leads).filter("size(leads) >= 2")
-    one = led.select(*SERIES, "leads", F.explode("all").alias("x")).withColumn("lead", F.coalesce(F.get(F.filter("leads", lambda g: close(g, F.col("x"))), F.lit(0)), F.col("x")))
-    sized = one.groupBy(*SERIES, "lead").agg(F.sum("x.n").alias("n"))
-    best = sized.groupBy(*SERIES).agg(F.min_by("lead", F.struct((-F.col("n")).alias("n"), "lead.row", "lead.col", "lead.first")).alias("best"))
-    names = (*SERIES, "row", "col", "_lone")
-    lead = lambda k: F.concat_ws("\\", f"{k}.row", f"{k}.col")
-    minority = one.join(best, list(SERIES)).filter(F.col("lead") != F.col("best"))
-    minority = minority.select(F.struct(*SERIES, "x.row", "x.col", "x._lone").alias("_m"), lead("lead").alias("value"), lead("best").alias("expected_value"), F.col("lead.first").alias("item"))
-    same = F.lit(True)
-    for n in names:
-        same = same & F.col(n).eqNullSafe(F.col(f"_m.{n}"))
-    files = have.select(*names, "file", "ordinal").join(minority, same)
-    return _rows(files, 3, KINDS[2], **_kept(*SERIES, "file", "ordinal", "value", "expected_value", "item"))
+    own = F.transform("all", lambda x: F.struct(F.get(F.filter("leads", lambda g: close(g, x)), F.lit(0))["first"].alias("lead"), x["n"].alias("n")))
+    counted = F.transform("leads", lambda g: F.struct((-F.aggregate(F.filter("own", lambda o: o["lead"] == g["first"]), F.lit(0).cast("bigint"), lambda a, o: a + o["n"])).alias("n"), g["row"].alias("row"), g["col"].alias("col"), g["first"].alias("first")))
+    led = lists.withColumn("leads", leads).withColumn("own", own).select(*SERIES, "leads", F.array_min(counted).alias("best"))
+    # Files without a readable spacing are groups of one file: they matter for the majority only where no group has two.
+    lone = F.when(~F.col("_read"), F.struct(F.lit(-1).cast("bigint").alias("n"), "row", "col", F.col("ordinal").alias("first")))
+    every = have.join(led, [*SERIES], "left").withColumn("_most", F.least(F.min(lone).over(group), F.col("best")))
+    mine = F.when(F.col("_read"), F.get(F.filter("leads", lambda g: close(g, F.struct(F.col("row").alias("row"), F.col("col").alias("col")))), F.lit(0))["first"]).otherwise(F.col("ordinal"))
+    text = lambda s: F.concat_ws("\\", f"{s}.row", f"{s}.col")
+    lead = F.when(F.col("_read"), F.get(F.filter("leads", lambda g: g["first"] == F.col("_mine")), F.lit(0))).otherwise(F.struct(F.col("ordinal").alias("first"), "row", "col", F.lit(1).cast("bigint").alias("n")))
+    minority = every.withColumn("_mine", mine).filter(F.col("_mine") != F.col("_most.first")).withColumn("_lead", lead)
+    return _rows(minority, 3, KINDS[2], **_kept(*SERIES, "file", "ordinal"), value=text("_lead"), expected_value=text("_most"), item=F.col("_mine"))
 
 
 def orientation_mix(ordered: DataFrame) -> DataFrame:
     """All files of series whose orientations do not agree."""
-    return _rows(ordered.filter("NOT orientation_consistent"), 4, KINDS[3], **_kept(*SERIES, "file", "ordinal"))
+    return _marked(ordered, [_orientation_marks()])
 
 
 def mixed_modality_series(ordered: DataFrame) -> DataFrame:
     """The files with a modality of series that have two or more."""
-    group = Window.partitionBy(*SERIES)
-    mixed = ordered.filter("modality IS NOT NULL").withColumns({"_low": F.min("modality").over(group), "_high": F.max("modality").over(group)}).filter("_low <> _high")
-    return _rows(mixed, 5, KINDS[4], **_kept(*SERIES, "file", "ordinal"), value=F.col("modality"))
+    return _marked(ordered, [_modality_marks()])
 
 
 def mixed_modality_folder(files: DataFrame) -> DataFrame:
@@ -124,32 +170,44 @@ def shared_series(ordered: DataFrame) -> DataFrame:
 
 def series_findings(ordered: DataFrame, findings: DataFrame) -> DataFrame:
     """The findings of grouped files with study, series, ordinal and the series' size: what the field checks share."""
-    sized = ordered.withColumn("n_files", F.count("*").over(Window.partitionBy(*SERIES))).select(*SERIES, "file", "ordinal", "n_files")
-    return findings.select("file", "path", "tag", "kind", "value").join(sized, "file")
+    sized = ordered if "n_files" in ordered.columns else ordered.withColumn("n_files", F.count("*").over(Window.partitionBy(*SERIES)))
+    return findings.select("file", "path", "tag", "kind", "value").join(sized.select(*SERIES, "file", "ordinal", "n_files"), "file")
+
+
+def _extra_marks() -> Marks:
+    steps = [{"_n": F.count("*").over(Window.partitionBy(*SERIES, "path"))}]
+    return steps, F.when((F.col("n_files") >= 2) & (F.col("_n") < F.col("n_files")), F.array(_finding(7, KINDS[6], **_kept(*SERIES, "path", "tag", "file", "ordinal"), item=F.col("path"))))
+
+
+def _varying_marks(exempt: Sequence[str]) -> Marks:
+    group = Window.partitionBy(*SERIES, "path")
+    compared = (F.col("n_files") >= 2) & (F.col("kind") == "annex-e") & ~F.col("tag").isin(*exempt)
+    steps = [
+        {"_v": F.when(compared, F.coalesce("value", F.lit("")))},
+        {"_same": F.count("_v").over(Window.partitionBy(*SERIES, "path", "_v"))},
+        {"_all": F.count("_v").over(group), "_usual_value": F.min_by("_v", F.when(F.col("_v").isNotNull(), F.struct((-F.col("_same")).alias("n"), F.col("_v").alias("v")))).over(group)},
+    ]
+    found = _finding(6, KINDS[5], **_kept(*SERIES, "path", "tag", "file", "ordinal"), value=F.col("_v"), expected_value=F.col("_usual_value"), item=F.col("path"))
+    return steps, F.when((F.col("_all") == F.col("n_files")) & (F.col("_v") != F.col("_usual_value")), F.array(found))
 
 
 def extra_fields(joined: DataFrame) -> DataFrame:
     """The files that have a finding's path which some but not all files of their series have."""
-    present = joined.filter("n_files >= 2").withColumn("_n", F.count("*").over(Window.partitionBy(*SERIES, "path"))).filter("_n < n_files")
-    return _rows(present, 7, KINDS[6], **_kept(*SERIES, "path", "tag", "file", "ordinal"), item=F.col("path"))
+    return _marked(joined, [_extra_marks()])
 
 
 def varying_values(joined: DataFrame, exempt: Sequence[str] = PER_INSTANCE_TAGS) -> DataFrame:
     """Of paths that every file of a series has, with different values: the files without the most frequent value. Null counts as empty."""
-    compared = joined.filter((F.col("n_files") >= 2) & (F.col("kind") == "annex-e") & ~F.col("tag").isin(*exempt)).withColumn("value", F.coalesce("value", F.lit("")))
-    counts = compared.groupBy(*SERIES, "path", "value").agg(F.count("*").alias("n"), F.first("n_files").alias("n_files"))
-    majority = counts.groupBy(*SERIES, "path").agg(F.min_by("value", F.struct((-F.col("n")).alias("n"), "value")).alias("expected_value"), F.sum("n").alias("_all"), F.count("*").alias("_values"), F.first("n_files").alias("_files"))
-    majority = majority.filter("_all = _files AND _values > 1").select(*SERIES, "path", "expected_value")
-    minority = compared.join(majority, [*SERIES, "path"]).filter("value <> expected_value")
-    return _rows(minority, 6, KINDS[5], **_kept(*SERIES, "path", "tag", "file", "ordinal", "value", "expected_value"), item=F.col("path"))
+    return _marked(joined, [_varying_marks(exempt)])
 
 
 def check_series(files: DataFrame, ordered: DataFrame, findings: DataFrame, exempt: Sequence[str] = PER_INSTANCE_TAGS) -> DataFrame:
-    """All checks. ``files`` are all files read, grouped or not. Several checks read ``ordered`` and ``findings``: give stored tables."""
-    joined = written(series_findings(ordered, findings), "series-findings")
+    """All checks. ``files`` are all files read, grouped or not. Several checks read ``ordered``: give a stored table."""
     parts = [
-        position_gaps(ordered), duplicate_positions(ordered), spacing_outliers(ordered), orientation_mix(ordered), mixed_modality_series(ordered),
-        varying_values(joined, exempt), extra_fields(joined), shared_series(ordered), mixed_modality_folder(files),
+        _marked(ordered, [_gap_marks(POSITION_TOLERANCE), _duplicate_marks(POSITION_TOLERANCE), _orientation_marks(), _modality_marks()]),
+        spacing_outliers(ordered),
+        _marked(series_findings(ordered, findings), [_varying_marks(exempt), _extra_marks()]),
+        shared_series(ordered), mixed_modality_folder(files),
     ]
     every = parts[0]
     for p in parts[1:]:

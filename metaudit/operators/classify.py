@@ -1,13 +1,14 @@
 """Attribute rows against the confidentiality profile and the dictionary.
 
 ``profile`` has (tag, action), ``patterns`` (ordinal, mask, action), ``dictionary`` (tag, name, vr) and its
-patterns (ordinal, mask, name, vr); the loaders in ``sources.tables`` make them. Spark broadcasts them where
-they are small. Masks are matched with the distinct tags of the data only, then joined back by tag.
+patterns (ordinal, mask, name, vr); the loaders in ``sources.tables`` make them. Each attribute row meets the
+exact entries in one equi-join, which Spark broadcasts where they are small, and the masks, a few dozen rows
+of a standard, as literal conditions of the plan. So a classification needs no exchange of the attributes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tags import is_private
@@ -17,43 +18,46 @@ BURNED_IN = "00280301"
 PER_INSTANCE_TAGS = ("00080018", "00080013", "00080032", "00080033", "0008002a", "00200012", "00201041", "00020003")
 
 
-def match_masks(tags: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(tag, ordinal and the patterns' other columns): the first mask in table order that a tag matches. ``tags`` may repeat."""
-    distinct = tags.select("tag").distinct()
-    masks = patterns.filter("mask IS NOT NULL")
-    fits = F.rlike(F.col("tag"), F.concat(F.lit("^"), F.replace("mask", F.lit("x"), F.lit("[0-9a-f]")), F.lit("$")))
-    met = distinct.join(masks, fits)
-    others = [c for c in masks.columns if c not in ("ordinal", "mask")]
-    return met.groupBy("tag").agg(F.min_by(F.struct("ordinal", *others), "ordinal").alias("m")).select("tag", "m.*")
+def first_mask(tag: Column, patterns: DataFrame) -> Column:
+    """A struct of ordinal and the other columns of the first mask in table order that ``tag`` matches, else null. The masks are collected: they are part of a standard."""
+    others = [c for c in patterns.columns if c != "mask"]
+    kind = F.lit(None).cast(patterns.select(F.struct(*others).alias("m")).schema["m"].dataType)
+    rows = patterns.filter("mask IS NOT NULL").orderBy("ordinal").collect()
+    if not rows:
+        return kind
+    forms = ["^" + r["mask"].replace("x", "[0-9a-f]") + "$" for r in rows]
+    found = kind
+    for form, row in reversed(list(zip(forms, rows, strict=True))):
+        found = F.when(F.rlike(tag, F.lit(form)), F.struct(*[F.lit(row[c]).cast(patterns.schema[c].dataType).alias(c) for c in others])).otherwise(found)
+    return F.when(F.rlike(tag, F.lit("|".join(forms))), found)
 
 
-def lookup_action(tags: DataFrame, profile: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(tag, listed, action) for each distinct tag: an exact row wins over a mask even if its action is null."""
-    masked = match_masks(tags, patterns.select("ordinal", "mask", "action")).select("tag", F.col("action").alias("mask_action"), F.lit(True).alias("by_mask"))
-    exact = profile.select("tag", F.col("action").alias("exact_action"), F.lit(True).alias("exact"))
-    found = tags.select("tag").distinct().join(exact, "tag", "left").join(masked, "tag", "left")
-    return found.select("tag", F.coalesce("exact", "by_mask", F.lit(False)).alias("listed"), F.when(F.col("exact"), F.col("exact_action")).otherwise(F.col("mask_action")).alias("action"))
+def match_masks(tags: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(tag, ordinal and the patterns' other columns): the first mask in table order that a tag matches, once for each tag."""
+    met = tags.select("tag").distinct().withColumn("m", first_mask(F.col("tag"), patterns))
+    return met.filter("m IS NOT NULL").select("tag", "m.*")
 
 
 def classify(attributes: DataFrame, profile: DataFrame, patterns: DataFrame) -> DataFrame:
     """The attributes that are findings, with ``kind`` (burned-in, private, annex-e) and ``action``.
 
-    Burned-in annotation comes first, then private tags, then the profile; what the profile does not list is no finding."""
-    actions = lookup_action(attributes, profile, patterns)
-    joined = attributes.join(actions, "tag", "left")
-    kind = F.when(F.col("tag") == BURNED_IN, "burned-in").when(is_private(F.col("tag")), "private").when(F.col("listed"), "annex-e")
+    Burned-in annotation comes first, then private tags, then the profile: an exact row wins over a mask even if its
+    action is null. What the profile does not list is no finding."""
+    exact = profile.select("tag", F.col("action").alias("_action"), F.lit(True).alias("_exact"))
+    joined = attributes.join(exact, "tag", "left").withColumn("_mask", F.when(F.col("_exact").isNull(), first_mask(F.col("tag"), patterns.select("ordinal", "mask", "action"))))
+    kind = F.when(F.col("tag") == BURNED_IN, "burned-in").when(is_private(F.col("tag")), "private").when(F.col("_exact") | F.col("_mask").isNotNull(), "annex-e")
     found = joined.withColumn("kind", kind).filter("kind IS NOT NULL")
-    return found.select(*attributes.columns, "kind", F.when(F.col("kind") == "annex-e", F.col("action")).alias("action"))
+    return found.select(*attributes.columns, "kind", F.when(F.col("kind") == "annex-e", F.coalesce("_action", "_mask.action")).alias("action"))
 
 
 def name_fields(attributes: DataFrame, dictionary: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``attributes`` with ``name``: none for private tags, else the exact entry, the first mask, or "Group Length" for element 0000."""
-    tags = attributes.select("tag").distinct()
-    exact = dictionary.select("tag", F.col("name").alias("exact_name"))
-    masked = match_masks(tags, patterns.select("ordinal", "mask", "name")).select("tag", F.col("name").alias("mask_name"))
-    group_length = F.when(F.endswith("tag", F.lit("0000")), F.lit("Group Length"))
-    names = tags.join(exact, "tag", "left").join(masked, "tag", "left").select("tag", F.when(~is_private(F.col("tag")), F.coalesce("exact_name", "mask_name", group_length)).alias("name"))
-    return attributes.drop("name").join(names, "tag", "left")
+    """``attributes`` with ``name`` and ``listed_vr``: none for private tags, else those of the exact entry, the first mask, or "Group Length" and UL for element 0000."""
+    exact = dictionary.select("tag", F.struct("name", "vr").alias("_exact"))
+    joined = attributes.drop("name").join(exact, "tag", "left")
+    mask = first_mask(F.col("tag"), patterns.select("ordinal", "mask", "name", "vr"))
+    group_length = F.when(F.endswith("tag", F.lit("0000")), F.struct(F.lit("Group Length").alias("name"), F.lit("UL").alias("vr")))
+    entry = F.when(~is_private(F.col("tag")), F.coalesce("_exact", F.when(mask.isNotNull(), F.struct(mask["name"].alias("name"), mask["vr"].alias("vr"))), group_length))
+    return joined.withColumn("_entry", entry).select(*[c for c in attributes.columns if c != "name"], F.col("_entry.name").alias("name"), F.col("_entry.vr").alias("listed_vr"))
 
 
 def identifying(findings: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ def ungrouped(files: DataFrame) -> DataFrame:
 
 
 def order_series(files: DataFrame) -> DataFrame:
-    """The grouped files with ``ordered_by``, ``orientation_consistent``, ``distance`` and ``ordinal`` (from 0).
+    """The grouped files with ``ordered_by``, ``orientation_consistent``, ``distance``, ``n_files`` of the series and ``ordinal`` (from 0).
 
     By distance along the normal if the orientations agree and every file has geometry; else by instance number
     if every file has one; else by file. Columns of ``files`` that the ladder does not need pass through."""
@@ -65,6 +65,7 @@ def order_series(files: DataFrame) -> DataFrame:
             "orientation_consistent": F.bool_and(F.coalesce(orientations_agree(F.col("orientation"), F.col("_first")), F.lit(True))).over(group),
             "_normal": slice_normal(F.col("_first")),
             "_geometry": F.bool_and(F.col("orientation").isNotNull() & F.col("position").isNotNull()).over(group),
+            "n_files": F.count("*").over(group),
             "_numbered": F.bool_and(F.col("instance_number").isNotNull()).over(group),
         }
     )

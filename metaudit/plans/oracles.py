@@ -120,10 +120,10 @@ WITH t AS (SELECT DISTINCT {_TAG} AS tag FROM lineitem)
 SELECT tag, min(ordinal) AS ordinal, arg_min(action, ordinal) AS action FROM t JOIN {_MASKS} ON regexp_full_match(tag, replace(mask, 'x', '[0-9a-f]')) GROUP BY tag""",
     "name_fields": f"""
 WITH t AS (SELECT {_IDS}, {_TAG} AS tag FROM lineitem),
-d AS (SELECT '60' || printf('%02x', p_partkey) || '3000' AS tag, p_name AS name FROM part WHERE p_partkey < 256)
-SELECT {_IDS}, t.tag, CASE WHEN t.tag[4] IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN NULL
-       ELSE coalesce(d.name, CASE WHEN regexp_full_match(t.tag, '50..00..') THEN 'Curve Data' WHEN regexp_full_match(t.tag, '60..4000') THEN 'Overlay Comments' WHEN t.tag LIKE '%0000' THEN 'Group Length' END) END AS name
-FROM t LEFT JOIN d ON t.tag = d.tag""",
+d AS (SELECT '60' || printf('%02x', p_partkey % 256) || '3000' AS tag, arg_min(p_name, p_partkey) AS name, arg_min(p_size, p_partkey) % 2 = 0 AS even FROM part GROUP BY 1),
+e AS (SELECT {_IDS}, t.tag, CASE WHEN t.tag[4] IN ('1', '3', '5', '7', '9', 'b', 'd', 'f') THEN NULL WHEN d.tag IS NOT NULL THEN 'exact' WHEN regexp_full_match(t.tag, '50..00..') THEN 'Curve Data' WHEN regexp_full_match(t.tag, '60..4000') THEN 'Overlay Comments'
+             WHEN t.tag LIKE '%0000' THEN 'Group Length' END AS found, name, even FROM t LEFT JOIN d ON t.tag = d.tag)
+SELECT {_IDS}, tag, CASE found WHEN 'exact' THEN name ELSE found END AS name, CASE found WHEN 'exact' THEN CASE WHEN even THEN 'US or SS' END WHEN 'Curve Data' THEN 'OW' WHEN 'Overlay Comments' THEN 'LT' WHEN 'Group Length' THEN 'UL' END AS listed_vr FROM e""",
     "mask_values": """
 WITH r AS (SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'OB' WHEN 1 THEN 'SQ' ELSE 'LO' END AS vr, CASE c_nationkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_name END AS value, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey END AS length FROM customer),
 p AS (SELECT *, CASE WHEN vr = 'OB' AND length IS NULL THEN '<binary, length not stated>' WHEN vr = 'OB' THEN '<binary, ' || format('{:,}', length) || CASE WHEN length = 1 THEN ' byte>' ELSE ' bytes>' END

@@ -24,7 +24,7 @@ def _line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _all_checks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ordered, findings, finding rows) of the lineitem binding; what several checks read is written once."""
     ordered = written(b.line_series(spark, sf_dir), "ordered")
-    findings = written(_line_findings(spark, sf_dir), "findings")
+    findings = _line_findings(spark, sf_dir)
     return ordered, findings, checks.check_series(ordered, ordered, findings)
 
 
@@ -54,8 +54,10 @@ def mask_lookup(spark, sf_dir):
 
 def name_fields(spark, sf_dir):
     part = b.table(spark, sf_dir, "part")
-    dictionary = part.filter("p_partkey < 256").select(F.format_string("60%02x3000", F.col("p_partkey").cast("int")).alias("tag"), F.col("p_name").alias("name"))
-    patterns = spark.createDataFrame([(0, "50xx00xx", "Curve Data"), (1, "60xx4000", "Overlay Comments")], "ordinal int, mask string, name string")
+    byte = (F.col("p_partkey") % 256).cast("int")
+    # Of the parts that share a tag, the one with the least key names it.
+    dictionary = part.groupBy(F.format_string("60%02x3000", byte).alias("tag")).agg(F.min_by("p_name", "p_partkey").alias("name"), F.min_by(F.when(F.col("p_size") % 2 == 0, F.lit("US or SS")), "p_partkey").alias("vr"))
+    patterns = spark.createDataFrame([(0, "50xx00xx", "Curve Data", "OW"), (1, "60xx4000", "Overlay Comments", "LT")], "ordinal int, mask string, name string, vr string")
     return classify.name_fields(b.line_tags(spark, sf_dir).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "tag"), dictionary, patterns)
 
 
