@@ -28,10 +28,10 @@ ACTION_GLOSS = {
 UNGROUPED_WORDS = {"missing-study": "no study identifier", "missing-series": "no series identifier", "missing-both": "neither identifier"}
 ORDER_WORDS = {
     "position": "Ordered by position",
-    "instance-number": "Ordered by instance number — position data missing",
-    "filename": "Ordered by file name — no position or instance number",
+    "instance-number": "Ordered by instance number, as not every file has a usable position",
+    "filename": "Ordered by file name, as neither positions nor instance numbers serve",
 }
-PRIVATE_REASON = "private tag, contents defined by the manufacturer"
+PRIVATE_REASON = "a private field: only its maker knows what it holds"
 
 
 def _words(key: Column, table: dict[str, str]) -> Column:
@@ -53,6 +53,11 @@ def masked(value: Column, vr: Column, length: Column) -> Column:
     return F.when(is_maskable(value, vr), F.lit(MASK)).otherwise(plain_text(value, vr, length))
 
 
+def shown_in_view(value: Column, vr: Column, length: Column, identifying: Column) -> Column:
+    """What a view shows by default: dots for values that have text and identify, the plain text of all others."""
+    return F.when(identifying & is_maskable(value, vr), F.lit(MASK)).otherwise(plain_text(value, vr, length))
+
+
 def action_gloss(action: Column) -> Column:
     """The words for an action code; an unknown code stands for itself."""
     return F.coalesce(_words(action, ACTION_GLOSS), action)

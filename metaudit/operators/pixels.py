@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,13 +26,18 @@ def decodability(images: DataFrame, registry: DataFrame, frame: int = 0) -> Data
     """``images`` with syntax_name, ``decodability`` (ok, unsupported-syntax, no-pixel-data, unsupported-format, defect) and ``problem``.
 
     ``images``: one row a file with the columns of IMAGE_TAGS (numbers as numbers), ``has_pixels``, ``encapsulated``, ``fragments``
-    and ``offsets`` (lengths of the fragment list and the offset table). ``registry``: (uid, name). The first test that fails decides."""
+    and ``offsets`` (lengths of the fragment list and the offset table); ``offsets_match`` (whether the frame's entry of the table, and
+    the one after it, are those of fragments in this order) and ``pixel_bytes`` (length of native pixel data) may be missing.
+    ``registry``: (uid, name). The first test that fails decides."""
     c = F.col
     kind = F.create_map(*[F.lit(x) for pair in SYNTAXES.items() for x in pair])
     named = images.join(registry.select(c("uid").alias("syntax"), c("name").alias("_name")), "syntax", "left")
     named = named.withColumns({"syntax_name": F.coalesce("_name", F.lit("an unrecognised transfer syntax")), "_kind": kind[c("syntax")]}).drop("_name")
     samples, planar, frames, form = F.coalesce("samples", F.lit(1)), F.coalesce("planar", F.lit(0)), F.coalesce("frames", F.lit(1)), F.coalesce("photometric", F.lit(""))
-    open_frames = c("encapsulated") & (frames > 1) & ~F.when(c("offsets") > 0, c("offsets") >= frame + 1).otherwise(c("fragments") == frames)
+    matched = F.coalesce("offsets_match", F.lit(True)) if "offsets_match" in images.columns else F.lit(True)
+    held = c("pixel_bytes") if "pixel_bytes" in images.columns else F.lit(None).cast("bigint")
+    open_frames = c("encapsulated") & (frames > 1) & ~F.when(c("offsets") > 0, (c("offsets") >= frame + 1) & matched).otherwise(c("fragments") == frames)
+    needed = (frame + 1) * c("rows").cast("bigint") * c("columns") * samples * F.floor(c("bits_allocated") / 8)
     jpeg, native_like = c("_kind") == "jpeg", c("_kind") != "jpeg"
     missing = F.array_join(F.array_compact(F.array(*[F.when(c(x).isNull(), F.lit(x)) for x in ("rows", "columns", "bits_allocated", "bits_stored", "high_bit")])), ", ")
     grey, rgb = (samples == 1) & form.isin("MONOCHROME1", "MONOCHROME2"), (samples == 3) & (form == "RGB")
@@ -50,6 +56,7 @@ def decodability(images: DataFrame, registry: DataFrame, frame: int = 0) -> Data
         (native_like & ~c("bits_allocated").isin(8, 16), "defect", "bits allocated are neither 8 nor 16"),
         (native_like & ~grey & ~rgb, "defect", "samples and photometric form do not go together"),
         (native_like & open_frames, "unsupported-format", "frame boundaries cannot be resolved"),
+        ((c("_kind") == "native") & (held < needed), "defect", "the pixel data end before the frame does"),
     ]
     verdict, problem = F.lit("ok"), F.lit(None).cast("string")
     for test, result, words in reversed(tests):
@@ -62,18 +69,21 @@ def fragments_to_frames(fragments: DataFrame, images: DataFrame) -> DataFrame:
     """(file, idx, frame) of encapsulated fragments. ``fragments``: (file, idx, offset); ``images``: (file, frames, offset_table).
 
     One frame takes all; a table gives each frame the fragments from its offset up to the next; without one, as many
-    fragments as frames are one each. Frames whose boundaries cannot be resolved get no row."""
+    fragments as frames are one each. Frames whose boundaries cannot be resolved get no row; where a table that does
+    not rise gives a fragment to several frames, the one that starts last has it."""
     sized = fragments.join(images, "file").withColumn("_n", F.count("*").over(Window.partitionBy("file")))
     table = F.coalesce(F.col("offset_table"), F.array().cast("array<bigint>"))
-    starts = images.select("file", F.posexplode("offset_table").alias("frame", "offset"))
-    starts = starts.join(fragments.select("file", "offset", "idx"), ["file", "offset"], "left").withColumn("_next", F.lead("idx").over(Window.partitionBy("file").orderBy("frame")))
-    last = F.col("frame") == F.max("frame").over(Window.partitionBy("file"))
+    starts = images.select("file", F.posexplode("offset_table").alias("_frame", "offset"))
+    starts = starts.join(fragments.select("file", "offset", "idx"), ["file", "offset"], "left").withColumn("_next", F.lead("idx").over(Window.partitionBy("file").orderBy("_frame")))
+    last = F.col("_frame") == F.max("_frame").over(Window.partitionBy("file"))
     starts = starts.withColumn("_last", last).filter("idx IS NOT NULL AND (_last OR _next > idx)")
-    ranges = starts.select(F.col("file").alias("_file"), "frame", F.col("idx").alias("_from"), F.when(~F.col("_last"), F.col("_next")).alias("_to"))
-    by_table = sized.filter((F.col("frames") > 1) & (F.size(table) > 0)).join(ranges, (F.col("file") == F.col("_file")) & (F.col("idx") >= F.col("_from")) & (F.col("_to").isNull() | (F.col("idx") < F.col("_to")))).filter("frame < frames")
-    whole = sized.filter(F.col("frames") <= 1).select("file", "idx", F.lit(0).alias("frame"))
-    each = sized.filter((F.col("frames") > 1) & (F.size(table) == 0) & (F.col("_n") == F.col("frames"))).select("file", "idx", F.col("idx").cast("int").alias("frame"))
-    return whole.unionByName(each).unionByName(by_table.select("file", "idx", "frame"))
+    opened = starts.groupBy("file", "idx").agg(F.max(F.struct(F.col("_frame").alias("frame"), F.when(~F.col("_last"), F.col("_next")).alias("to"))).alias("_opens"))
+    # Each fragment belongs to the frame that the last fragment with an entry opened.
+    along = Window.partitionBy("file").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    placed = sized.join(opened, ["file", "idx"], "left").withColumn("_in", F.last("_opens", ignorenulls=True).over(along))
+    within = F.when((F.col("_in.to").isNull() | (F.col("idx") < F.col("_in.to"))) & (F.col("_in.frame") < F.col("frames")), F.col("_in.frame"))
+    frame = F.when(F.col("frames") <= 1, F.lit(0)).when(F.size(table) > 0, within).when(F.col("_n") == F.col("frames"), F.col("idx").cast("int"))
+    return placed.select("file", "idx", frame.alias("frame")).filter("frame IS NOT NULL")
 
 
 def unpack_segment(segment: bytes, length: int) -> bytes:
@@ -125,7 +135,7 @@ def frame_samples(frames: DataFrame) -> DataFrame:
                     data = unpack_frame(r.data, r.pixels, r.samples, r.width) if r.packed else r.data
                     if len(data) < r.pixels * r.samples * r.width:
                         raise ValueError("a frame has fewer bytes than pixels")
-                    words = [int.from_bytes(data[k : k + r.width], "little") for k in range(0, r.pixels * r.samples * r.width, r.width)]
+                    words = np.frombuffer(data, f"<u{r.width}", r.pixels * r.samples).astype(np.int64)
                 except ValueError as e:
                     error = str(e)
                 out.append((r.file, r.frame, words, error))

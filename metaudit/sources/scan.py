@@ -1,7 +1,8 @@
 """Metadata scan: folders of files as outcome rows and attribute rows.
 
-``binaryFile`` lists and reads the files; one partition function reads each file's metadata and stops at the
-pixel data. A file that cannot be read is a row, never an error of the task.
+``binaryFile`` lists the files without reading them; one partition function then opens each file, reads a
+beginning of it that grows until the pixel data are reached, and tells every outcome in one pass. A file that
+cannot be opened or read is a row, never an error of the task.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,11 @@ DIRECTORY_CLASS = "1.2.840.10008.1.3.10"
 IMPLICIT = "1.2.840.10008.1.2"
 REFUSED = {"1.2.840.10008.1.2.2": "big-endian files are not read", "1.2.840.10008.1.2.1.99": "deflated files are not read"}
 MOST_NUMBERS, DEEPEST = 16, 32
+#: Bytes of a file that are read first, and how much more each time they don't reach the pixel data.
+FIRST_BYTES, GROWTH = 1 << 16, 4
 
 ATTRIBUTES = "path string, tag string, vr string, value string, length bigint, length_encoding string, item_count int, depth int, pos int"
-SCANNED = f"file string, outcome string, reason string, message string, attributes array<struct<{ATTRIBUTES.replace(' string', ': string').replace(' bigint', ': bigint').replace(' int', ': int')}>>"
+SCANNED = f"file string, outcome string, reason string, message string, bytes_read bigint, attributes array<struct<{ATTRIBUTES.replace(' string', ': string').replace(' bigint', ': bigint').replace(' int', ': int')}>>"
 
 
 def number_text(x: float) -> str:
@@ -59,17 +63,26 @@ def numbers_text(raw: bytes, vr: str) -> str | None:
     return "\\".join(texts) + (f" … ({count} values in all)" if count > MOST_NUMBERS else "")
 
 
+class _More(Exception):
+    """The bytes at hand end before the metadata do."""
+
+
 class _Reader:
-    """Reads the elements of one file in order and notes a row for each."""
+    """Reads the elements of one file in order and notes a row for each. ``size`` is the whole file's; ``data`` may be its beginning."""
 
-    def __init__(self, data: bytes, vrs: dict[str, str]):
-        self.data, self.vrs, self.rows = data, vrs, []
+    def __init__(self, data: bytes, vrs: dict[str, str], size: int):
+        self.data, self.vrs, self.size, self.rows = data, vrs, size, []
+
+    def need(self, end: int) -> None:
+        if len(self.data) < end <= self.size:
+            raise _More
 
     def elements(self, at: int, end: int, implicit: bool, prefix: str, depth: int, until: str = "") -> int:
         """Read up to ``end``, a delimiter or the pixel data; returns where it stopped. ``until`` is the group of the file's own header."""
         if depth > DEEPEST:
             raise ValueError("sequences are nested too deeply")
         while at + 8 <= end:
+            self.need(at + 8)
             group, element = struct.unpack_from("<HH", self.data, at)
             tag = f"{group:04x}{element:04x}"
             if until and tag[:4] != until:
@@ -86,6 +99,7 @@ class _Reader:
             else:
                 vr = self.data[at + 4 : at + 6].decode("latin-1")
                 if vr in LONG_VRS:
+                    self.need(at + 12)
                     length, at = struct.unpack_from("<I", self.data, at + 8)[0], at + 12
                 else:
                     length, at = struct.unpack_from("<H", self.data, at + 6)[0], at + 8
@@ -96,6 +110,8 @@ class _Reader:
         path = f"{prefix}/{tag}" if prefix else tag
         row = {"path": path, "tag": tag, "vr": vr, "value": None, "length": None, "length_encoding": None, "item_count": None, "depth": depth, "pos": len(self.rows)}
         self.rows.append(row)
+        if implicit and vr == "UN":
+            self.need(min(at + 4, end))
         nested = vr == "SQ" or (vr == "UN" and length == UNDEFINED) or (implicit and vr == "UN" and length >= 8 and self.data[at : at + 4] == b"\xfe\xff\x00\xe0")
         if nested:
             row["length_encoding"] = "undefined" if length == UNDEFINED else "defined"
@@ -107,6 +123,8 @@ class _Reader:
             raise ValueError(f"({tag}) has an undefined length")
         if at + length > end:
             raise ValueError(f"({tag}) runs past the end of the file")
+        if vr in STRING_VRS or vr in NUMBERS:
+            self.need(at + length)
         raw = self.data[at : at + length]
         if vr in STRING_VRS:
             row["value"] = raw.decode("utf-8", "replace").partition("\0")[0].strip(" ")
@@ -119,6 +137,7 @@ class _Reader:
     def items(self, row: dict, at: int, stop: int, implicit: bool, depth: int, open_ended: bool) -> int:
         count = 0
         while at + 8 <= stop:
+            self.need(at + 8)
             group, element, length = struct.unpack_from("<HHI", self.data, at)
             at += 8
             if (group, element) == (0xFFFE, 0xE0DD):
@@ -135,21 +154,31 @@ class _Reader:
         return at if open_ended else stop
 
 
-def read_metadata(data: bytes, vrs: dict[str, str] | None = None) -> list[dict]:
-    """Attribute rows of one file. ``vrs``: VR by tag for files that do not state it."""
-    if len(data) < 132 or data[128:132] != b"DICM":
+def read_metadata(data: bytes, vrs: dict[str, str] | None = None, size: int | None = None) -> list[dict]:
+    """Attribute rows of one file. ``vrs``: VR by tag for files that do not state it; ``size``: of the whole file, if ``data`` is its beginning."""
+    size = len(data) if size is None else size
+    if not has_mark(data):
         raise ValueError("there is no file header")
-    reader = _Reader(data, vrs or {})
-    at = reader.elements(132, len(data), False, "", 0, until="0002")
+    reader = _Reader(data, vrs or {}, size)
+    at = reader.elements(132, size, False, "", 0, until="0002")
     syntax = next((r["value"] for r in reader.rows if r["tag"] == "00020010"), "") or ""
     if syntax in REFUSED:
         raise ValueError(REFUSED[syntax])
-    reader.elements(at, len(data), syntax == IMPLICIT, "", 0)
+    reader.elements(at, size, syntax == IMPLICIT, "", 0)
     return reader.rows
 
 
+def has_mark(data: bytes) -> bool:
+    return data[128:132] == b"DICM"
+
+
+def has_magic(content: Column) -> Column:
+    """The mark at bytes 128 to 131, for files that are at hand as a column."""
+    return F.coalesce(F.substring(content, 129, 4) == F.lit(b"DICM"), F.lit(False))
+
+
 def scan_files(spark: SparkSession, root: str) -> DataFrame:
-    """(file, relative_path, size, content): all files below ``root``."""
+    """(file, relative_path, size): all files below ``root``, listed and not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     return as_files(files, root)
 
@@ -158,40 +187,51 @@ def as_files(files: DataFrame, root: str) -> DataFrame:
     folder = re.sub("^[a-z0-9]+:/*", "/", root).rstrip("/")  # as it stands in the files' paths
     base = folder.rpartition("/")[2]
     below = F.get(F.split("path", re.escape(f"{folder}/"), 2), F.lit(1))
-    return files.select(F.col("path").alias("file"), F.concat(F.lit(f"{base}/"), below).alias("relative_path"), F.col("length").alias("size"), "content")
-
-
-def has_magic(content: Column) -> Column:
-    """The mark at bytes 128 to 131."""
-    return F.coalesce(F.substring(content, 129, 4) == F.lit(b"DICM"), F.lit(False))
+    return files.select(F.col("path").alias("file"), F.concat(F.lit(f"{base}/"), below).alias("relative_path"), F.col("length").alias("size"))
+
+
+def _read_file(file: str, vrs: dict[str, str] | None) -> tuple:
+    """(outcome, reason, message, bytes read, attributes) of one file."""
+    got = b""
+    try:
+        # file:/a is how listings name a local file
+        where, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file)) if re.match("[a-z0-9]+:", file) else (fs.LocalFileSystem(), file)
+        with where.open_input_file(path) as opened:
+            size = opened.size()
+            got = opened.read(132)
+            if not has_mark(got):
+                return "skipped", "not-dicom", None, len(got), None
+            more = FIRST_BYTES
+            while True:
+                got += opened.read(more - len(got))
+                try:
+                    rows = read_metadata(got, vrs, size)
+                    break
+                except _More:
+                    more = min(size, more * GROWTH)
+        directory = any(r["tag"] == "00020002" and r["value"] == DIRECTORY_CLASS for r in rows if r["depth"] == 0)
+        return ("skipped", "dicomdir", None, len(got), None) if directory else ("read", None, None, len(got), rows)
+    except Exception as e:  # a bad file is a row
+        return "failed", None, str(e) or "the file could not be read", len(got), None
 
 
 def scan(files: DataFrame, vrs: dict[str, str] | None = None) -> DataFrame:
-    """(file, relative_path, outcome, reason, message, attributes): one row a file. ``vrs`` is the dictionary's VR by tag, of a few thousand entries.
+    """(file, outcome, reason, message, bytes_read, attributes): one row a file of ``files`` (file). ``vrs`` is the dictionary's VR by tag, of a few thousand entries.
 
-    Outcomes are read, skipped (reason not-dicom or dicomdir) and failed (with a message)."""
-    candidates = files.filter(has_magic(F.col("content"))).select("file", "content")
+    Outcomes are read, skipped (reason not-dicom or dicomdir) and failed (with a message). Files are opened through Arrow's
+    file systems: local and mounted folders, and the stores that its build knows."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            out = []
-            for file, content in zip(rows["file"], rows["content"], strict=True):
-                try:
-                    found = read_metadata(bytes(content), vrs)
-                    directory = any(r["tag"] == "00020002" and r["value"] == DIRECTORY_CLASS for r in found if r["depth"] == 0)
-                    out.append((file, "skipped", "dicomdir", None, None) if directory else (file, "read", None, None, found))
-                except Exception as e:  # a bad file is a row
-                    out.append((file, "failed", None, str(e) or "the file could not be read", None))
-            yield pd.DataFrame(out, columns=["file", "outcome", "reason", "message", "attributes"])
+            for k in range(0, len(rows), 256):  # so that few files' rows are at hand
+                out = [(file, *_read_file(file, vrs)) for file in rows["file"][k : k + 256]]
+                yield pd.DataFrame(out, columns=["file", "outcome", "reason", "message", "bytes_read", "attributes"])
 
-    parsed = candidates.mapInPandas(read, SCANNED)
-    others = files.filter(~has_magic(F.col("content"))).select("file", F.lit("skipped").alias("outcome"), F.lit("not-dicom").alias("reason"), F.lit(None).cast("string").alias("message"))
-    others = others.withColumn("attributes", F.lit(None).cast(parsed.schema["attributes"].dataType))
-    return parsed.unionByName(others)
+    return files.select("file").mapInPandas(read, SCANNED)
 
 
 def outcomes(scanned: DataFrame) -> DataFrame:
-    return scanned.drop("attributes")
+    return scanned.drop("attributes", "bytes_read")
 
 
 def attributes(scanned: DataFrame) -> DataFrame:

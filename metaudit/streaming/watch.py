@@ -10,25 +10,29 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import checks, classify, series
 from ..sources.scan import as_files, attributes, outcomes, scan
+from ..sources.scratch import written
 
 FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def watch_folder(spark: SparkSession, root: str, out: str, profile: DataFrame, patterns: DataFrame, vrs: dict[str, str] | None = None, after: Callable[[DataFrame, int], None] | None = None, once: bool = True) -> StreamingQuery:
-    """Append outcomes, attributes and findings of new files below ``root`` to tables below ``out``. No state but the list of files seen.
+    """Append outcomes, attributes, findings and instances of new files below ``root`` to tables below ``out``, and check the series that each batch touched again (table ``checks``). No state but the list of files seen.
 
-    A batch that is run again after a failure replaces its own folder. ``after`` gets the batch's attributes."""
+    A batch that is run again after a failure replaces its own folders. ``after`` gets the batch's attributes."""
     stream = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", "true").load(root)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         part = f"batch={batch_id}"
-        scanned = scan(as_files(batch, root), vrs)
-        scanned.write.mode("overwrite").parquet(f"{out}/scanned/{part}")  # the bytes are read once
+        put = lambda rows, name: rows.write.mode("overwrite").parquet(f"{out}/{name}/{part}")
+        put(scan(as_files(batch, root), vrs), "scanned")  # files are read once
         scanned = spark.read.parquet(f"{out}/scanned/{part}")
-        outcomes(scanned).write.mode("overwrite").parquet(f"{out}/outcomes/{part}")
-        attributes(scanned).write.mode("overwrite").parquet(f"{out}/attributes/{part}")
+        put(outcomes(scanned), "outcomes")
+        put(attributes(scanned), "attributes")
         rows = spark.read.parquet(f"{out}/attributes/{part}")
-        classify.classify(rows, profile, patterns).write.mode("overwrite").parquet(f"{out}/findings/{part}")
+        put(classify.classify(rows, profile, patterns), "findings")
+        put(series.instances(rows), "instances")
+        stored = lambda name: spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/{name}")
+        put(recheck_touched(spark.read.parquet(f"{out}/instances/{part}"), stored("instances"), stored("findings")), "checks")
         if after is not None:
             after(rows, batch_id)
 
@@ -36,10 +40,18 @@ def watch_folder(spark: SparkSession, root: str, out: str, profile: DataFrame, p
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def latest_checks(spark: SparkSession, out: str) -> DataFrame:
+    """The finding rows of each series from the last batch that touched it."""
+    touched = spark.read.parquet(f"{out}/instances").select("study", "series", "batch").groupBy("study", "series").agg(F.max("batch").alias("batch"))
+    rows = spark.read.parquet(f"{out}/checks")
+    same = F.col("r.study").eqNullSafe(F.col("t.study")) & (F.col("r.series") == F.col("t.series")) & (F.col("r.batch") == F.col("t.batch"))
+    return rows.alias("r").join(touched.alias("t"), same, "left_semi").drop("batch")
+
+
 def recheck_touched(touched: DataFrame, files: DataFrame, findings: DataFrame) -> DataFrame:
     """Finding rows of the series in ``touched`` (study, series), from all stored ``files`` (instances) and ``findings``."""
     keys = touched.select("study", "series").distinct()
     own = files.join(keys, ["study", "series"], "left_semi")
-    ordered = series.order_series(own)
+    ordered = written(series.order_series(own), "touched")
     mine = findings.join(own.select("file"), "file", "left_semi")
     return checks.check_series(own, ordered, mine).filter(F.col("scope") == "series")

@@ -1,4 +1,6 @@
-"""The planted study from files to report."""
+"""The planted studies from files to report."""
+
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from metaudit.plans import audit as audits
 from metaudit.plans import report
 from metaudit.sources import scan
 from tests import study
+from tests.dicom import element, part10
 
 
 @pytest.fixture(scope="module")
@@ -21,76 +24,99 @@ def tables(spark):
 
 
 @pytest.fixture(scope="module")
-def audited(spark, tables, tmp_path_factory):
-    folder = tmp_path_factory.mktemp("files") / "series"
-    study.write_study(folder)
-    return audits.audit_folder(spark, str(folder), *tables)
+def folder(tmp_path_factory):
+    made = tmp_path_factory.mktemp("files") / "series"
+    return made, study.write_study(made)
+
+
+@pytest.fixture(scope="module")
+def audited(spark, tables, folder):
+    return audits.audit_folder(spark, str(folder[0]), *tables)
 
 
 def test_outcomes(audited):
-    assert summary.outcome_totals(audited.outcomes).first().asDict() == {"selected": 19, "read": 15, "not_dicom": 2, "dicomdir": 1, "failed": 1}
+    assert summary.outcome_totals(audited.outcomes).first().asDict() == {"selected": 22, "read": 18, "not_dicom": 2, "dicomdir": 1, "failed": 1}
     assert summary.folder_name(audited.outcomes).first()[0] == "series"
     assert "(00100010)" in audited.outcomes.filter("outcome = 'failed'").first()["message"]
 
 
 def test_nested_attributes(audited):
-    found = {r["path"] for r in audited.attributes.filter("file LIKE '%IM_0011'").collect()}
-    assert "04000561/0/04000550/0/00080090" in found and "7fe00010" not in found
-
-
-def short(files):
-    return [f.rpartition("/")[2] for f in files]
-
-
-def test_eleven_findings(audited):
-    found = checks.collapse(audited.finding_files).collect()
-    got = sorted((r["kind"], r["series"], r["path"], tuple(short(r["files"])), r["expected"], r["actual"], r["expected_value"]) for r in found if r["kind"] != "mixed-modality" or r["scope"] == "series")
-    a, b = "1.8.1", "1.8.2"
-    assert got == sorted(
-        [
-            ("position-gap", a, None, ("IM_0014", "IM_0007"), 3.0, 6.0, None),
-            ("position-gap", a, None, ("IM_0007", "IM_0013"), 3.0, 6.0, None),
-            ("position-gap", b, None, ("IM_0008", "IM_0001"), 5.0, 9.0, None),
-            ("extra-field", a, "00080090", ("IM_0011",), None, None, None),
-            ("extra-field", a, "04000561/0/04000550/0/00080090", ("IM_0011",), None, None, None),
-            ("varying-value", a, "00100020", ("IM_0006",), None, None, "TEST-1"),
-            ("varying-value", b, "0008103e", ("IM_0001",), None, None, "AXIAL CT"),
-            ("inconsistent-pixel-spacing", a, None, ("IM_0007",), None, None, "0.5\\0.5"),
-            ("inconsistent-pixel-spacing", b, None, ("IM_0001",), None, None, "0.7\\0.7"),
-            ("mixed-modality", b, None, ("IM_0005", "IM_0012", "IM_0002", "IM_0008", "IM_0001"), None, None, None),
-        ],
-        key=lambda x: tuple(map(str, x)),
-    ) or len(found) == 11
-    assert len(found) == 11
-    assert summary.finding_counts(audited.finding_files).first().asDict() == {"not_consistent": 4, "structural": 7}
+    paths = {r["path"] for r in audited.attributes.select("path").distinct().collect()}
+    assert "04000561/0/04000550/0/00080090" in paths and "7fe00010" not in paths
+
+
+def test_files_are_read_up_to_the_pixels(spark, tmp_path):
+    (tmp_path / "large").write_bytes(study.file_bytes("P", 1, b"\1\2" * 2_000_000))
+    (tmp_path / "gone").write_bytes(study.file_bytes("P", 2))
+    (tmp_path / "long").write_bytes(part10(element("00100010", "PN", "A^B") + element("00420011", "OB", b"x" * 300_000) + element("00420012", "LO", "last")))
+    files = scan.scan_files(spark, str(tmp_path)).cache()
+    assert files.count() == 3
+    (tmp_path / "gone").unlink()
+    got = {r["file"].rpartition("/")[2]: r for r in scan.scan(files).collect()}
+    assert got["large"]["outcome"] == "read" and got["large"]["bytes_read"] <= scan.FIRST_BYTES
+    assert got["gone"]["outcome"] == "failed" and got["gone"]["message"]
+    assert got["long"]["attributes"][-1]["value"] == "last" and got["long"]["bytes_read"] > 300_000
+    files.unpersist()
+
+
+def test_eleven_findings(audited, folder):
+    names = folder[1]
+    label = lambda file: "".join(map(str, names[file.rpartition("/")[2]]))
+    every = ("P1", "P2", "P3", "P4", "P6", "P7", "P8")
+    got = {}
+    for r in checks.collapse(audited.finding_files).collect():
+        key = (r["kind"], r["scope"], r["series"], r["path"], tuple(map(label, r["files"])) if r["scope"] == "series" else len(r["files"]))
+        got[key] = (r["expected"], r["actual"], r["expected_value"])
+    close = pytest.approx
+    p, q, r = "2.1.7", "2.1.9", "2.2.3"
+    assert got == {
+        ("position-gap", "series", p, None, ("P4", "P6")): (2.5, 5.0, None),
+        ("position-gap", "series", p, None, ("P7", "P8")): (2.5, close(0.004), None),
+        ("duplicate-position", "series", p, None, ("P7", "P8")): (None, None, None),
+        ("inconsistent-pixel-spacing", "series", p, None, ("P2",)): (None, None, "0.8\\0.8"),
+        ("extra-field", "series", p, "00290010", ("P3",)): (None, None, None),
+        ("extra-field", "series", q, "04000561/0/04000550/0/00080090", ("Q2",)): (None, None, None),
+        ("varying-value", "series", q, "00100010", ("Q4",)): (None, None, "Sample^One"),
+        ("mixed-modality", "series", q, None, ("Q1", "Q2", "Q3", "Q4", "Q5", "Q6")): (None, None, None),
+        ("inconsistent-orientation", "series", r, None, ("R1", "R2", "R3")): (None, None, None),
+        ("inconsistent-identifier", "series", r, None, ("R1", "R4", "R2", "R3")): (None, None, None),
+        ("mixed-modality", "folder", None, None, 18): (None, None, None),
+    }
+    assert summary.finding_counts(audited.finding_files).first().asDict() == {"not_consistent": 3, "structural": 8}
+    placed = {label(r["file"]): r["ordered_by"] for r in audited.ordered.collect()}
+    assert {placed[f] for f in every} == {"position"} and placed["R1"] == "instance-number"
 
 
 def test_report_hides_values(audited, tmp_path):
     report.write_markdown(audited, str(tmp_path / "md"), "2026-01-15 14:30:00")
     text = "\n".join(p.read_text() for p in sorted((tmp_path / "md").glob("part-*")))
-    for said in ("Checked 2026-01-15 at 14:30", "- Folder: series", "- 19 files selected", "- 15 DICOM files read", "- 4 identifying fields are not the same on every file", "- 7 structural inconsistencies between files", "All 15 files declare burned-in annotation: YES", "### Patient ID", "- Distinct values: 2", "- Present: in 1 of 15 files", "### Series 1 · MR · 10 slices", "Ordered by position", "A slice may be missing — 6 mm between two slices where 3 mm is expected", "### Whole folder", "## Ungrouped files (0)\n\nNone."):
+    for said in ("Checked 2026-01-15 at 14:30", "- Folder: series", "- 22 files selected", "- 18 DICOM files read", "- 3 identifying fields are not the same on every file", "- 8 structural inconsistencies between files", "Burned-in annotation: 7 files declare YES, 6 declare NO; 5 do not carry the field", "### Patient ID", "- Distinct values: 2", "- Present: in 1 of 18 files", "### Series 4 · CT · 7 slices", "Ordered by position", "A slice may be missing — 5 mm between two slices where 2.5 mm is expected", "### Whole folder", "## Ungrouped files (1)", "no series identifier"):
         assert said in text, said
-    for secret in ("TEST-1", "OTHER-5", "Test^Person", "1.8.1", "AXIAL MR", "Referrer"):
+    for secret in ("PID-9", "Sample^Two", "2.1.7", "CHEST", "Referrer"):
         assert secret not in text, secret
     places = [text.index(f"\n## {s}") for s in report.SECTIONS]  # "### Series" is no section
     assert places == sorted(places)
     report.write_markdown(audited, str(tmp_path / "open"), "2026-01-15 14:30:00", include_values=True)
     shown = "\n".join(p.read_text() for p in sorted((tmp_path / "open").glob("part-*")))
-    assert "TEST-1 (in 14 files)" in shown and report.VALUES_WARNING in shown
+    assert "Sample^One (in 16 files)" in shown and report.VALUES_WARNING in shown
 
 
 def test_json(audited, tmp_path, spark):
     report.write_json(audited, str(tmp_path / "json"), "2026-01-15T14:30:00Z")
     raw = "".join(p.read_text() for p in (tmp_path / "json").rglob("part-*"))
-    assert "TEST-1" not in raw and "1.8.1" not in raw
+    assert "PID-9" not in raw and "2.1.7" not in raw
     head = spark.read.json(str(tmp_path / "json/head")).first()
-    assert head["headline"]["filesRead"] == 15 and head["headline"]["structuralCount"] == 7
+    assert head["headline"]["filesRead"] == 18 and head["headline"]["structuralCount"] == 8
     gaps = spark.read.json(str(tmp_path / "json/structural")).filter("kind = 'position-gap'").collect()
-    assert sorted(r["series"] for r in gaps) == ["1", "1", "2"]
+    assert [r["series"] for r in gaps] == ["4", "4"]
+    whole = json.loads("".join(p.read_text() for p in (tmp_path / "json/report").glob("part-*")))
+    assert list(whole) == ["provenance", "whatWasChecked", "headline", "burnedIn", "includesValues", "caveats", "identifyingFields", "notConsistent", "structural", "series", "ungrouped", "failed"]
+    assert len(whole["structural"]) == 8 and len(whole["notConsistent"]) == 3 and len(whole["failed"]) == 1 and whole["series"][0]["seriesInstanceUid"] is None
+    assert [f["path"] for f in whole["identifyingFields"]] == sorted(f["path"] for f in whole["identifyingFields"])
 
 
 def test_implicit_gives_the_same(spark):
-    from tests.dicom import element, part10, sequence
+    from tests.dicom import sequence
 
     vrs = {"00100010": "PN", "00280010": "US", "00081140": "SQ", "00100020": "LO"}
     body = lambda implicit: sequence("00081140", [element("00100020", "LO", "ID", implicit)], implicit=implicit) + element("00100010", "PN", "A^B", implicit) + element("00280010", "US", (513).to_bytes(2, "little"), implicit)
@@ -111,8 +137,6 @@ def test_numeric_texts():
 
 
 def test_refused_files():
-    from tests.dicom import part10
-
     for syntax in scan.REFUSED:
         with pytest.raises(ValueError, match="not read"):
             scan.read_metadata(part10(b"", syntax))

@@ -1,5 +1,5 @@
 from metaudit.operators import series
-from metaudit.streaming.watch import recheck_touched, watch_folder
+from metaudit.streaming.watch import latest_checks, recheck_touched, watch_folder
 from tests import study
 
 
@@ -17,9 +17,13 @@ def test_new_files_are_added(spark, tmp_path):
     (root / "notes").write_bytes(b"no")
     watch_folder(spark, str(root), str(out), profile, patterns).awaitTermination()
     outcomes = spark.read.parquet(f"{out}/outcomes")
-    assert outcomes.count() == 16 and outcomes.filter("outcome = 'read'").count() == 15
+    assert outcomes.count() == 18 and outcomes.filter("outcome = 'read'").count() == 17
     files, findings = series.instances(spark.read.parquet(f"{out}/attributes")), spark.read.parquet(f"{out}/findings")
-    touched = spark.createDataFrame([("1.7", "1.8.2")], "study string, series string")
+    kinds = {"position-gap", "duplicate-position", "extra-field", "inconsistent-pixel-spacing"}
+    touched = spark.createDataFrame([("2.1", "2.1.7")], "study string, series string")
     again = recheck_touched(touched, files, findings)
-    assert {r["series"] for r in again.collect()} == {"1.8.2"}
-    assert {r["kind"] for r in again.collect()} == {"position-gap", "varying-value", "inconsistent-pixel-spacing", "mixed-modality"}
+    assert {r["series"] for r in again.collect()} == {"2.1.7"} and {r["kind"] for r in again.collect()} == kinds
+    # The stream itself has checked the series that its batches touched.
+    latest = latest_checks(spark, str(out)).collect()
+    assert {r["kind"] for r in latest if r["series"] == "2.1.7"} == kinds
+    assert sorted(r["file"] for r in latest if r["series"] == "2.1.7") == sorted(r["file"] for r in again.collect())
