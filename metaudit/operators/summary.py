@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import plural
@@ -23,6 +23,11 @@ def field_summary(findings: DataFrame, total: Column) -> DataFrame:
     return merged.select("path", "tag", "name", "action", "kind", "present_in", total.cast("bigint").alias("total"), "n_values")
 
 
+def numbered(findings: DataFrame) -> DataFrame:
+    """``findings`` with ``place``: the number of each within its file by path."""
+    return findings.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy("path")))
+
+
 def burned_in_values(files: DataFrame, findings: DataFrame) -> DataFrame:
     """(value, n): how many files declare each burned-in value (first path of a file); null for files that do not carry the field."""
     declared = findings.filter("kind = 'burned-in'").groupBy("file").agg(F.coalesce(F.min_by("value", "path"), F.lit("")).alias("value"))

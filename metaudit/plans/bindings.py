@@ -28,11 +28,11 @@ def unpivot(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitem rows as files: the order is the series, the customer the study, the quantity the position."""
+    """Lineitem rows as files: the order is the series, the customer the study, the quantity the position. Odd lines of each tenth order lie in another study."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     pct = lambda c: F.round(F.col(c) * 100).cast("int")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("file"), F.col("o_custkey").cast("string").alias("study"), F.col("l_orderkey").cast("string").alias("series"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("file"), F.when((F.col("l_orderkey") % 10 == 0) & (F.col("l_linenumber") % 2 == 1), F.lit("shared")).otherwise(F.col("o_custkey").cast("string")).alias("study"), F.col("l_orderkey").cast("string").alias("series"),
         F.col("l_quantity").alias("distance"), F.lit("position").alias("ordered_by"), F.lit(None).cast("double").alias("instance_number"), F.col("l_returnflag").alias("modality"), F.col("l_linestatus").alias("description"),
         F.concat_ws("\\", pct("l_discount"), pct("l_tax")).alias("spacing"), F.concat_ws("-", F.col("l_linenumber")).alias("series_number"), pct("l_discount").alias("discount"), pct("l_tax").alias("tax"), "l_linestatus", "l_returnflag", "l_quantity",
         (F.min("l_linestatus").over(_series()) == F.max("l_linestatus").over(_series())).alias("orientation_consistent"),

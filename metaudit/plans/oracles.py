@@ -7,7 +7,7 @@ _IDS = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
 
 #: Lineitem rows as ordered files, and their attributes as findings.
 _LINES = f"""
-l AS (SELECT {_KEY} AS file, o_custkey::VARCHAR AS study, l_orderkey::VARCHAR AS series, l_quantity AS distance, l_returnflag AS modality, l_linestatus AS description,
+l AS (SELECT {_KEY} AS file, CASE WHEN l_orderkey % 10 = 0 AND l_linenumber % 2 = 1 THEN 'shared' ELSE o_custkey::VARCHAR END AS study, l_orderkey::VARCHAR AS series, l_quantity AS distance, l_returnflag AS modality, l_linestatus AS description,
              round(l_discount * 100)::INT AS discount, round(l_tax * 100)::INT AS tax, l_linenumber, l_quantity,
              min(l_linestatus) OVER (PARTITION BY l_orderkey) = max(l_linestatus) OVER (PARTITION BY l_orderkey) AS agree
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -72,6 +72,10 @@ v4 AS (SELECT v1.*, v3.v AS most FROM v1 JOIN v3 USING (study, series, path) WHE
         "x1 AS (SELECT *, count(*) OVER (PARTITION BY study, series, path) AS n FROM j WHERE n_files >= 2)",
         _rows(7, "extra-field", "x1 WHERE n < n_files", **_OF, path="path", item="path"),
     ),
+    "_shared_series": (
+        "h1 AS (SELECT series AS several FROM o GROUP BY series HAVING min(study) <> max(study))",
+        _rows(8, "inconsistent-identifier", "o JOIN h1 ON series = several", series="series", file="file", ordinal="ordinal", value="study"),
+    ),
     "mixed_modality_folder": (
         "f1 AS (SELECT * FROM l WHERE (SELECT min(modality) <> max(modality) FROM l))",
         _rows(9, "mixed-modality", "f1", "folder", file="file", value="modality"),
@@ -91,8 +95,7 @@ _MASKS = "(VALUES (0, '50xxxxxx', 'X'), (1, '60xx3000', 'X'), (2, '60xx4000', 'X
 _SYNTAXES = "['1.2.840.10008.1.2', '1.2.840.10008.1.2.1', '1.2.840.10008.1.2.5', '1.2.840.10008.1.2.4.50', '1.2.840.10008.1.2.2']"
 
 ORACLES = {
-    **{n: _checked(n) for n in _CHECKS},
-    # The series of a lineitem row belongs to one study, so the check of shared series adds no row here.
+    **{n: _checked(n) for n in _CHECKS if n[0] != "_"},
     "check_series": _ALL,
     "shared_series": f"""
 WITH r AS (SELECT {_KEY} AS file, l_suppkey::VARCHAR AS study, l_partkey::VARCHAR AS series FROM lineitem),
@@ -130,7 +133,62 @@ p AS (SELECT *, CASE WHEN vr = 'OB' AND length IS NULL THEN '<binary, length not
       WHEN value = '' THEN '(empty)' WHEN value IS NULL AND vr = 'SQ' THEN '(sequence)' WHEN value IS NULL THEN '(not shown)' ELSE value END AS plain, vr <> 'OB' AND value IS NOT NULL AND value <> '' AS maskable FROM r)
 SELECT c_custkey, plain, CASE WHEN maskable THEN '●●●●●●●●' ELSE plain END AS masked, maskable FROM p""",
     "instance_view": f"""
-WITH {_LINES} SELECT file, study, series, file AS sop, l_quantity AS instance_number, modality, concat(discount, '\\', tax) AS spacing, FALSE AS malformed_geometry FROM l""",
+WITH {_LINES} SELECT file, study, series, file AS sop, l_quantity AS instance_number, modality, concat(discount, '\\', tax) AS spacing, CASE WHEN discount % 3 > 0 THEN 6 END::INT AS cosines,
+       CASE WHEN tax > 0 THEN discount::DOUBLE END AS position_x, CASE WHEN tax > 0 THEN tax::DOUBLE END AS position_y, CASE WHEN tax > 0 THEN l_quantity END AS position_z, discount % 3 = 0 AND discount > 0 AS malformed_geometry FROM l""",
+    "masked_view": """
+WITH r AS (SELECT c_custkey, c_nationkey % 2 = 0 AS known, CASE c_nationkey % 4 WHEN 0 THEN 'OB' WHEN 1 THEN 'SQ' ELSE 'LO' END AS vr, CASE c_nationkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE c_name END AS value FROM customer)
+SELECT c_custkey, CASE WHEN vr = 'OB' THEN '<binary, ' || format('{:,}', c_custkey) || CASE WHEN c_custkey = 1 THEN ' byte>' ELSE ' bytes>' END WHEN value = '' THEN '(empty)' WHEN value IS NULL AND vr = 'SQ' THEN '(sequence)' WHEN value IS NULL THEN '(not shown)'
+       WHEN known THEN '●●●●●●●●' ELSE value END AS shown FROM r""",
+    "nested_flatten": """
+WITH l AS (SELECT o_orderkey::VARCHAR AS file, o_custkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS k, count(*) OVER (PARTITION BY o_orderkey) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT file, '00100020' AS path, '00100020' AS tag, 'LO' AS vr, o_custkey::VARCHAR AS value, NULL::INT AS item_count, 0 AS depth, 0 AS pos FROM l WHERE k = 0
+UNION ALL SELECT file, '00081140', '00081140', 'SQ', NULL, n::INT, 0, 1 FROM l WHERE k = 0
+UNION ALL SELECT file, concat('00081140/', k, '/00081150'), '00081150', 'UI', l_partkey::VARCHAR, NULL, 1, (2 + 2 * k)::INT FROM l
+UNION ALL SELECT file, concat('00081140/', k, '/00081155'), '00081155', 'UI', l_suppkey::VARCHAR, NULL, 1, (3 + 2 * k)::INT FROM l""",
+    "file_list": """
+WITH f AS (SELECT l_orderkey, list(concat('line-', l_linenumber, '-', l_partkey) ORDER BY concat('line-', l_linenumber, '-', l_partkey)) AS f FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey, array_to_string(f[1:5], ', ') || CASE WHEN len(f) > 5 THEN concat(', and ', len(f) - 5, ' more') ELSE '' END AS listed FROM f""",
+    "report_names": """
+WITH f AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 7 = 0 THEN ' -- ' ELSE concat(' ', o_orderpriority, ' / ', CASE WHEN o_orderstatus = 'O' THEN 'ÖÄ' ELSE o_orderstatus END) END AS folder FROM orders),
+s AS (SELECT *, regexp_replace(regexp_replace(lower(folder), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS made FROM f)
+SELECT o_orderkey, CASE WHEN made = '' THEN 'files' ELSE made END AS slug, concat('metaudit-', CASE WHEN made = '' THEN 'files' ELSE made END, '-', strftime(o_orderdate, '%Y-%m-%d'), '.json') AS name FROM s""",
+    "series_labels": """
+WITH r AS (SELECT o_custkey::VARCHAR AS study, o_orderkey::VARCHAR AS series, CASE WHEN o_orderkey % 3 > 0 THEN (o_custkey % 50)::VARCHAR END AS number FROM orders), p AS (SELECT *, row_number() OVER (ORDER BY study, series) AS position FROM r)
+SELECT study, series, position, coalesce(number, position::VARCHAR) AS label FROM p""",
+    "series_order": """
+WITH r AS (SELECT user_id::VARCHAR AS study, concat(user_id, '-', event_type) AS series, user_id % 7 = 0 OR event_id % 11 <> 0 AS numbered, user_id % 3 = 0 OR event_id % 2 = 0 AS placed, user_id % 5 = 0 AND event_id % 2 = 1 AS tilted FROM events)
+SELECT study, series, count(*) AS n_files, CASE WHEN min(tilted) = max(tilted) AND bool_and(placed) THEN 'Ordered by position' WHEN bool_and(numbered) THEN 'Ordered by instance number, as not every file has a usable position'
+       ELSE 'Ordered by file name, as neither positions nor instance numbers serve' END AS words FROM r GROUP BY study, series""",
+    "spacing_tolerance": f"""
+WITH {_LINES}, w AS (SELECT *, discount + 1 + l_linenumber % 3 * 0.00004::DOUBLE AS x FROM o),
+s1 AS (SELECT study, series, discount, tax, count(*) AS n, min(ordinal) AS first, arg_min(x, ordinal) AS lead FROM w GROUP BY ALL),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY study, series ORDER BY n DESC, lead, tax, first) AS r FROM s1),
+s3 AS (SELECT w.*, a.first, a.lead, b.lead AS best, b.tax AS bt FROM w JOIN s2 a USING (study, series, discount, tax) JOIN s2 b USING (study, series) WHERE b.r = 1 AND a.r > 1)
+{_rows(3, "inconsistent-pixel-spacing", "s3", study="study", series="series", file="file", ordinal="ordinal", item="first", value="concat(lead, chr(92), tax, '.0')", expected_value="concat(best, chr(92), bt, '.0')")}""",
+    "file_findings": f"WITH {_LINES} SELECT file, path, kind, action, row_number() OVER (PARTITION BY file ORDER BY path)::INT AS place FROM a",
+    "report_findings": f"""
+WITH c AS ({_ALL}), {_LINES}, d AS (SELECT DISTINCT check_no, kind, scope, study, series, path, item FROM c),
+s AS (SELECT study, series, arg_min(l_linenumber::VARCHAR, ordinal) AS label FROM o GROUP BY ALL), p AS (SELECT *, row_number() OVER (ORDER BY study, series) AS position FROM s),
+q AS (SELECT series, min(position) AS position, arg_min(label, position) AS label FROM p GROUP BY series),
+g AS (SELECT d.*, coalesce(p.position, q.position) AS position, coalesce(p.label, q.label) AS label FROM d LEFT JOIN p ON d.study = p.study AND d.series = p.series LEFT JOIN q ON d.study IS NULL AND d.series = q.series)
+SELECT check_no, study, series, path, item, CASE WHEN scope = 'folder' THEN 'Whole folder' ELSE 'Series ' || label END AS "group", position,
+       row_number() OVER (PARTITION BY scope = 'folder', position, kind IN ('varying-value', 'extra-field') ORDER BY check_no, length(item) NULLS FIRST, item NULLS FIRST)::INT AS heads FROM g""",
+    "profile_quality": r"""
+WITH p AS (SELECT CASE WHEN p_partkey % 9 = 0 THEN '(' || printf('%04x', p_partkey) || ')' ELSE printf('%08x', floor(p_partkey / 2 * CASE WHEN p_partkey % 4 < 2 THEN 1 ELSE 2 END)::BIGINT) END AS tag, p_size % 10 > 0 AS has_name, p_partkey % 7 = 0 AS odd, p_partkey % 11 = 0 AS short FROM part)
+SELECT tag AS subject, 'tag is not normalised' AS violation FROM p WHERE NOT regexp_full_match(tag, '[0-9a-f]{8}')
+UNION ALL SELECT tag, 'has an empty name' FROM p WHERE NOT has_name UNION ALL SELECT tag, 'has an unknown action' FROM p WHERE odd UNION ALL SELECT tag, 'has not all action columns' FROM p WHERE short
+UNION ALL SELECT tag, 'occurs more than once' FROM p GROUP BY tag HAVING count(*) > 1
+UNION ALL SELECT r_name, v FROM (SELECT r_name, unnest(CASE r_regionkey WHEN 2 THEN ['invalid mask'] WHEN 3 THEN ['unknown match'] WHEN 4 THEN ['invalid mask', 'has an unknown action'] ELSE [] END) AS v FROM region)
+UNION ALL SELECT * FROM (VALUES ('60xx4000', 'pattern row is missing'), ('oddGroup', 'pattern row is missing'))""",
+    "dictionary_quality": r"""
+WITH d AS (SELECT CASE WHEN s_suppkey % 4 = 0 THEN upper(printf('%07x', s_suppkey) || 'g') ELSE printf('%08x', s_suppkey // 3) END AS tag, (s_nationkey % 3)::VARCHAR AS edition FROM supplier)
+SELECT tag AS subject, 'tag is not normalised' AS violation FROM d WHERE NOT regexp_full_match(tag, '[0-9a-f]{8}')
+UNION ALL SELECT mask, 'invalid mask' FROM (SELECT CASE WHEN n_nationkey % 3 = 0 THEN '60xx' || lpad(n_nationkey::VARCHAR, 4, '0') ELSE n_name END AS mask FROM nation) WHERE NOT regexp_full_match(mask, '[0-9a-fx]{8}')
+UNION ALL SELECT tag, 'occurs more than once' FROM d GROUP BY tag HAVING count(*) > 1
+UNION ALL SELECT DISTINCT edition, 'edition differs from the profile''s' FROM d WHERE edition NOT IN (SELECT (p_size % 2)::VARCHAR FROM part)""",
+    "frame_samples": """
+SELECT p_partkey::VARCHAR AS file, CASE WHEN p_partkey % 3 <> 1 THEN array_to_string(list_transform(string_split(p_name, ''), lambda c: ord(c)), ',') END AS words,
+       CASE WHEN p_partkey % 3 = 1 THEN 'a frame has fewer bytes than pixels' END AS error FROM part""",
     "slice_distance": f"""
 WITH r AS (SELECT {_IDS}, l_discount * l_tax AS x, -l_tax AS y, 1.0::DOUBLE AS z, l_discount AS px, l_tax AS py, l_quantity AS pz, l_discount AS d, l_tax AS t FROM lineitem)
 SELECT {_IDS}, round((px * x + py * y + pz * z) / sqrt(x * x + y * y + z * z), 6) AS distance, abs(d) <= 0.0001::DOUBLE AND abs(t) <= 0.0001::DOUBLE AS agrees FROM r""",
@@ -162,6 +220,7 @@ SELECT check_no, study, series, path, item, n_files, CASE kind
   WHEN 'position-gap' THEN 'A slice may be missing — ' || round(actual)::INT || ' mm between two slices where ' || round(expected)::INT || ' mm is expected'
   WHEN 'duplicate-position' THEN 'Two slices occupy the same position'
   WHEN 'inconsistent-pixel-spacing' THEN n_files || CASE WHEN n_files = 1 THEN ' file has' ELSE ' files have' END || ' different pixel dimensions from the rest'
+  WHEN 'inconsistent-identifier' THEN 'Slices in this series belong to different studies'
   WHEN 'inconsistent-orientation' THEN 'Slices in this series are not all in the same plane'
   ELSE CASE WHEN scope = 'folder' THEN 'This folder holds more than one kind of scan — ' || array_to_string([m[i] || ' (' || k[i] || CASE WHEN k[i] = 1 THEN ' file)' ELSE ' files)' END for i in range(1, len(m) + 1)], ', ')
        ELSE 'This series contains ' || (n_files - k[1]) || CASE WHEN n_files - k[1] = 1 THEN ' file' ELSE ' files' END || ' from a different kind of scan — ' || array_to_string(m[2:], ' and ') || ' among ' || m[1] END END AS text FROM t""",

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import display, geometry, tags, voi
 from ..operators import checks, classify, pixels, series, summary, wording
+from ..sources import nested, tables
 from ..sources.scratch import written
+from . import audit, report
 from . import bindings as b
 
 _EXACT = ["check_no", "kind", "scope", "study", "series", "path", "item", "file", "ordinal", "value", "expected_value"]
@@ -68,8 +70,104 @@ def mask_values(spark, sf_dir):
 
 
 def instance_view(spark, sf_dir):
-    attributes = b.unpivot(b.line_files(spark, sf_dir), {"0020000d": "study", "0020000e": "series", "00080018": "file", "00200013": "l_quantity", "00080060": "modality", "00280030": "spacing"})
-    return series.instances(attributes).select("file", "study", "series", "sop", "instance_number", "modality", "spacing", "malformed_geometry")
+    c = F.col
+    rows = b.line_files(spark, sf_dir).withColumns({"_o": F.when(c("discount") % 3 > 0, F.lit("1\\0\\0\\0\\1\\0")).otherwise(F.when(c("discount") > 0, F.lit("1\\0\\x"))), "_p": F.when(c("tax") > 0, F.concat_ws("\\", "discount", "tax", "l_quantity"))})
+    attributes = b.unpivot(rows, {"00200037": "_o", "00200032": "_p", "0020000d": "study", "0020000e": "series", "00080018": "file", "00200013": "l_quantity", "00080060": "modality", "00280030": "spacing"})
+    place = [F.get("position", F.lit(k)).alias(f"position_{x}") for k, x in enumerate("xyz")]
+    return series.instances(attributes).select("file", "study", "series", "sop", "instance_number", "modality", "spacing", F.size("orientation").alias("cosines"), *place, "malformed_geometry")
+
+
+def masked_view(spark, sf_dir):
+    c = F.col
+    value = F.when(c("c_nationkey") % 5 == 0, F.lit(None)).when(c("c_nationkey") % 5 == 1, F.lit("")).otherwise(c("c_name"))
+    vr = F.when(c("c_nationkey") % 4 == 0, "OB").when(c("c_nationkey") % 4 == 1, "SQ").otherwise("LO")
+    return b.table(spark, sf_dir, "customer").select("c_custkey", display.shown_in_view(value, vr, c("c_custkey"), c("c_nationkey") % 2 == 0).alias("shown"))
+
+
+def nested_flatten(spark, sf_dir):
+    """Orders as nested records with an item for each line, and back to attribute rows."""
+    lines = b.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
+    rows = lines.join(b.table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    leaf = lambda tag, vr, v: F.struct(F.lit(tag).alias("tag"), F.lit(vr).alias("vr"), v.cast("string").alias("value"))
+    items = F.transform("l", lambda x: F.array(leaf("00081150", "UI", x["l_partkey"]), leaf("00081155", "UI", x["l_suppkey"])))
+    node = lambda tag, vr, v, inner: F.struct(F.lit(tag).alias("tag"), F.lit(vr).alias("vr"), v.cast("string").alias("value"), inner.alias("items"))
+    no_items = F.lit(None).cast("array<array<struct<tag: string, vr: string, value: string>>>")
+    records = rows.select(F.col("o_orderkey").cast("string").alias("file"), F.array(node("00100020", "LO", F.col("o_custkey"), no_items), node("00081140", "SQ", F.lit(None), items)).alias("nodes"))
+    return nested.flatten(records).select("file", "path", "tag", "vr", "value", "item_count", "depth", "pos")
+
+
+def file_list(spark, sf_dir):
+    names = F.format_string("line-%d-%d", "l_linenumber", "l_partkey")
+    return b.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(names)).alias("files")).select("l_orderkey", display.file_list(F.col("files")).alias("listed"))
+
+
+def report_names(spark, sf_dir):
+    folder = F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" / "), F.when(F.col("o_orderstatus") == "O", F.lit("ÖÄ")).otherwise(F.col("o_orderstatus")))
+    bare = F.when(F.col("o_orderkey") % 7 == 0, F.lit(" -- ")).otherwise(folder)
+    return b.table(spark, sf_dir, "orders").select("o_orderkey", display.slug(bare).alias("slug"), display.report_filename(bare, "json", F.col("o_orderdate")).alias("name"))
+
+
+def series_labels(spark, sf_dir):
+    """Orders as series; two of three declare a number."""
+    c = F.col
+    rows = b.table(spark, sf_dir, "orders").select(c("o_custkey").cast("string").alias("study"), c("o_orderkey").cast("string").alias("series"), F.when(c("o_orderkey") % 3 > 0, (c("o_custkey") % 50).cast("string")).alias("series_number"))
+    return audit.series_labels(rows).select("study", "series", F.col("position").cast("bigint").alias("position"), "label")
+
+
+def series_order(spark, sf_dir):
+    return series.series_table(series.order_series(b.event_files(spark, sf_dir))).select("study", "series", "n_files", display.order_words(F.col("ordered_by")).alias("words"))
+
+
+def spacing_tolerance(spark, sf_dir):
+    """Spacings that differ by less than the tolerance within each hundredth."""
+    jitter = F.col("discount") + 1 + F.substring_index(F.substring_index("file", "-", 2), "-", -1).cast("int") % 3 * 0.00004
+    return _shown(checks.spacing_outliers(b.line_series(spark, sf_dir).withColumn("spacing", F.concat_ws("\\", jitter, F.col("tax").cast("double")))))
+
+
+def file_findings(spark, sf_dir):
+    return summary.numbered(_line_findings(spark, sf_dir)).select("file", "path", "kind", "action", "place")
+
+
+def report_findings(spark, sf_dir):
+    """All findings as the report groups and numbers them."""
+    ordered, _, rows = _all_checks(spark, sf_dir)
+    names = spark.createDataFrame([("00081030", "Study Description"), ("00100010", "Patient's Name")], "tag string, name string")
+    done = audit.Audit(None, None, None, ordered, ordered, series.series_table(ordered), written(rows, "finding-files"), names)
+    return report.placed_findings(done).select("check_no", "study", "series", "path", "item", "group", F.col("position").cast("bigint").alias("position"), "heads")
+
+
+def profile_quality(spark, sf_dir):
+    """Parts as rows of a profile with faults, regions as its patterns."""
+    c = F.col
+    part = b.table(spark, sf_dir, "part")
+    tag = F.when(c("p_partkey") % 9 == 0, F.format_string("(%04x)", c("p_partkey").cast("int"))).otherwise(F.format_string("%08x", F.floor(c("p_partkey") / 2 * F.when(c("p_partkey") % 4 < 2, 1).otherwise(2)).cast("int")))
+    action = F.when(c("p_partkey") % 7 == 0, F.lit("Q")).when(c("p_partkey") % 7 == 1, F.lit(None)).otherwise(F.lit("X/Z/U*"))
+    count = F.when(c("p_partkey") % 11 == 0, 10).otherwise(11)
+    actions = F.map_from_arrays(F.transform(F.sequence(F.lit(1), count), lambda k: F.concat(F.lit("c"), k.cast("string"))), F.transform(F.sequence(F.lit(1), count), lambda k: F.when(k == 3, action).otherwise(F.lit("X"))))
+    profile = part.select(tag.alias("tag"), F.when(c("p_size") % 10 > 0, c("p_name")).otherwise(F.lit("")).alias("name"), actions.alias("actions"))
+    few = F.map_from_arrays(F.array(F.lit("c1")), F.array(F.when(c("r_regionkey") == 4, F.lit("bad")).otherwise(F.lit("X"))))
+    masks = F.get(F.array(*[F.lit(m) for m in ("50xxxxxx", "60xx3000", "5g", None, "60xx300")]), c("r_regionkey"))
+    patterns = b.table(spark, sf_dir, "region").select(c("r_name").alias("tagPattern"), F.when(c("r_regionkey") == 3, F.lit("other")).otherwise(F.lit("nibbleMask")).alias("match"), masks.alias("mask"), few.alias("actions"))
+    return tables.validate_profile(profile, patterns)
+
+
+def dictionary_quality(spark, sf_dir):
+    """Suppliers as entries of a dictionary with faults, nations as its patterns, parts as a profile of another edition."""
+    c = F.col
+    entries = b.table(spark, sf_dir, "supplier").select(F.when(c("s_suppkey") % 4 == 0, F.upper(F.format_string("%07xg", c("s_suppkey").cast("int")))).otherwise(F.format_string("%08x", F.floor(c("s_suppkey") / 3).cast("int"))).alias("tag"), (c("s_nationkey") % 3).cast("string").alias("edition"))
+    patterns = b.table(spark, sf_dir, "nation").select(F.when(c("n_nationkey") % 3 == 0, F.concat(F.lit("60xx"), F.lpad(c("n_nationkey").cast("string"), 4, "0"))).otherwise(c("n_name")).alias("mask"))
+    profile = b.table(spark, sf_dir, "part").select((c("p_size") % 2).cast("string").alias("edition"))
+    return tables.validate_dictionary(entries, patterns, profile)
+
+
+def frame_samples(spark, sf_dir):
+    """Part names as frames of one-byte samples: stored plainly, in run lengths, or a byte too short."""
+    c = F.col
+    size = F.length("p_name")
+    byte = lambda n: F.lpad(F.hex(n), 2, "0")
+    packed = F.concat(F.lit("01000000" + "40000000" + "00" * 56), byte(size - 1), F.hex(c("p_name").cast("binary")))
+    rows = b.table(spark, sf_dir, "part").select(c("p_partkey").cast("string").alias("file"), F.lit(0).alias("frame"), F.when(c("p_partkey") % 3 == 0, F.unhex(packed)).otherwise(c("p_name").cast("binary")).alias("data"), F.when(c("p_partkey") % 3 == 1, size + 1).otherwise(size).alias("pixels"), F.lit(1).alias("samples"), F.lit(1).alias("width"), (c("p_partkey") % 3 == 0).alias("packed"))
+    return pixels.frame_samples(rows).select("file", F.array_join("words", ",").alias("words"), "error")
 
 
 def slice_distance(spark, sf_dir):
@@ -232,6 +330,7 @@ QUERIES = {
     for f in (
         tag_normalise, tag_parts, classify_fields, mask_lookup, name_fields, mask_values, instance_view, slice_distance, order_series, series_meta, ungrouped_files, position_gap, duplicate_position,
         spacing_outliers, orientation_mix, mixed_modality_series, mixed_modality_folder, shared_series, extra_field, varying_value, check_series, finding_text, field_summary, field_values, burned_in,
+        masked_view, nested_flatten, file_list, report_names, series_labels, series_order, spacing_tolerance, file_findings, report_findings, profile_quality, dictionary_quality, frame_samples,
         outcome_totals, file_summary, headline, folder_name, diff_findings, voi_window, stored_value, frame_range, decodability, fragments_to_frames,
     )
 }
