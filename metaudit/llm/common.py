@@ -16,7 +16,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Tables of keys up to so many rows are sent to every task; larger ones are joined by a shuffle.
-SMALL_ROWS = 100_000
+SMALL_ROWS = 20_000
 
 _own_folders: dict[str, str] = {}
 _stored: dict[str, list[str]] = {}
@@ -73,11 +73,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def drop_stored(spark: SparkSession, keep: Sequence[DataFrame] = ()) -> None:
-    """Delete what ``materialise`` has written in this application, but for the tables that ``keep`` reads. For callers that have stored their results."""
+def stored(spark: SparkSession) -> frozenset[str]:
+    """The paths of the tables that ``materialise`` has written in this application and that are still there."""
+    return frozenset(_stored.get(spark.sparkContext.applicationId, []))
+
+
+def drop_stored(spark: SparkSession, before: frozenset[str], keep: Sequence[DataFrame] = ()) -> None:
+    """Delete the tables written since ``before = stored(spark)``, but for those that ``keep`` reads. For callers that have stored their results."""
     own = _stored.get(spark.sparkContext.applicationId, [])
     read = {f.rpartition("/")[0].rpartition("/metaudit/")[2] for df in keep for f in df.inputFiles()}
-    for path in [p for p in own if p.rpartition("/metaudit/")[2] not in read]:
+    for path in [p for p in own if p not in before and p.rpartition("/metaudit/")[2] not in read]:
         drop_path(spark, path)
         own.remove(path)
 

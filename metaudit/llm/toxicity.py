@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as tk
-from .common import crc_mod, packed, sampled, table, text_hash
+from .common import crc_mod, located, materialise, packed, sampled, table, text_hash, without
 
 BITS = 20
 
@@ -41,20 +41,22 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int) -> tuple[np.ndarr
 
 
 def ftrl(rows: list[np.ndarray], labels: np.ndarray, size: int, epochs: int, alpha: float, beta: float, l1: float, l2: float) -> np.ndarray:
-    """Weights of ``size`` places and, last, the intercept."""
+    """Weights of ``size`` places and, last, the intercept, which has no L1 term. A row is an array of distinct places."""
     z, n = np.zeros(size + 1), np.zeros(size + 1)
+
+    def weights(z, n, shrink):
+        return np.where(np.abs(z) <= shrink, 0.0, (np.sign(z) * shrink - z) / ((beta + np.sqrt(n)) / alpha + l2))
+
     for _ in range(epochs):
         for at, y in zip(rows, labels, strict=True):
             zi, ni = z[at], n[at]
-            root = np.sqrt(ni)
-            shrink = np.where(at == size, 0.0, l1)
-            w = np.where(np.abs(zi) <= shrink, 0.0, (np.sign(zi) * shrink - zi) / ((beta + root) / alpha + l2))
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y
-            z[at] = zi + g - (np.sqrt(ni + g * g) - root) / alpha * w
+            w, bias = weights(zi, ni, l1), float(weights(z[size], n[size], 0.0))
+            g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - y
+            z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * w
             n[at] = ni + g * g
-    shrink = np.full(size + 1, l1)
-    shrink[size] = 0
-    return np.where(np.abs(z) <= shrink, 0.0, (np.sign(z) * shrink - z) / ((beta + np.sqrt(n)) / alpha + l2))
+            z[size] += g - (np.sqrt(n[size] + g * g) - np.sqrt(n[size])) / alpha * bias
+            n[size] += g * g
+    return np.append(weights(z[:size], n[:size], l1), weights(z[size], n[size], 0.0))
 
 
 def hashed(texts: DataFrame, bits: int) -> DataFrame:
@@ -64,13 +66,12 @@ def hashed(texts: DataFrame, bits: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            places = []
-            for first, last, data, offsets in tk.runs(batch.column(0)):
+            for first, last, data, offsets in tk.runs(batch.column(0)):  # a run at a time, as places take more room than texts
                 owner, at = features(data, offsets, bits)
                 pairs = np.unique((owner << bits) | at)
-                cuts = np.searchsorted(pairs >> bits, np.arange(last - first + 1))
-                places += [(pairs[a:b] & ((1 << bits) - 1)).astype(np.int32) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(places, pa.list_(pa.int32()))], [*rest, "places"])
+                cuts = np.searchsorted(pairs >> bits, np.arange(last - first + 1)).astype(np.int32)
+                places = pa.ListArray.from_arrays(pa.array(cuts), pa.array((pairs & ((1 << bits) - 1)).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*batch.slice(first, last - first).columns[1:], places], [*rest, "places"])
 
     return texts.select("text", *rest).mapInArrow(make, schema)
 
@@ -87,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str, bits: int = BITS, max_
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "doc_id", "text_hash"])
-        each = [np.append(np.asarray(p, np.int32), np.int32(size)) for p in rows["places"]]
+        each = list(rows["places"])
         y = rows["y"].to_numpy(float)
         w = ftrl(each, y, size, epochs, alpha, beta, l1 * np.sqrt(min(y.sum(), (1 - y).sum())), l2)
         at = np.flatnonzero(w)
@@ -130,8 +131,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: list[str] | None =
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` that score below the threshold."""
-    row = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"), packed(docs.columns).alias("kept"))
-    return score_toxicity(row, labels, ["kept"], **options).filter(F.col("toxicity") < threshold).select("kept.*")
+    base = located(docs)
+    scored = score_toxicity(base.select("row.doc_id", F.col("row.text").alias("text"), "at"), labels, ["at"], **options)
+    return without(base, materialise(scored.filter(F.col("toxicity") >= threshold).select("at"), "toxic")).select("row.*")
 
 
 def query(spark, sf_dir):
