@@ -12,7 +12,8 @@ and small-star rounds over those edges, each written to the shared folder.
 
 ``near_groups`` and ``drop_near_copies`` take the similarity of sets of five words instead. Fingerprints of two
 words of 64 bits, compared in tiles in the same way within classes of set sizes that 0.8 allows, find the
-pairs that may reach it, and the sets of each such pair are compared exactly. A pair that differs in more
+pairs that may reach it, bitmaps of the sets rule out most of those that don't, and the sets of each pair that is
+left are compared exactly. A pair that differs in more
 bits than RADII is lost; that is about one in a thousand at a similarity of just 0.8.
 
 Defined results: a null or empty text, or one of white space alone, has fingerprint zero and is linked as
@@ -199,11 +200,15 @@ def find_groups(docs: DataFrame, radius: int = 4, shingle: int = 4, seed: int =
 
 # --- near copies by the similarity of their sets of shingles; fingerprints find the pairs to be compared
 
-#: Salts of what is made of a shingle's hash: the second word of the fingerprint, and the digest of the set.
-_SECOND, _DIGEST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Salts of what is made of a shingle's hash: the second word of the fingerprint, the digest and the bitmap of the set.
+_SECOND, _DIGEST, _BITMAP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Bits of the bitmap in which each shingle of a set turns one bit over: sets differ in as many shingles at least as their bitmaps do in bits.
+BITMAP = 1024
 #: Bits in which the first word, and both words, may differ for a pair to be compared. At a similarity of 0.8
 #: a bit differs with a chance of 0.15: 9.7 of 64 on average, with a deviation of 2.9, and 19.4 of 128 with 4.1.
 RADII = (20, 32)
+#: Distance of both words below which most pairs are near copies, and how many such pairs of a set are tried besides its nearest.
+LIKELY, PICKS = 20, 3
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,21 +242,33 @@ def _words_of(owner: np.ndarray, h: np.ndarray, count: np.ndarray) -> np.ndarray
     return np.packbits(2 * ones > count[:, None], 1).view(">u8").ravel().astype(np.uint64)
 
 
+def _bitmaps(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The bitmap of each set, a row of bytes."""
+    cell = (tk.mix(h ^ _BITMAP) % np.uint64(BITMAP)).astype(np.int64)
+    out = np.zeros((n, BITMAP // 8), np.uint8)
+    for k in range(0, n, 4096):
+        a, b = np.searchsorted(owner, [k, k + 4096])
+        m = min(4096, n - k)
+        out[k : k + m] = np.packbits((np.bincount((owner[a:b] - k) * BITMAP + cell[a:b], minlength=m * BITMAP) & 1).astype(np.uint8).reshape(m, BITMAP), 1)
+    return out
+
+
 def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """(at, doc_id, size, f0, f1, digest) of (text, at, doc_id): size of the set of shingles, 128-bit SimHash and digest of the set."""
-    schema = texts.select("at", "doc_id", *[F.lit(0).cast("long").alias(c) for c in ("size", "f0", "f1", "digest")]).schema
+    """(at, doc_id, size, f0, f1, digest, bits) of (text, at, doc_id): size of the set of shingles, 128-bit SimHash, digest and bitmap of the set."""
+    schema = texts.select("at", "doc_id", *[F.lit(0).cast("long").alias(c) for c in ("size", "f0", "f1", "digest")], F.lit(b"").alias("bits")).schema
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
+            made, bits = [], []
             for first, last, data, offsets in tk.runs(batch.column(0)):
                 owner, h = shingle_sets(data, offsets, shingle)
+                bits += [b.tobytes() for b in _bitmaps(owner, h, last - first)]
                 count = np.bincount(owner, minlength=last - first)
                 digest = np.zeros(last - first, np.uint64)
                 np.add.at(digest, owner, tk.mix(h ^ _DIGEST))
                 made.append(np.stack([count.astype(np.int64), *[x.view(np.int64) for x in (_words_of(owner, h, count), _words_of(owner, tk.mix(h ^ _SECOND), count), digest)]]))
             columns = np.concatenate(made, 1) if made else np.zeros((4, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *map(pa.array, columns)], ["at", "doc_id", "size", "f0", "f1", "digest"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), *map(pa.array, columns), pa.array(bits, pa.binary())], ["at", "doc_id", "size", "f0", "f1", "digest", "bits"])
 
     return texts.select("text", "at", "doc_id").mapInArrow(make, schema)
 
@@ -259,7 +276,8 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
 def near_pairs(a: np.ndarray, b: np.ndarray | None, similarity: float, radii: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, distance) of the pairs of two tiles, or within one, that may be near copies, some rows of the first at a time.
 
-    A tile is a record array with f0, f1 and size, ordered by the population count of f0."""
+    A tile is a record array with f0, f1, size and bits, ordered by the population count of f0. Bitmaps that differ in more bits
+    than sets of this similarity can differ in shingles rule a pair out for certain."""
     own, b = b is None, a if b is None else b
     ac, bc = np.bitwise_count(a["f0"]).astype(int), np.bitwise_count(b["f0"]).astype(int)
     for k in range(0, len(a), 256):
@@ -274,16 +292,20 @@ def near_pairs(a: np.ndarray, b: np.ndarray | None, similarity: float, radii: tu
         apart = np.bitwise_count(a["f0"][i] ^ b["f0"][j]).astype(int) + np.bitwise_count(a["f1"][i] ^ b["f1"][j])
         x, y = a["size"][i], b["size"][j]
         may = (apart <= radii[1]) & (np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9)
+        i, j, apart = i[may], j[may], apart[may]
+        most = (1 - similarity) / (1 + similarity) * (a["size"][i] + b["size"][j]) + 1e-9
+        may = np.concatenate([np.bitwise_count(a["bits"][i[q : q + 65536]] ^ b["bits"][j[q : q + 65536]]).sum(1, np.int64) for q in range(0, len(i), 65536)] or [np.zeros(0, np.int64)]) <= most
         yield i[may], j[may], apart[may]
 
 
-_TILE = np.dtype([("f0", np.uint64), ("f1", np.uint64), ("size", np.int64), ("sid", np.int64), ("root", np.int64)])
+_TILE = np.dtype([("f0", np.uint64), ("f1", np.uint64), ("size", np.int64), ("sid", np.int64), ("root", np.int64), ("bits", np.uint64, (BITMAP // 64,))])
 
 
 def _tile(column: pa.Array, k: int) -> np.ndarray:
     fields = column[k].values
     out = np.zeros(len(fields), _TILE)
-    for name in _TILE.names:
+    out["bits"] = np.frombuffer(b"".join(fields.field("bits").to_pylist()), np.uint64).reshape(out["bits"].shape)
+    for name in _TILE.names[:-1]:
         out[name] = fields.field(name).to_numpy().astype(np.int64).view(_TILE[name])
     return out[np.argsort(np.bitwise_count(out["f0"]), kind="stable")]
 
@@ -304,8 +326,8 @@ def _tile_pairs(sets: DataFrame, similarity: float, tile_rows: int) -> DataFrame
     return met.select("l", F.when((F.col("lc") != F.col("rc")) | (F.col("lp") != F.col("rp")), F.col("r")).alias("r"))
 
 
-def _candidates(sets: DataFrame, similarity: float, radii: tuple[int, int], tile_rows: int, nearest: bool) -> DataFrame:
-    """(u, v): for each set its nearest candidate (``nearest``), or all candidate pairs of different roots."""
+def _candidates(sets: DataFrame, similarity: float, radii: tuple[int, int], tile_rows: int, few: bool) -> DataFrame:
+    """(u, v) of sets with different roots, written: for each set its nearest candidate and some of those that are likely (``few``), or all candidate pairs."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -314,30 +336,39 @@ def _candidates(sets: DataFrame, similarity: float, radii: tuple[int, int], tile
                 b = _tile(batch.column(1), k) if batch.column(1)[k].is_valid else None
                 right, shift = (a, 0) if b is None else (b, len(a))
                 both = a if b is None else np.concatenate([a, b])
-                best = np.full(len(both), np.iinfo(np.int64).max)
+                none = np.iinfo(np.int64).max
+                best = np.full((PICKS + 1, len(both)), none)
                 for i, j, apart in near_pairs(a, b, similarity, radii):
-                    if nearest:
-                        j = j + shift
-                        np.minimum.at(best, i, apart << 40 | j)
-                        np.minimum.at(best, j, apart << 40 | i)
-                    elif (differ := a["root"][i] != right["root"][j]).any():
-                        u, v = a["sid"][i[differ]], right["sid"][j[differ]]
-                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(apart[differ])], ["u", "v", "apart"])
-                if nearest:
-                    some = np.flatnonzero(best < np.iinfo(np.int64).max)
-                    yield pa.RecordBatch.from_arrays([pa.array(both["sid"][some]), pa.array(both["sid"][best[some] & ((1 << 40) - 1)]), pa.array(best[some] >> 40)], ["u", "v", "apart"])
+                    differ = a["root"][i] != right["root"][j]
+                    i, j, apart = i[differ], j[differ], apart[differ]
+                    u, v = a["sid"][i], right["sid"][j]
+                    if not few:
+                        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.zeros(len(u), np.int64)), pa.array(apart)], ["u", "v", "pick", "score"])
+                        continue
+                    for pick in range(PICKS + 1):  # the nearest, then the least by a hash of the pair
+                        x, y, score = i, j + shift, apart
+                        if pick:
+                            near = apart <= LIKELY
+                            x, y = x[near], y[near]
+                            low, high = np.minimum(u[near], v[near]), np.maximum(u[near], v[near])
+                            score = (tk.mix(tk.combine(low.view(np.uint64), high.view(np.uint64), pick)) >> np.uint64(41)).astype(np.int64)
+                        np.minimum.at(best[pick], x, score << 40 | y)
+                        np.minimum.at(best[pick], y, score << 40 | x)
+                if few:
+                    pick, some = np.nonzero(best < none)
+                    found = best[pick, some]
+                    yield pa.RecordBatch.from_arrays([pa.array(both["sid"][some]), pa.array(both["sid"][found & ((1 << 40) - 1)]), pa.array(pick), pa.array(found >> 40)], ["u", "v", "pick", "score"])
 
     pairs = _tile_pairs(sets, similarity, tile_rows)
     with conf_set(sets.sparkSession, {"spark.sql.execution.arrow.maxRecordsPerBatch": "8"}):  # tiles are large rows
-        found = materialise(pairs.mapInArrow(compare, "u long, v long, apart long"), "candidates")
-    if nearest:
-        found = found.groupBy("u").agg(F.min_by("v", F.struct("apart", "v")).alias("v"))
-    return found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        found = materialise(pairs.mapInArrow(compare, "u long, v long, pick long, score long"), "candidates")
+    if few:
+        found = found.groupBy("u", "pick").agg(F.min_by("v", F.struct("score", "v")).alias("v"))
+    return materialise(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The pairs (u, v) whose sets of shingles are as similar as that, written."""
-    pairs = materialise(pairs, "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("sid")).distinct().join(sets.select("sid", F.col("rep.at").alias("at")), "sid")
     found = among(texts.select("text", "at"), materialise(wanted, "wanted")).select("text", "sid")
 
@@ -361,16 +392,20 @@ def _near_groups(base: DataFrame, similarity: float, shingle: int, radii: tuple[
     made = materialise(sketches(texts, shingle), "sketches")
     same = ["size", "f0", "f1", "digest"]
     rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
-    sets = materialise(made.groupBy(*same).agg(F.min(rep).alias("rep")).withColumn("sid", F.monotonically_increasing_id()), "sets")
+    sets = materialise(made.groupBy(*same).agg(F.min(rep).alias("rep"), F.first("bits").alias("bits")).withColumn("sid", F.monotonically_increasing_id()), "sets")
     rows = made.join(sets.select(*same, "sid"), same).select("at", "doc_id", "sid")
 
     def rooted(edges: DataFrame) -> DataFrame:
         roots = connect(edges).select(F.col("node").alias("sid"), "root")
         return materialise(sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")), "rooted")
 
-    # Each set is first compared with its nearest candidate, which joins the members of dense groups; then all pairs that are still apart are.
-    near = _verified(_candidates(sets.withColumn("root", F.col("sid")), similarity, radii, tile_rows, True), sets, texts, shingle, similarity)
-    rest = _verified(_candidates(rooted(near), similarity, radii, tile_rows, False), sets, texts, shingle, similarity)
+    # Each set is first compared with a few candidates, which joins the members of dense groups; then all pairs that are still apart are,
+    # of the sets that have a candidate at all.
+    tried = _candidates(sets.withColumn("root", F.col("sid")), similarity, radii, tile_rows, True)
+    near = _verified(tried, sets, texts, shingle, similarity)
+    active = tried.select(F.explode(F.array("u", "v")).alias("sid")).distinct()
+    left = rooted(near).join(active, "sid", "left_semi")
+    rest = _verified(_candidates(left, similarity, radii, tile_rows, False), sets, texts, shingle, similarity)
     return rows, rooted(near.unionByName(rest)).select("sid", "root", "rep")
 
 
