@@ -90,7 +90,8 @@ def _find(base: DataFrame, digest, checkpoint: str | None) -> DataFrame:
     arrivals = every.filter(F.col("call") == call).drop("call")
     if arrivals.isEmpty():
         return _decided(arrivals.withColumns({"n": F.lit(0).cast("long"), "keeper": F.lit(None).cast(_KEEPER)}))
-    decided = materialise(_decided(arrivals.join(track_digests(spark, every, folder), "digest")), "decided")
+    groups = materialise(track_digests(spark, every, folder), "groups")  # so that Spark can split a hot digest of the join
+    decided = materialise(_decided(arrivals.join(groups, "digest")), "decided")
 
     # Full bytes of all hits, and of no other row: equal texts of a digest have an equal least and greatest text.
     hits = decided.filter("group_size > 1").select("doc_id", "digest", "at")
