@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, exact_dedup, language_model, mixing, near_dedup, pii, quality, toxicity, url_filter
+from . import centroids, chat_format, decontaminate, exact_dedup, language_model, mixing, near_dedup, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_url_filter": url_filter.query,
     "op9_chat_format": chat_format.query,
     "op10_decontaminate": decontaminate.query,
+    "op11_centroids": centroids.query,
 }
 ORACLES = {
     "op6_mix_sources": mixing.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op8_url_filter": url_filter.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
+    "op11_centroids": centroids.ORACLE,
 }
