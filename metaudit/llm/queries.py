@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat_format, decontaminate, exact_dedup, language_model, mixing, near_dedup, pii, quality, toxicity, url_filter
+from . import centroids, chat_format, decontaminate, exact_dedup, language_model, mixing, near_dedup, odd_sketch, pii, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat_format": chat_format.query,
     "op10_decontaminate": decontaminate.query,
     "op11_centroids": centroids.query,
+    "op12_odd_sketch": odd_sketch.query,
 }
 ORACLES = {
     "op6_mix_sources": mixing.ORACLE,
@@ -24,4 +25,5 @@ ORACLES = {
     "op9_chat_format": chat_format.ORACLE,
     "op10_decontaminate": decontaminate.ORACLE,
     "op11_centroids": centroids.ORACLE,
+    "op12_odd_sketch": odd_sketch.ORACLE,
 }
