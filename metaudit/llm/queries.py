@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import centroids, chat_format, decontaminate, exact_dedup, language_model, mixing, near_dedup, odd_sketch, pii, quality, toxicity, url_filter
+from . import centroids, chat_format, decontaminate, exact_dedup, language_model, mixing, near_dedup, odd_sketch, pii, prefix_trie, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_decontaminate": decontaminate.query,
     "op11_centroids": centroids.query,
     "op12_odd_sketch": odd_sketch.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 ORACLES = {
     "op6_mix_sources": mixing.ORACLE,
@@ -26,4 +27,5 @@ ORACLES = {
     "op10_decontaminate": decontaminate.ORACLE,
     "op11_centroids": centroids.ORACLE,
     "op12_odd_sketch": odd_sketch.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
