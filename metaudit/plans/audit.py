@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks, classify, series, summary
 from ..sources import scan as scanning
+from ..sources.folder import read_folder
 from ..sources.scratch import written
 
 
@@ -43,10 +44,8 @@ def audit_rows(outcomes: DataFrame, attributes: DataFrame, profile: DataFrame, p
 def audit_folder(spark: SparkSession, root: str, profile: DataFrame, patterns: DataFrame, dictionary: DataFrame, dictionary_patterns: DataFrame) -> Audit:
     """An audit of all files below ``root``. The VRs of implicit files come from the dictionary, a table of a few thousand rows."""
     vrs = {r["tag"]: r["vr"].split(" or ")[0] for r in dictionary.filter("vr IS NOT NULL").select("tag", "vr").collect()}
-    files = scanning.scan_files(spark, root)
-    scanned = written(scanning.scan(files, vrs), "scanned")  # files are read once
-    relative = files.select("file", "relative_path")
-    return audit_rows(scanning.outcomes(scanned).join(relative, "file", "left"), scanning.attributes(scanned), profile, patterns, dictionary, dictionary_patterns)
+    scanned = written(read_folder(spark, root, vrs), "scanned")  # files are read once
+    return audit_rows(scanning.outcomes(scanned), scanning.attributes(scanned), profile, patterns, dictionary, dictionary_patterns)
 
 
 def series_labels(series_rows: DataFrame) -> DataFrame:

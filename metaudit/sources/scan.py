@@ -1,8 +1,11 @@
 """Metadata scan: folders of files as outcome rows and attribute rows.
 
-``binaryFile`` lists the files without reading them; one partition function then opens each file, reads a
-beginning of it that grows until the pixel data are reached, and tells every outcome in one pass. A file that
-cannot be opened or read is a row, never an error of the task.
+``read_folder`` is a data source of its own (``sources.folder``): partitions are planned by files and bytes, and
+each opens one file system. ``scan`` takes a table of files instead, of which Spark has listed or read the contents.
+
+A file is read through a window that moves along it up to the pixel data, past values that nobody asked for.
+Every outcome is told in one pass: a file that cannot be opened, that is cut short or that gives fewer bytes
+than its size states is a row, never an error of the task.
 """
 
 from __future__ import annotations
@@ -10,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,9 +32,13 @@ PIXEL_DATA = "7fe00010"
 DIRECTORY_CLASS = "1.2.840.10008.1.3.10"
 IMPLICIT = "1.2.840.10008.1.2"
 REFUSED = {"1.2.840.10008.1.2.2": "big-endian files are not read", "1.2.840.10008.1.2.1.99": "deflated files are not read"}
+#: Tags that tell how a file is read.
+NEEDED = frozenset(("00020002", "00020010"))
 MOST_NUMBERS, DEEPEST = 16, 32
-#: Bytes of a file that are read first, and how much more each time they don't reach the pixel data.
-FIRST_BYTES, GROWTH = 1 << 16, 4
+#: Bytes that are read at once: as few at first, and more where one read goes on where the last one ended.
+FIRST_BYTES, GROWTH, MOST_BYTES = 1 << 16, 4, 1 << 22
+#: Values that are longer are skipped rather than read with what comes before and after them, if nobody asked for them.
+SKIPPED_BYTES = 1 << 12
 
 ATTRIBUTES = "path string, tag string, vr string, value string, length bigint, length_encoding string, item_count int, depth int, pos int"
 SCANNED = f"file string, outcome string, reason string, message string, bytes_read bigint, attributes array<struct<{ATTRIBUTES.replace(' string', ': string').replace(' bigint', ': bigint').replace(' int', ': int')}>>"
@@ -63,27 +70,41 @@ def numbers_text(raw: bytes, vr: str) -> str | None:
     return "\\".join(texts) + (f" … ({count} values in all)" if count > MOST_NUMBERS else "")
 
 
-class _More(Exception):
-    """The bytes at hand end before the metadata do."""
+class Window:
+    """The bytes of a file of ``size`` bytes, of which a few are at hand. ``read(at, n)`` gives bytes of the file."""
 
+    def __init__(self, read: Callable[[int, int], bytes], size: int):
+        self.read, self.size, self.start, self.held, self.total, self.step = read, size, 0, b"", 0, FIRST_BYTES
 
-class _Reader:
-    """Reads the elements of one file in order and notes a row for each. ``size`` is the whole file's; ``data`` may be its beginning."""
+    def get(self, at: int, n: int) -> bytes:
+        """Bytes from ``at``, fewer only at the end of the file."""
+        end, last = min(at + n, self.size), self.start + len(self.held)
+        if not (self.start <= at and end <= last):
+            kept = self.held[at - self.start :] if self.start <= at <= last else b""
+            grows = at + len(kept) == last and len(self.held) > 132  # one read after the other
+            self.step = min(max(self.step, FIRST_BYTES) * GROWTH, MOST_BYTES) if grows else self.step
+            begin = at + len(kept)
+            more = self.read(begin, max(end - begin, min(self.step, self.size - begin)))
+            self.total += len(more)
+            self.start, self.held = at, kept + more
+            if len(self.held) < end - at:
+                raise ValueError("the file gives fewer bytes than its size states")
+        return self.held[at - self.start : end - self.start]
 
-    def __init__(self, data: bytes, vrs: dict[str, str], size: int):
-        self.data, self.vrs, self.size, self.rows = data, vrs, size, []
 
-    def need(self, end: int) -> None:
-        if len(self.data) < end <= self.size:
-            raise _More
+class _Reader:
+    """Reads the elements of one file in order and notes a row for each. ``wanted`` are the tags whose values are read; None means all."""
+
+    def __init__(self, data: Window, vrs: dict[str, str], wanted: frozenset[str] | None = None):
+        self.data, self.vrs, self.wanted, self.rows = data, vrs, wanted, []
 
     def elements(self, at: int, end: int, implicit: bool, prefix: str, depth: int, until: str = "") -> int:
         """Read up to ``end``, a delimiter or the pixel data; returns where it stopped. ``until`` is the group of the file's own header."""
         if depth > DEEPEST:
             raise ValueError("sequences are nested too deeply")
         while at + 8 <= end:
-            self.need(at + 8)
-            group, element = struct.unpack_from("<HH", self.data, at)
+            head = self.data.get(at, 12)
+            group, element = struct.unpack_from("<HH", head)
             tag = f"{group:04x}{element:04x}"
             if until and tag[:4] != until:
                 return at
@@ -95,14 +116,15 @@ class _Reader:
                 at += 8
                 continue
             if implicit:
-                vr, length, at = self.vrs.get(tag, "UN"), struct.unpack_from("<I", self.data, at + 4)[0], at + 8
+                vr, length, at = self.vrs.get(tag, "UN"), struct.unpack_from("<I", head, 4)[0], at + 8
             else:
-                vr = self.data[at + 4 : at + 6].decode("latin-1")
+                vr = head[4:6].decode("latin-1")
                 if vr in LONG_VRS:
-                    self.need(at + 12)
-                    length, at = struct.unpack_from("<I", self.data, at + 8)[0], at + 12
+                    if len(head) < 12:
+                        raise ValueError(f"({tag}) runs past the end of the file")
+                    length, at = struct.unpack_from("<I", head, 8)[0], at + 12
                 else:
-                    length, at = struct.unpack_from("<H", self.data, at + 6)[0], at + 8
+                    length, at = struct.unpack_from("<H", head, 6)[0], at + 8
             at = self.element(tag, vr, length, at, end, implicit, prefix, depth)
         return at
 
@@ -110,9 +132,7 @@ class _Reader:
         path = f"{prefix}/{tag}" if prefix else tag
         row = {"path": path, "tag": tag, "vr": vr, "value": None, "length": None, "length_encoding": None, "item_count": None, "depth": depth, "pos": len(self.rows)}
         self.rows.append(row)
-        if implicit and vr == "UN":
-            self.need(min(at + 4, end))
-        nested = vr == "SQ" or (vr == "UN" and length == UNDEFINED) or (implicit and vr == "UN" and length >= 8 and self.data[at : at + 4] == b"\xfe\xff\x00\xe0")
+        nested = vr == "SQ" or (vr == "UN" and length == UNDEFINED) or (implicit and vr == "UN" and length >= 8 and self.data.get(at, 4) == b"\xfe\xff\x00\xe0")
         if nested:
             row["length_encoding"] = "undefined" if length == UNDEFINED else "defined"
             stop = end if length == UNDEFINED else at + length
@@ -123,13 +143,11 @@ class _Reader:
             raise ValueError(f"({tag}) has an undefined length")
         if at + length > end:
             raise ValueError(f"({tag}) runs past the end of the file")
-        if vr in STRING_VRS or vr in NUMBERS:
-            self.need(at + length)
-        raw = self.data[at : at + length]
-        if vr in STRING_VRS:
-            row["value"] = raw.decode("utf-8", "replace").partition("\0")[0].strip(" ")
-        elif vr in NUMBERS:
-            row["value"] = numbers_text(raw, vr)
+        asked = self.wanted is None or tag in self.wanted or length <= SKIPPED_BYTES
+        if vr in STRING_VRS and asked:
+            row["value"] = self.data.get(at, length).decode("utf-8", "replace").partition("\0")[0].strip(" ")
+        elif vr in NUMBERS and asked:
+            row["value"] = numbers_text(self.data.get(at, length), vr)
         if vr in BINARY_VRS:
             row["length"] = length
         return at + length
@@ -137,8 +155,7 @@ class _Reader:
     def items(self, row: dict, at: int, stop: int, implicit: bool, depth: int, open_ended: bool) -> int:
         count = 0
         while at + 8 <= stop:
-            self.need(at + 8)
-            group, element, length = struct.unpack_from("<HHI", self.data, at)
+            group, element, length = struct.unpack("<HHI", self.data.get(at, 8))
             at += 8
             if (group, element) == (0xFFFE, 0xE0DD):
                 break
@@ -154,17 +171,18 @@ class _Reader:
         return at if open_ended else stop
 
 
-def read_metadata(data: bytes, vrs: dict[str, str] | None = None, size: int | None = None) -> list[dict]:
-    """Attribute rows of one file. ``vrs``: VR by tag for files that do not state it; ``size``: of the whole file, if ``data`` is its beginning."""
-    size = len(data) if size is None else size
-    if not has_mark(data):
+def read_metadata(data: bytes | Window, vrs: dict[str, str] | None = None, wanted: frozenset[str] | None = None) -> list[dict]:
+    """Attribute rows of one file. ``vrs``: VR by tag for files that do not state it; ``wanted``: the only tags that get rows, if given."""
+    if isinstance(data, bytes):
+        data = Window(lambda at, n, whole=data: whole[at : at + n], len(data))
+    if not has_mark(data.get(0, 132)):
         raise ValueError("there is no file header")
-    reader = _Reader(data, vrs or {}, size)
-    at = reader.elements(132, size, False, "", 0, until="0002")
+    reader = _Reader(data, vrs or {}, None if wanted is None else wanted | NEEDED)
+    at = reader.elements(132, data.size, False, "", 0, until="0002")
     syntax = next((r["value"] for r in reader.rows if r["tag"] == "00020010"), "") or ""
     if syntax in REFUSED:
         raise ValueError(REFUSED[syntax])
-    reader.elements(at, size, syntax == IMPLICIT, "", 0)
+    reader.elements(at, data.size, syntax == IMPLICIT, "", 0)
     return reader.rows
 
 
@@ -190,44 +208,63 @@ def as_files(files: DataFrame, root: str) -> DataFrame:
     return files.select(F.col("path").alias("file"), F.concat(F.lit(f"{base}/"), below).alias("relative_path"), F.col("length").alias("size"))
 
 
-def _read_file(file: str, vrs: dict[str, str] | None) -> tuple:
+def opened(file: str, where: fs.FileSystem | None = None) -> tuple[Callable[[int, int], bytes], int, Callable[[], None]]:
+    """(read, size, close) of a file. ``where`` is its file system, if one is open."""
+    if where is None:  # file:/a is how listings name a local file
+        where, file = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file)) if re.match("[a-z0-9]+:", file) else (fs.LocalFileSystem(), file)
+    handle = where.open_input_file(file)
+
+    def read(at: int, n: int) -> bytes:
+        """All bytes that can be had: a store may give fewer at once."""
+        got = b""
+        while len(got) < n and (more := handle.read_at(n - len(got), at + len(got))):
+            got += more
+        return got
+
+    return read, handle.size(), handle.close
+
+
+def read_outcome(open_file: Callable[[], tuple], vrs: dict[str, str] | None, wanted: frozenset[str] | None = None) -> tuple:
     """(outcome, reason, message, bytes read, attributes) of one file."""
-    got = b""
+    data, close = None, lambda: None
     try:
-        # file:/a is how listings name a local file
-        where, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file)) if re.match("[a-z0-9]+:", file) else (fs.LocalFileSystem(), file)
-        with where.open_input_file(path) as opened:
-            size = opened.size()
-            got = opened.read(132)
-            if not has_mark(got):
-                return "skipped", "not-dicom", None, len(got), None
-            more = FIRST_BYTES
-            while True:
-                got += opened.read(more - len(got))
-                try:
-                    rows = read_metadata(got, vrs, size)
-                    break
-                except _More:
-                    more = min(size, more * GROWTH)
-        directory = any(r["tag"] == "00020002" and r["value"] == DIRECTORY_CLASS for r in rows if r["depth"] == 0)
-        return ("skipped", "dicomdir", None, len(got), None) if directory else ("read", None, None, len(got), rows)
+        read, size, close = open_file()
+        data = Window(read, size)
+        data.step = 132
+        if size < 132 or not has_mark(data.get(0, 132)):
+            return "skipped", "not-dicom", None, data.total, None
+        data.step = FIRST_BYTES - 132
+        rows = read_metadata(data, vrs, wanted)
+        if any(r["tag"] == "00020002" and r["value"] == DIRECTORY_CLASS for r in rows if r["depth"] == 0):
+            return "skipped", "dicomdir", None, data.total, None
+        return "read", None, None, data.total, [r for r in rows if wanted is None or r["tag"] in wanted]
     except Exception as e:  # a bad file is a row
-        return "failed", None, str(e) or "the file could not be read", len(got), None
+        return "failed", None, str(e) or "the file could not be read", data.total if data else 0, None
+    finally:
+        close()
 
 
-def scan(files: DataFrame, vrs: dict[str, str] | None = None) -> DataFrame:
-    """(file, outcome, reason, message, bytes_read, attributes): one row a file of ``files`` (file). ``vrs`` is the dictionary's VR by tag, of a few thousand entries.
+def scan(files: DataFrame, vrs: dict[str, str] | None = None, tags: Iterable[str] | None = None) -> DataFrame:
+    """(file, outcome, reason, message, bytes_read, attributes): one row a file of ``files`` (file). ``vrs`` is the dictionary's VR by tag, of a few thousand entries; ``tags`` the only ones that are wanted.
 
     Outcomes are read, skipped (reason not-dicom or dicomdir) and failed (with a message). Files are opened through Arrow's
-    file systems: local and mounted folders, and the stores that its build knows."""
+    file systems: local and mounted folders, and the stores that its build knows. For other stores give ``content`` beside
+    ``file``, the whole file as Spark's readers give it."""
+    wanted, has = None if tags is None else frozenset(tags), "content" in files.columns
+
+    def source(row) -> Callable[[], tuple]:
+        if has and row.content is not None:
+            whole = bytes(row.content)
+            return lambda: (lambda at, n: whole[at : at + n], len(whole), lambda: None)
+        return lambda: opened(row.file)
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for k in range(0, len(rows), 256):  # so that few files' rows are at hand
-                out = [(file, *_read_file(file, vrs)) for file in rows["file"][k : k + 256]]
+                out = [(r.file, *read_outcome(source(r), vrs, wanted)) for r in rows[k : k + 256].itertuples(index=False)]
                 yield pd.DataFrame(out, columns=["file", "outcome", "reason", "message", "bytes_read", "attributes"])
 
-    return files.select("file").mapInPandas(read, SCANNED)
+    return files.select("file", *(["content"] if has else [])).mapInPandas(read, SCANNED)
 
 
 def outcomes(scanned: DataFrame) -> DataFrame:

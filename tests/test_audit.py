@@ -55,7 +55,7 @@ def test_files_are_read_up_to_the_pixels(spark, tmp_path):
     got = {r["file"].rpartition("/")[2]: r for r in scan.scan(files).collect()}
     assert got["large"]["outcome"] == "read" and got["large"]["bytes_read"] <= scan.FIRST_BYTES
     assert got["gone"]["outcome"] == "failed" and got["gone"]["message"]
-    assert got["long"]["attributes"][-1]["value"] == "last" and got["long"]["bytes_read"] > 300_000
+    assert got["long"]["attributes"][-1]["value"] == "last" and got["long"]["bytes_read"] < 150_000  # past the binary value
     files.unpersist()
 
 
