@@ -12,8 +12,9 @@ No step takes all pairs of a band's value with their contents:
 1. each set meets the least set of each of its values, of which the nearest sketch is compared in full, then
    those that are still apart. That joins the members of dense groups with a comparison or two each;
 2. values whose sets are still in several components are cut into tiles of one class of set sizes and a hash,
-   and tiles whose classes allow the similarity are compared by their sketches alone. Each set is compared in
-   full with its nearest, then all candidate pairs still apart are.
+   large components apart from the rest, and tiles whose classes allow the similarity are compared by their
+   sketches alone, but for those of one component. Each set is compared in full with its nearest, then all
+   candidate pairs still apart are.
 
 At a similarity of 85 % a pair shares no band with a chance of 8e-7, and its sketches differ by more than
 MOST_BITS with one below that; nothing else is lost.
@@ -173,14 +174,20 @@ def _open_pairs(keys: DataFrame, sets: DataFrame, percent: int, tile_rows: int,
     placed = keys.join(sets.select("sid", "root", "size", "odd"), "sid").withColumn("c", F.floor(F.log(F.col("size").cast("double")) / width).cast("int"))
     roots = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("key")
     placed = materialise(placed.join(materialise(roots, "open"), "key", "left_semi"), "placed")
-    sizes = placed.groupBy("key", "c").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("parts"))
-    dealt = placed.join(sizes, ["key", "c"]).withColumn("p", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
-    tiles = materialise(dealt.groupBy("key", "c", "p").agg(F.collect_list(F.struct(*_TILE.names)).alias("tile")), "tiles")
-    name = lambda x: tiles.select("key", F.col("c").alias(f"{x}c"), F.col("p").alias(f"{x}p"))
-    meets = name("l").join(name("r").withColumn("lc", F.explode(F.array(F.col("rc"), F.col("rc") - 1))), ["key", "lc"]).filter("lc < rc OR lp <= rp")
-    of = lambda x: tiles.select("key", F.col("c").alias(f"{x}c"), F.col("p").alias(f"{x}p"), F.col("tile").alias(x))
-    met = meets.join(of("l"), ["key", "lc", "lp"]).join(of("r"), ["key", "rc", "rp"])
-    alone = (F.col("lc") == F.col("rc")) & (F.col("lp") == F.col("rp"))
+    # The members of a component with many sets of a value are tiles of their own, which need not meet each other; the rest share tiles.
+    sizes = materialise(placed.groupBy("key", "c", "root").agg(F.count("*").alias("n")), "sizes")
+    label = F.when(2 * F.col("n") >= tile_rows, F.col("root")).otherwise(F.lit(-1))
+    parts = sizes.withColumn("t", label).groupBy("key", "c", "t").agg(F.ceil(F.sum("n") / tile_rows).cast("int").alias("parts"))
+    labels = sizes.select("key", "c", "root", label.alias("t")).join(parts, ["key", "c", "t"])
+    dealt = placed.join(labels, ["key", "c", "root"]).withColumn("p", F.pmod(F.xxhash64("sid"), F.col("parts")).cast("int"))
+    tiles = materialise(dealt.groupBy("key", "c", "t", "p").agg(F.collect_list(F.struct(*_TILE.names)).alias("tile")), "tiles")
+    at = ("c", "t", "p")
+    name = lambda x: tiles.select("key", *[F.col(k).alias(f"{x}{k}") for k in at])
+    once = "(lc < rc OR lt < rt OR (lt = rt AND lp <= rp)) AND NOT (lt = rt AND lt >= 0)"
+    meets = name("l").join(name("r").withColumn("lc", F.explode(F.array(F.col("rc"), F.col("rc") - 1))), ["key", "lc"]).filter(once)
+    of = lambda x: tiles.select("key", *[F.col(k).alias(f"{x}{k}") for k in at], F.col("tile").alias(x))
+    met = meets.join(of("l"), ["key", *(f"l{k}" for k in at)]).join(of("r"), ["key", *(f"r{k}" for k in at)])
+    alone = (F.col("lc") == F.col("rc")) & (F.col("lt") == F.col("rt")) & (F.col("lp") == F.col("rp"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
