@@ -83,7 +83,7 @@ def test_sketches_estimate_similarities():
             both = round(2 * similarity * n / (1 + similarity))
             other = np.concatenate([h[:both], rng.integers(0, 1 << 63, n - both, dtype=np.uint64)])
             samples = odd_sketch.minhashes(np.repeat([0, 1], n), np.concatenate([np.sort(h), np.sort(other)]), 2)
-            a, b = odd_sketch.odd_sketches(samples)
+            a, b = odd_sketch.odd_sketches(samples).view(np.uint64)
             bits.append(int(np.bitwise_count(a ^ b).sum()))
             agree.append((samples[:, 0] == samples[:, 1]).mean())
         assert abs(np.mean(agree) - similarity) < 0.006
