@@ -12,13 +12,17 @@ series is (study, series) except where a check looks across studies.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import POSITION_TOLERANCE, SPACING_TOLERANCE, number
+from ..sources.scratch import written
 from .classify import PER_INSTANCE_TAGS
+from .ranking import LAST, SUM, carried
+from .series import HOT_FILES
 
 FINDING_FILES = (
     "check_no int, kind string, scope string, study string, series string, path string, tag string, item string, "
@@ -55,13 +59,69 @@ def _kept(*names: str) -> dict[str, Column]:
 Marks = tuple[list[dict[str, Column]], Column]
 
 
-def _marked(ordered: DataFrame, checks: Sequence[Marks]) -> DataFrame:
-    """The finding rows of checks that mark rows, from one pass over the table."""
+def _found(rows: DataFrame, checks: Sequence[Marks]) -> DataFrame:
+    found = F.flatten(F.array(*[F.coalesce(f, F.array().cast(f"array<{_ONE}>")) for _, f in checks]))
+    return rows.select(F.explode(found).alias("f")).select("f.*")
+
+
+def _marked(ordered: DataFrame, checks: Sequence[Marks], without_windows: Callable[[DataFrame], DataFrame], hot_files: int = HOT_FILES) -> DataFrame:
+    """The finding rows of checks that mark rows, from one pass over the table.
+
+    Series of more than ``hot_files`` files, as the column n_files tells, get the same columns by ``without_windows``."""
+    hot = F.coalesce(F.col("n_files") > hot_files, F.lit(False)) if "n_files" in ordered.columns else None
+    large = None if hot is None or ordered.filter(hot).isEmpty() else without_windows(ordered.filter(hot))
+    rows = ordered if large is None else ordered.filter(~hot)
     for steps, _ in checks:
         for columns in steps:
-            ordered = ordered.withColumns(columns)
-    found = F.flatten(F.array(*[F.coalesce(f, F.array().cast(f"array<{_ONE}>")) for _, f in checks]))
-    return ordered.select(F.explode(found).alias("f")).select("f.*")
+            rows = rows.withColumns(columns)
+    return _found(rows, checks) if large is None else _found(rows, checks).unionByName(_found(large, checks))
+
+
+def _joined_back(rows: DataFrame, made: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``rows`` with the columns that ``made`` has for their keys, which may be null."""
+    other = made.select(*[F.col(k).alias(f"_j{n}") for n, k in enumerate(keys)], *[c for c in made.columns if c not in keys])
+    met = F.col(keys[0]).eqNullSafe(F.col("_j0"))
+    for n, k in enumerate(keys[1:], 1):
+        met = met & F.col(k).eqNullSafe(F.col(f"_j{n}"))
+    return rows.join(other, met, "left").drop(*[f"_j{n}" for n in range(len(keys))])
+
+
+#: Consecutive files of a large series that are worked on together.
+BLOCK_FILES = 1 << 17
+
+
+def _placed_columns(tolerance: float, block: int = BLOCK_FILES) -> Callable[[DataFrame], DataFrame]:
+    """What the marks of positions and modality need, by blocks of ordinals with carried values, and by counts."""
+
+    def add(ordered: DataFrame) -> DataFrame:
+        placed = F.col("ordered_by") == "position"
+        blocks = written(ordered.withColumns({"_part": F.floor(F.col("ordinal") / block), "_at": F.col("ordinal")}), "blocks")
+        rows = carried(blocks, SERIES, {"_before": (F.struct("file", "distance"), LAST)}, before=True)
+        step = F.col("distance") - F.col("_before.distance")
+        rows = rows.withColumns({"_previous": F.col("_before.file"), "_step": F.when(placed, step), "_near": F.coalesce(step <= tolerance, F.lit(False))}).withColumn("_bucket", F.floor(F.col("_step") / tolerance + 0.5))
+        rows = written(rows.drop("_before"), "steps")
+        buckets = rows.filter("_step IS NOT NULL").groupBy(*SERIES, "_bucket").agg(F.count("*").alias("n"), F.min_by("_step", "ordinal").alias("f"))
+        usual = buckets.groupBy(*SERIES).agg(F.sum("n").alias("_steps"), F.min_by("f", F.struct((-F.col("n")).alias("n"), "f")).alias("_usual"))
+        rows = written(carried(rows, SERIES, {"_island": (F.when(F.col("_near"), 0).otherwise(1), SUM)}), "islands")
+        sizes = rows.groupBy(*SERIES, "_island").agg(F.count("*").alias("_size")).filter("_size > 1")
+        kinds = rows.groupBy(*SERIES).agg(F.min("modality").alias("_low"), F.max("modality").alias("_high"))
+        return _joined_back(_joined_back(_joined_back(rows, usual, SERIES), sizes, [*SERIES, "_island"]), kinds, SERIES)
+
+    return add
+
+
+def _field_columns(exempt: Sequence[str]) -> Callable[[DataFrame], DataFrame]:
+    """What the marks of fields need, by counts."""
+
+    def add(joined: DataFrame) -> DataFrame:
+        path = [*SERIES, "path"]
+        rows = written(joined.withColumn("_v", _compared_value(exempt)), "fields")
+        values = rows.groupBy(*path, "_v").agg(F.count("*").alias("n"))
+        known = F.when(F.col("_v").isNotNull(), F.col("n"))
+        about = values.groupBy(*path).agg(F.sum("n").alias("_n"), F.coalesce(F.sum(known), F.lit(0)).alias("_all"), F.min_by("_v", F.when(F.col("_v").isNotNull(), F.struct((-F.col("n")).alias("n"), F.col("_v").alias("v")))).alias("_usual_value"))
+        return _joined_back(rows, about, path)
+
+    return add
 
 
 def _gap_marks(tolerance: float) -> Marks:
@@ -103,56 +163,117 @@ def position_gaps(ordered: DataFrame, tolerance: float = POSITION_TOLERANCE) ->
     """Steps between consecutive positions that differ from the series' most frequent step, for series of three files or more.
 
     The most frequent step is that of the largest bucket of hundredths; its first value stands for it, the smaller of equally frequent ones."""
-    return _marked(ordered, [_gap_marks(tolerance)])
+    return _marked(ordered, [_gap_marks(tolerance)], _placed_columns(tolerance))
 
 
 def duplicate_positions(ordered: DataFrame, tolerance: float = POSITION_TOLERANCE) -> DataFrame:
     """Runs of two or more files whose consecutive positions lie within the tolerance; runs may chain."""
-    return _marked(ordered, [_duplicate_marks(tolerance)])
+    return _marked(ordered, [_duplicate_marks(tolerance)], _placed_columns(tolerance))
 
 
-def spacing_outliers(ordered: DataFrame, tolerance: float = SPACING_TOLERANCE) -> DataFrame:
-    """Files whose pixel spacing is not that of most files of the series.
+def _leads(tolerance: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Distinct spacings (study, series, row, col, first, n) of a series in order of first use, with the spacing that leads each one's group.
+
+    Leads lie in a grid with cells as wide as the tolerance, so a spacing meets those of nine cells."""
+    cell = tolerance * (1 + 1e-9)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, grid = None, {}
+        for batch in batches:
+            out = []
+            for study, series, run, row, col, first in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+                if (study, series, run) != now:
+                    now, grid = (study, series, run), {}
+                x, y = int(row // cell), int(col // cell)
+                near = [g for dx in (-1, 0, 1) for dy in (-1, 0, 1) for g in grid.get((x + dx, y + dy), ()) if abs(g[1] - row) <= tolerance and abs(g[2] - col) <= tolerance]
+                lead = min(near, default=None)
+                if lead is None:
+                    lead = (first, row, col)
+                    grid.setdefault((x, y), []).append(lead)
+                out.append(lead)
+            made = [pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.float64(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in (0, 1, 3, 4, 6)), *made], ["study", "series", "row", "col", "n", "lead", "lead_row", "lead_col"])
+
+    return fold
 
-    Distinct spacings are folded in order of first use, each joining the first group whose first spacing agrees; equal
-    spacings always share a group. A spacing that is not two numbers agrees with none and is a group of its own for each
-    file. Such files are counted, not listed, and only series whose spacings differ are folded."""
-    group = Window.partitionBy(*SERIES)
-    pair = F.transform(F.slice(F.split("spacing", r"\\"), 1, 2), number)
-    row, col = F.get("_pair", F.lit(0)), F.get("_pair", F.lit(1))
-    have = ordered.filter("spacing IS NOT NULL").select(*SERIES, "file", "ordinal", pair.alias("_pair")).select(*SERIES, "file", "ordinal", row.alias("row"), F.when(row.isNotNull(), col).alias("col"))
-    both = F.col("row").isNotNull() & F.col("col").isNotNull()
-    have = have.withColumn("_read", both).withColumns({"_r": F.when(both, F.col("row")), "_c": F.when(both, F.col("col"))})
-    differ = (F.min("_r").over(group) != F.max("_r").over(group)) | (F.min("_c").over(group) != F.max("_c").over(group)) | ~F.bool_and("_read").over(group)
-    have = have.withColumn("_differ", F.coalesce(differ, F.lit(True))).filter("_differ")
-    kinds = have.filter("_read").groupBy(*SERIES, "row", "col").agg(F.min("ordinal").alias("first"), F.count("*").alias("n"))
-    lists = kinds.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.struct("first", "row", "col", "n"))).alias("all"))
+
+#: Distinct spacings of a series up to which they are compared as one array.
+FEW_SPACINGS = 64
+
+
+def _few_spacings(have: DataFrame, kinds: DataFrame, tolerance: float) -> DataFrame:
+    """The files with ``own``, the lead of their group, and ``most``, that of the largest group, of series with few distinct spacings: folded as arrays."""
 
     def close(a: Column, b: Column) -> Column:
         return (F.abs(a["row"] - b["row"]) <= tolerance) & (F.abs(a["col"] - b["col"]) <= tolerance)
 
+    one = F.struct("first", "row", "col", "n")
+    lists = kinds.groupBy(*SERIES).agg(F.array_sort(F.collect_list(F.when(F.col("read"), one))).alias("all"), F.min(F.when(~F.col("read"), _lone())).alias("lone"))
     leads = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda g: close(g, x)), acc).otherwise(F.concat(acc, F.array(x))))
     own = F.transform("all", lambda x: F.struct(F.get(F.filter("leads", lambda g: close(g, x)), F.lit(0))["first"].alias("lead"), x["n"].alias("n")))
     counted = F.transform("leads", lambda g: F.struct((-F.aggregate(F.filter("own", lambda o: o["lead"] == g["first"]), F.lit(0).cast("bigint"), lambda a, o: a + o["n"])).alias("n"), g["row"].alias("row"), g["col"].alias("col"), g["first"].alias("first")))
-    led = lists.withColumn("leads", leads).withColumn("own", own).select(*SERIES, "leads", F.array_min(counted).alias("best"))
-    # Files without a readable spacing are groups of one file: they matter for the majority only where no group has two.
-    lone = F.when(~F.col("_read"), F.struct(F.lit(-1).cast("bigint").alias("n"), "row", "col", F.col("ordinal").alias("first")))
-    every = have.join(led, [*SERIES], "left").withColumn("_most", F.least(F.min(lone).over(group), F.col("best")))
-    mine = F.when(F.col("_read"), F.get(F.filter("leads", lambda g: close(g, F.struct(F.col("row").alias("row"), F.col("col").alias("col")))), F.lit(0))["first"]).otherwise(F.col("ordinal"))
+    led = lists.withColumn("leads", leads).withColumn("own", own).select(*SERIES, "leads", F.least(F.array_min(counted), F.col("lone")).alias("most"))
+    mine = F.get(F.filter("leads", lambda g: close(g, F.struct("row", "col"))), F.lit(0))
+    return have.join(led, [*SERIES]).select(*SERIES, "file", "ordinal", "most", F.when(F.col("read"), F.struct(mine["first"].alias("first"), mine["row"].alias("row"), mine["col"].alias("col"))).otherwise(_itself()).alias("own"))
+
+
+def _lone() -> Column:
+    """A file without a readable spacing is a group of one file: it matters for the majority only where no group has two."""
+    return F.struct(F.lit(-1).cast("bigint").alias("n"), "row", "col", "first")
+
+
+def _itself() -> Column:
+    return F.struct(F.col("ordinal").cast("bigint").alias("first"), "row", "col")
+
+
+def _many_spacings(have: DataFrame, kinds: DataFrame, tolerance: float) -> DataFrame:
+    """The same for series with many distinct spacings: only those that may be near others are folded, by a grid, each cluster of such apart from the rest."""
+
+    def new_run(c: str, *keys: str) -> Column:
+        return F.when(F.col(c) - F.lag(c).over(Window.partitionBy(*SERIES, *keys).orderBy(c)) <= tolerance, 0).otherwise(1)
+
+    def run(c: str, *keys: str) -> Column:
+        return F.sum("_new").over(Window.partitionBy(*SERIES, *keys).orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+
+    near = kinds.filter("read").withColumn("_new", new_run("row")).withColumn("_run", run("row")).withColumn("_new", new_run("col", "_run")).withColumn("_col_run", run("col", "_run"))
+    near = near.withColumn("_near", F.count("*").over(Window.partitionBy(*SERIES, "_run", "_col_run")))
+    alone = near.filter("_near = 1").select(*SERIES, "row", "col", "n", F.col("first").alias("lead"), F.col("row").alias("lead_row"), F.col("col").alias("lead_col"))
+    several = near.filter("_near > 1").repartition(*SERIES, "_run", "_col_run").sortWithinPartitions(*SERIES, "_run", "_col_run", "first")
+    several = several.select(*SERIES, F.struct("_run", "_col_run").alias("run"), "row", "col", "first", "n")
+    led = alone.unionByName(several.mapInArrow(_leads(tolerance), "study string, series string, row double, col double, n long, lead long, lead_row double, lead_col double"))
+    groups = led.groupBy(*SERIES, "lead", "lead_row", "lead_col").agg((-F.sum("n")).alias("n"))
+    groups = groups.select(*SERIES, F.struct("n", F.col("lead_row").alias("row"), F.col("lead_col").alias("col"), F.col("lead").alias("first")).alias("g")).unionByName(kinds.filter("NOT read").select(*SERIES, _lone().alias("g")))
+    most = groups.groupBy(*SERIES).agg(F.min("g").alias("most"))
+    mine = have.join(most, [*SERIES]).join(led.drop("n"), [*SERIES, "row", "col"], "left")
+    lead = F.struct(F.col("lead").alias("first"), F.col("lead_row").alias("row"), F.col("lead_col").alias("col"))
+    return mine.select(*SERIES, "file", "ordinal", "most", F.when(F.col("read"), lead).otherwise(_itself()).alias("own"))
+
+
+def spacing_outliers(ordered: DataFrame, tolerance: float = SPACING_TOLERANCE, few: int = FEW_SPACINGS) -> DataFrame:
+    """Files whose pixel spacing is not that of most files of the series.
+
+    Distinct spacings come in order of first use, each joining the first group whose first spacing agrees; equal
+    spacings always share a group. A spacing that is not two numbers agrees with none and is a group of its own for each
+    file. Spacings are counted before they are compared, and only those of series that have several are."""
+    pair = F.transform(F.slice(F.split("spacing", r"\\"), 1, 2), number)
+    row, col = F.get("_pair", F.lit(0)), F.get("_pair", F.lit(1))
+    have = ordered.filter("spacing IS NOT NULL").select(*SERIES, "file", "ordinal", pair.alias("_pair")).select(*SERIES, "file", "ordinal", row.alias("row"), F.when(row.isNotNull(), col).alias("col"))
+    have = have.withColumn("read", F.col("row").isNotNull() & F.col("col").isNotNull())
+    kinds = have.groupBy(*SERIES, "row", "col", "read").agg(F.min("ordinal").cast("bigint").alias("first"), F.count("*").alias("n"))
+    kinds = kinds.withColumn("_kinds", F.count("*").over(Window.partitionBy(*SERIES))).filter("_kinds > 1 OR NOT read")
+    told = _few_spacings(have, kinds.filter(F.col("_kinds") <= few), tolerance).unionByName(_many_spacings(have, kinds.filter(F.col("_kinds") > few), tolerance))
     text = lambda s: F.concat_ws("\\", f"{s}.row", f"{s}.col")
-    lead = F.when(F.col("_read"), F.get(F.filter("leads", lambda g: g["first"] == F.col("_mine")), F.lit(0))).otherwise(F.struct(F.col("ordinal").alias("first"), "row", "col", F.lit(1).cast("bigint").alias("n")))
-    minority = every.withColumn("_mine", mine).filter(F.col("_mine") != F.col("_most.first")).withColumn("_lead", lead)
-    return _rows(minority, 3, KINDS[2], **_kept(*SERIES, "file", "ordinal"), value=text("_lead"), expected_value=text("_most"), item=F.col("_mine"))
+    return _rows(told.filter(F.col("own.first") != F.col("most.first")), 3, KINDS[2], **_kept(*SERIES, "file", "ordinal"), value=text("own"), expected_value=text("most"), item=F.col("own.first"))
 
 
 def orientation_mix(ordered: DataFrame) -> DataFrame:
     """All files of series whose orientations do not agree."""
-    return _marked(ordered, [_orientation_marks()])
+    return _found(ordered, [_orientation_marks()])
 
 
 def mixed_modality_series(ordered: DataFrame) -> DataFrame:
     """The files with a modality of series that have two or more."""
-    return _marked(ordered, [_modality_marks()])
+    return _marked(ordered, [_modality_marks()], _placed_columns(POSITION_TOLERANCE))
 
 
 def mixed_modality_folder(files: DataFrame) -> DataFrame:
@@ -168,10 +289,19 @@ def shared_series(ordered: DataFrame) -> DataFrame:
     return _rows(ordered.join(shared, "series", "left_semi"), 8, KINDS[7], **_kept("series", "file", "ordinal"), value=F.col("study"))
 
 
-def series_findings(ordered: DataFrame, findings: DataFrame) -> DataFrame:
-    """The findings of grouped files with study, series, ordinal and the series' size: what the field checks share."""
-    sized = ordered if "n_files" in ordered.columns else ordered.withColumn("n_files", F.count("*").over(Window.partitionBy(*SERIES)))
-    return findings.select("file", "path", "tag", "kind", "value").join(sized.select(*SERIES, "file", "ordinal", "n_files"), "file")
+def _field_checks(ordered: DataFrame, findings: DataFrame, marks: Sequence[Marks], exempt: Sequence[str]) -> DataFrame:
+    """Checks of the findings' fields within series, from one pass over the findings.
+
+    Findings that have their file's study and series (``series.keyed``) get the size of their series, a small table, so one
+    exchange serves the windows, and only what is found meets the files for its ordinal. Others are joined by file first."""
+    field = ["path", "tag", "kind", "value"]
+    if not {*SERIES} <= {*findings.columns}:
+        sized = ordered if "n_files" in ordered.columns else ordered.withColumn("n_files", F.count("*").over(Window.partitionBy(*SERIES)))
+        return _marked(findings.select("file", *field).join(sized.select(*SERIES, "file", "ordinal", "n_files"), "file"), marks, _field_columns(exempt))
+    sizes = ordered.groupBy(*SERIES).agg(F.count("*").alias("n_files"))
+    joined = findings.select(*SERIES, "file", *field).join(sizes, [*SERIES]).withColumn("ordinal", F.lit(None).cast("bigint"))
+    found = _marked(joined, marks, _field_columns(exempt))
+    return found.drop("ordinal").join(ordered.select(*SERIES, "file", "ordinal"), [*SERIES, "file"]).select(*[F.col(n).cast(t).alias(n) for n, t in _FIELDS])
 
 
 def _extra_marks() -> Marks:
@@ -179,11 +309,15 @@ def _extra_marks() -> Marks:
     return steps, F.when((F.col("n_files") >= 2) & (F.col("_n") < F.col("n_files")), F.array(_finding(7, KINDS[6], **_kept(*SERIES, "path", "tag", "file", "ordinal"), item=F.col("path"))))
 
 
+def _compared_value(exempt: Sequence[str]) -> Column:
+    compared = (F.col("n_files") >= 2) & (F.col("kind") == "annex-e") & ~F.col("tag").isin(*exempt)
+    return F.when(compared, F.coalesce("value", F.lit("")))
+
+
 def _varying_marks(exempt: Sequence[str]) -> Marks:
     group = Window.partitionBy(*SERIES, "path")
-    compared = (F.col("n_files") >= 2) & (F.col("kind") == "annex-e") & ~F.col("tag").isin(*exempt)
     steps = [
-        {"_v": F.when(compared, F.coalesce("value", F.lit("")))},
+        {"_v": _compared_value(exempt)},
         {"_same": F.count("_v").over(Window.partitionBy(*SERIES, "path", "_v"))},
         {"_all": F.count("_v").over(group), "_usual_value": F.min_by("_v", F.when(F.col("_v").isNotNull(), F.struct((-F.col("_same")).alias("n"), F.col("_v").alias("v")))).over(group)},
     ]
@@ -191,22 +325,22 @@ def _varying_marks(exempt: Sequence[str]) -> Marks:
     return steps, F.when((F.col("_all") == F.col("n_files")) & (F.col("_v") != F.col("_usual_value")), F.array(found))
 
 
-def extra_fields(joined: DataFrame) -> DataFrame:
+def extra_fields(ordered: DataFrame, findings: DataFrame) -> DataFrame:
     """The files that have a finding's path which some but not all files of their series have."""
-    return _marked(joined, [_extra_marks()])
+    return _field_checks(ordered, findings, [_extra_marks()], PER_INSTANCE_TAGS)
 
 
-def varying_values(joined: DataFrame, exempt: Sequence[str] = PER_INSTANCE_TAGS) -> DataFrame:
+def varying_values(ordered: DataFrame, findings: DataFrame, exempt: Sequence[str] = PER_INSTANCE_TAGS) -> DataFrame:
     """Of paths that every file of a series has, with different values: the files without the most frequent value. Null counts as empty."""
-    return _marked(joined, [_varying_marks(exempt)])
+    return _field_checks(ordered, findings, [_varying_marks(exempt)], exempt)
 
 
 def check_series(files: DataFrame, ordered: DataFrame, findings: DataFrame, exempt: Sequence[str] = PER_INSTANCE_TAGS) -> DataFrame:
     """All checks. ``files`` are all files read, grouped or not. Several checks read ``ordered``: give a stored table."""
     parts = [
-        _marked(ordered, [_gap_marks(POSITION_TOLERANCE), _duplicate_marks(POSITION_TOLERANCE), _orientation_marks(), _modality_marks()]),
+        _marked(ordered, [_gap_marks(POSITION_TOLERANCE), _duplicate_marks(POSITION_TOLERANCE), _orientation_marks(), _modality_marks()], _placed_columns(POSITION_TOLERANCE)),
         spacing_outliers(ordered),
-        _marked(series_findings(ordered, findings), [_varying_marks(exempt), _extra_marks()]),
+        _field_checks(ordered, findings, [_varying_marks(exempt), _extra_marks()], exempt),
         shared_series(ordered), mixed_modality_folder(files),
     ]
     every = parts[0]

@@ -1,7 +1,7 @@
 """Files as instances, grouped into studies and series and ordered within a series.
 
-All windows are by study and series: one exchange serves the ladder and the ordinals. Where the order of
-input rows would decide, the file key does.
+All windows are by study and series: one exchange serves the ladder and the ordinals. Series that are too large
+for a task are sorted in parts (``ranking``). Where the order of input rows would decide, the file key does.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import number, numbers, orientations_agree, project, slice_normal
+from ..sources.scratch import written
+from .ranking import SUM, carried, sorted_parts
 
 #: Top-level tags of the instance view.
 INSTANCE_TAGS = {
@@ -32,6 +34,12 @@ def top_level(attributes: DataFrame, tags: dict[str, str]) -> DataFrame:
     return wanted.groupBy("file").agg(*[F.max_by(F.when(F.col("tag") == t, F.col("value")), F.when(F.col("tag") == t, F.col("pos"))).alias(c) for c, t in tags.items()])
 
 
+def keyed(scanned: DataFrame) -> DataFrame:
+    """Scanned files (with ``attributes``, an array) with ``study`` and ``series``, so that their attribute rows need not be joined with them."""
+    value = lambda tag: F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter("attributes", lambda a: (a["depth"] == 0) & (a["tag"] == tag)), lambda a: a["value"])), -1)
+    return scanned.withColumns({"study": value(INSTANCE_TAGS["study"]), "series": value(INSTANCE_TAGS["series"])})
+
+
 def instances(attributes: DataFrame) -> DataFrame:
     """The instance view: a row for every file of ``attributes``, numbers parsed. Geometry with a wrong number of readable values counts as absent and sets ``malformed_geometry``."""
     wide = attributes.select("file").distinct().join(top_level(attributes, INSTANCE_TAGS), "file", "left")
@@ -53,31 +61,76 @@ def ungrouped(files: DataFrame) -> DataFrame:
     return files.select("file", ungrouped_reason(F.col("study"), F.col("series")).alias("reason")).filter("reason IS NOT NULL")
 
 
-def order_series(files: DataFrame) -> DataFrame:
+#: Files of a series above which its places are worked out in parts instead of by a window.
+HOT_FILES = 1_000_000
+
+
+def order_series(files: DataFrame, hot_files: int = HOT_FILES) -> DataFrame:
     """The grouped files with ``ordered_by``, ``orientation_consistent``, ``distance``, ``n_files`` of the series and ``ordinal`` (from 0).
 
     By distance along the normal if the orientations agree and every file has geometry; else by instance number
-    if every file has one; else by file. Columns of ``files`` that the ladder does not need pass through."""
+    if every file has one; else by file. Columns of ``files`` that the ladder does not need pass through. Series of
+    more than ``hot_files`` files, which are counted first, are sorted by many tasks; their rows are the same."""
+    grouped = files.filter("study IS NOT NULL AND series IS NOT NULL")
+    large = grouped.groupBy("study", "series").agg(F.count("*").alias("n")).filter(F.col("n") > hot_files).select("study", "series")
+    large = written(large, "large-series")
+    if large.isEmpty():
+        return _by_windows(grouped)
+    return _by_windows(grouped.join(large, ["study", "series"], "left_anti")).unionByName(_by_parts(grouped.join(large, ["study", "series"], "left_semi")))
+
+
+def _has_geometry() -> Column:
+    return F.col("orientation").isNotNull() & F.col("position").isNotNull()
+
+
+def _first_orientation() -> Column:
+    return F.min_by("orientation", F.when(F.col("orientation").isNotNull(), F.col("file")))
+
+
+def _agrees() -> Column:
+    return F.bool_and(F.coalesce(orientations_agree(F.col("orientation"), F.col("_first")), F.lit(True)))
+
+
+def _placed(ladder: DataFrame) -> DataFrame:
+    """``ordered_by`` and ``distance`` from what the ladder found out about the series."""
+    by = F.when(F.col("orientation_consistent") & F.col("_geometry") & F.col("_normal").isNotNull(), "position").when(F.col("_numbered"), "instance-number").otherwise("filename")
+    return ladder.withColumn("ordered_by", by).withColumn("distance", F.when(F.col("ordered_by") == "position", project(F.col("position"), F.col("_normal"))))
+
+
+def _by_windows(files: DataFrame) -> DataFrame:
+    """One exchange serves the ladder and the ordinals."""
     group = Window.partitionBy("study", "series")
-    first = F.min_by("orientation", F.when(F.col("orientation").isNotNull(), F.col("file"))).over(group)
-    ladder = files.filter("study IS NOT NULL AND series IS NOT NULL").withColumn("_first", first).withColumns(
+    ladder = files.withColumn("_first", _first_orientation().over(group)).withColumns(
         {
-            "orientation_consistent": F.bool_and(F.coalesce(orientations_agree(F.col("orientation"), F.col("_first")), F.lit(True))).over(group),
+            "orientation_consistent": _agrees().over(group),
             "_normal": slice_normal(F.col("_first")),
-            "_geometry": F.bool_and(F.col("orientation").isNotNull() & F.col("position").isNotNull()).over(group),
+            "_geometry": F.bool_and(_has_geometry()).over(group),
             "n_files": F.count("*").over(group),
             "_numbered": F.bool_and(F.col("instance_number").isNotNull()).over(group),
         }
     )
-    by = F.when(F.col("orientation_consistent") & F.col("_geometry") & F.col("_normal").isNotNull(), "position").when(F.col("_numbered"), "instance-number").otherwise("filename")
-    placed = ladder.withColumn("ordered_by", by).withColumn("distance", F.when(F.col("ordered_by") == "position", project(F.col("position"), F.col("_normal"))))
-    return with_ordinal(placed).drop("_first", "_normal", "_geometry", "_numbered")
+    return with_ordinal(_placed(ladder)).drop("_first", "_normal", "_geometry", "_numbered")
+
+
+def _by_parts(files: DataFrame) -> DataFrame:
+    """The same for series of any size: aggregates instead of windows, and ordinals that are carried from part to part."""
+    keys = ["study", "series"]
+    about = files.groupBy(*keys).agg(_first_orientation().alias("_first"), F.bool_and(_has_geometry()).alias("_geometry"), F.count("*").alias("n_files"), F.bool_and(F.col("instance_number").isNotNull()).alias("_numbered"))
+    about = written(about, "large-about")
+    agree = files.join(about.select(*keys, "_first"), keys).groupBy(*keys).agg(_agrees().alias("orientation_consistent"))
+    ladder = files.join(about.join(agree, keys), keys).withColumn("_normal", slice_normal(F.col("_first")))
+    parts = sorted_parts(_placed(ladder).withColumn("_key", _order_key()), keys, ["_key", "file"], "large-parts")
+    ranked = carried(parts, keys, {"ordinal": (F.lit(1), SUM)}).withColumn("ordinal", (F.col("ordinal") - 1).cast("int"))
+    return ranked.drop("_first", "_normal", "_geometry", "_numbered", "_key", "_part", "_at")
+
+
+def _order_key() -> Column:
+    return F.when(F.col("ordered_by") == "position", F.col("distance")).when(F.col("ordered_by") == "instance-number", F.col("instance_number"))
 
 
 def with_ordinal(placed: DataFrame) -> DataFrame:
     """``ordinal`` (from 0) within a series by the key that ``ordered_by`` names, then the file."""
-    key = F.when(F.col("ordered_by") == "position", F.col("distance")).when(F.col("ordered_by") == "instance-number", F.col("instance_number"))
-    return placed.withColumn("ordinal", F.row_number().over(Window.partitionBy("study", "series").orderBy(key, "file")) - 1)
+    return placed.withColumn("ordinal", F.row_number().over(Window.partitionBy("study", "series").orderBy(_order_key(), "file")) - 1)
 
 
 def most_common(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -44,7 +44,7 @@ def audit_rows(outcomes: DataFrame, attributes: DataFrame, profile: DataFrame, p
 def audit_folder(spark: SparkSession, root: str, profile: DataFrame, patterns: DataFrame, dictionary: DataFrame, dictionary_patterns: DataFrame) -> Audit:
     """An audit of all files below ``root``. The VRs of implicit files come from the dictionary, a table of a few thousand rows."""
     vrs = {r["tag"]: r["vr"].split(" or ")[0] for r in dictionary.filter("vr IS NOT NULL").select("tag", "vr").collect()}
-    scanned = written(read_folder(spark, root, vrs), "scanned")  # files are read once
+    scanned = written(series.keyed(read_folder(spark, root, vrs)), "scanned")  # files are read once
     return audit_rows(scanning.outcomes(scanned), scanning.attributes(scanned), profile, patterns, dictionary, dictionary_patterns)
 
 

@@ -20,11 +20,11 @@ def profile(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
     return spark.createDataFrame(PROFILE, "tag string, action string"), spark.createDataFrame(PATTERNS, "ordinal int, mask string, action string")
 
 
-def unpivot(rows: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """(file, path, tag, vr, value, length, depth, pos): one row for each column of ``fields`` (tag to column) that is not null."""
+def unpivot(rows: DataFrame, fields: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(file, path, tag, vr, value, length, depth, pos): one row for each column of ``fields`` (tag to column) that is not null, with the columns ``keys`` of its file."""
     entries = [F.struct(F.lit(tag).alias("tag"), F.col(c).cast("string").alias("value"), F.lit(k).alias("pos")) for k, (tag, c) in enumerate(fields.items())]
-    each = rows.select("file", F.explode(F.array(*entries)).alias("a")).filter("a.value IS NOT NULL")
-    return each.select("file", F.col("a.tag").alias("path"), F.col("a.tag").alias("tag"), F.lit("LO").alias("vr"), F.col("a.value").alias("value"), F.lit(None).cast("bigint").alias("length"), F.lit(0).alias("depth"), F.col("a.pos").alias("pos"))
+    each = rows.select("file", *keys, F.explode(F.array(*entries)).alias("a")).filter("a.value IS NOT NULL")
+    return each.select("file", *keys, F.col("a.tag").alias("path"), F.col("a.tag").alias("tag"), F.lit("LO").alias("vr"), F.col("a.value").alias("value"), F.lit(None).cast("bigint").alias("length"), F.lit(0).alias("depth"), F.col("a.pos").alias("pos"))
 
 
 def line_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,12 @@ def line_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_ordinal(line_files(spark, sf_dir))
 
 
-def line_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lineitem columns as attributes; some are absent on some files."""
+def line_attributes(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Lineitem columns as attributes, with the columns ``keys`` of their file; some are absent on some files."""
     rows = line_files(spark, sf_dir).withColumns(
         {"_discount": F.when(F.col("discount") >= 5, F.col("discount")), "_tax": F.when(F.col("tax") > 0, F.col("tax")), "_burned": F.when(F.col("l_quantity") > 25, F.when(F.col("l_quantity") > 40, "NO").otherwise("YES"))}
     )
-    return unpivot(rows, {"00081030": "l_returnflag", "00100010": "l_linestatus", "00291010": "_discount", "00081050": "_tax", "00280301": "_burned", "00080018": "file", "00080060": "l_returnflag"})
+    return unpivot(rows, {"00081030": "l_returnflag", "00100010": "l_linestatus", "00291010": "_discount", "00081050": "_tax", "00280301": "_burned", "00080018": "file", "00080060": "l_returnflag"}, keys)
 
 
 def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:

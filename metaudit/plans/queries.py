@@ -19,14 +19,14 @@ def _shown(rows: DataFrame) -> DataFrame:
     return rows.select(*_EXACT, F.round("expected", 6).alias("expected"), F.round("actual", 6).alias("actual"))
 
 
-def _line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify.classify(b.line_attributes(spark, sf_dir), *b.profile(spark))
+def _line_findings(spark: SparkSession, sf_dir: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    return classify.classify(b.line_attributes(spark, sf_dir, keys), *b.profile(spark))
 
 
 def _all_checks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ordered, findings, finding rows) of the lineitem binding; what several checks read is written once."""
     ordered = written(b.line_series(spark, sf_dir), "ordered")
-    findings = _line_findings(spark, sf_dir)
+    findings = _line_findings(spark, sf_dir, ("study", "series"))
     return ordered, findings, checks.check_series(ordered, ordered, findings)
 
 
@@ -220,11 +220,11 @@ def shared_series(spark, sf_dir):
 
 
 def extra_field(spark, sf_dir):
-    return _shown(checks.extra_fields(checks.series_findings(b.line_series(spark, sf_dir), _line_findings(spark, sf_dir))))
+    return _shown(checks.extra_fields(b.line_series(spark, sf_dir), _line_findings(spark, sf_dir)))
 
 
 def varying_value(spark, sf_dir):
-    return _shown(checks.varying_values(checks.series_findings(b.line_series(spark, sf_dir), _line_findings(spark, sf_dir))))
+    return _shown(checks.varying_values(b.line_series(spark, sf_dir), _line_findings(spark, sf_dir)))
 
 
 def check_series(spark, sf_dir):

@@ -268,9 +268,10 @@ def scan(files: DataFrame, vrs: dict[str, str] | None = None, tags: Iterable[str
 
 
 def outcomes(scanned: DataFrame) -> DataFrame:
-    return scanned.drop("attributes", "bytes_read")
+    return scanned.drop("attributes", "bytes_read", "study", "series")
 
 
 def attributes(scanned: DataFrame) -> DataFrame:
-    """(file, path, tag, vr, value, length, length_encoding, item_count, depth, pos) of the files read."""
-    return scanned.filter("outcome = 'read'").select("file", F.explode("attributes").alias("a")).select("file", "a.*")
+    """(file, path, tag, vr, value, length, length_encoding, item_count, depth, pos) of the files read, with study and series if ``scanned`` has them."""
+    keys = [c for c in ("study", "series") if c in scanned.columns]
+    return scanned.filter("outcome = 'read'").select("file", *keys, F.explode("attributes").alias("a")).select("file", *keys, "a.*")

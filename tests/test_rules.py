@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,10 +35,10 @@ def test_duplicates(spark):
 def test_majority_tie(spark):
     files = series.with_ordinal(spark.createDataFrame([("s", "1", f, 0.0, "filename", None) for f in "abc"], ORDERED))
     findings = spark.createDataFrame([("a", "ZEBRA"), ("b", "APPLE"), ("c", "MANGO")], "file string, value string").withColumns({"path": F.lit("00100020"), "tag": F.lit("00100020"), "kind": F.lit("annex-e")})
-    found = checks.varying_values(checks.series_findings(files, findings)).collect()
+    found = checks.varying_values(files, findings).collect()
     assert {r["expected_value"] for r in found} == {"APPLE"} and sorted(r["file"] for r in found) == ["a", "c"]
     exempt = findings.withColumns({"path": F.lit("00080018"), "tag": F.lit("00080018")})
-    assert checks.varying_values(checks.series_findings(files, exempt)).count() == 0
+    assert checks.varying_values(files, exempt).count() == 0
 
 
 def test_spacing(spark):
@@ -45,6 +48,94 @@ def test_spacing(spark):
     assert found == {"f2": "0.5\\0.5", "f3": "0.5\\0.5"}
 
 
+def leads_of(spacings, tolerance=1e-4):
+    """The lead of each spacing, by comparing it with all leads before."""
+    leads, out = [], {}
+    for s in spacings:
+        if s not in out:
+            near = [g for g in leads if abs(g[0] - s[0]) <= tolerance and abs(g[1] - s[1]) <= tolerance]
+            if not near:
+                leads.append(s)
+            out[s] = near[0] if near else s
+    return out
+
+
+@pytest.mark.parametrize("few", [64, 0])
+def test_spacing_groups_match_brute_force(spark, few):
+    rng = random.Random(8)
+    rows, want = [], {}
+    for n in range(12):
+        step = rng.choice([0.00003, 0.00006, 0.0002, 0.5])
+        own = [(1 + rng.randrange(4) * step, 1 + rng.randrange(6) * step) for _ in range(40)]
+        rows += [("s", str(n), f"f{n}-{k:02}", float(k), "position", None, f"{a!r}\\{b!r}") for k, (a, b) in enumerate(own)]
+        lead = leads_of(own)
+        sizes = {}
+        for s in own:
+            sizes[lead[s]] = sizes.get(lead[s], 0) + 1
+        first = {g: own.index(g) for g in sizes}
+        most = min(sizes, key=lambda g: (-sizes[g], *g, first[g]))
+        want |= {f"f{n}-{k:02}": (first[lead[s]], "{!r}\\{!r}".format(*most)) for k, s in enumerate(own) if lead[s] != most}
+    files = series.with_ordinal(spark.createDataFrame(rows, ORDERED + ", spacing string"))
+    got = {r["file"]: (int(r["item"]), r["expected_value"]) for r in checks.spacing_outliers(files, few=few).collect()}
+    assert got == want
+
+
+def test_very_many_spacings(spark):
+    """A hundred thousand distinct spacings of one series, each near others."""
+    c = F.col
+    files = spark.range(100_000).select(F.lit("s").alias("study"), F.lit("1").alias("series"), F.concat(F.lit("f"), "id").alias("file"), c("id").alias("ordinal"), F.concat_ws("\\", 1 + c("id") % 317 * 0.00007, 1 + F.floor(c("id") / 317) * 0.00007).alias("spacing"))
+    began = time.time()
+    assert checks.spacing_outliers(files).count() > 90_000 and time.time() - began < 60
+
+
+@pytest.fixture(scope="module")
+def large(spark):
+    """Series of some hundred files each, with steps, repeats, odd orientations and absent numbers."""
+    rng, rows = random.Random(9), []
+    flat, tilt = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    for n in range(6):
+        z = 0.0
+        for k in range(300):
+            z += rng.choice([2.5, 2.5, 2.5, 5.0, 0.0, 0.004])
+            orientation = tilt if n == 1 and k == 200 else None if n == 2 and k == 3 else flat
+            number = None if n in (3,) and k % 7 == 0 else float(k % 250)
+            position = None if n in (3, 4) and k == 50 else [0.0, 0.0, z]
+            rows.append((f"t{n % 2}", f"s{n}", f"f{n}-{rng.randrange(10**9)}-{k}", orientation, position, number, "MR" if n == 5 and k == 7 else "CT" if n % 2 else None))
+    rows += [(None, "s1", "loose", flat, [0.0, 0.0, 0.0], 1.0, "CT"), ("t0", "small", "one", flat, [0.0, 0.0, 0.0], 1.0, "CT")]
+    return spark.createDataFrame(rows, "study string, series string, file string, orientation array<double>, position array<double>, instance_number double, modality string").repartition(5)
+
+
+def rows_of(df):
+    return sorted(map(str, df.select(*sorted(df.columns)).collect()))
+
+
+def test_large_series_are_sorted_in_parts(spark, large):
+    """The same rows where series are too large for a window, of places and of all checks."""
+    by_windows, by_parts = series.order_series(large).cache(), series.order_series(large, hot_files=100).cache()
+    assert by_windows.columns == by_parts.columns and rows_of(by_windows) == rows_of(by_parts)
+    assert {r["ordered_by"] for r in by_parts.collect()} == {"position", "instance-number", "filename"}
+    marks = [checks._gap_marks(0.01), checks._duplicate_marks(0.01), checks._orientation_marks(), checks._modality_marks()]
+    plain = checks._marked(by_windows, marks, None)
+    for block in (17, 1 << 17):
+        hot = checks._marked(by_windows, marks, checks._placed_columns(0.01, block), hot_files=100)
+        assert rows_of(plain) == rows_of(hot)
+    assert {r["check_no"] for r in plain.select("check_no").distinct().collect()} == {1, 2, 4, 5}
+
+
+def test_fields_of_large_series(spark, large):
+    ordered = series.order_series(large)
+    k = F.xxhash64("file")
+    fields = F.array(F.struct(F.lit("00100010").alias("tag"), F.when(k % 5 > 0, F.lit("A")).otherwise(F.lit("B")).alias("v")), F.struct(F.when(k % 9 > 0, F.lit("00290010")).alias("tag"), F.lit("x").alias("v")), F.struct(F.lit("00100020").alias("tag"), F.when(k % 11 == 0, F.lit("")).alias("v")))
+    found = large.select("study", "series", "file", F.explode(fields).alias("f")).filter("f.tag IS NOT NULL").select("study", "series", "file", F.col("f.tag").alias("path"), "f.tag", F.when(F.col("f.tag") == "00290010", "private").otherwise("annex-e").alias("kind"), F.col("f.v").alias("value"))
+    marks = [checks._varying_marks(()), checks._extra_marks()]
+    joined = found.join(ordered.select("study", "series", "file", "ordinal", "n_files"), ["study", "series", "file"])
+    plain = checks._marked(joined, marks, None)
+    assert rows_of(plain) == rows_of(checks._marked(joined, marks, checks._field_columns(()), hot_files=100))
+    # With and without the series beside each finding.
+    for run in (checks.varying_values, checks.extra_fields):
+        assert rows_of(run(ordered, found)) == rows_of(run(ordered, found.drop("study", "series")))
+
+
 def test_ladder(spark):
     flat, tilt = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0], [1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
     schema = "study string, series string, file string, orientation array<double>, position array<double>, instance_number double"
