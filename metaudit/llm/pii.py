@@ -167,14 +167,17 @@ def revealing(docs: DataFrame, held: DataFrame, around: DataFrame, total: int, s
     words = plain.select(F.explode(F.array_distinct(F.transform(_terms(F.col("text")), F.lower))).alias("term")).unionByName(around.select("term"))
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))  # added up before the shuffle
     n_c = held.groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") < total)
+    # Terms and an entity of one document meet once, so all such entities of a document are disclosed alike: that is decided by term.
+    counted = materialise(held.join(n_c, "entity"), "counted")
+    lone = counted.filter("n_c = 1").select("uid", "n_c").distinct()
+    near = materialise(around.join(n_t, "term"), "near")
+    alone = near.join(lone, "uid").select("uid", "term", disclosure(F.lit(1), total, support).alias("reveals")).filter(F.col("reveals") >= least)
     # A pair occurs n_c or n_t times at most; what cannot reach the threshold with that is not counted.
     most = disclosure(F.least("n_c", "n_t"), total, support)
-    pairs = around.join(n_t, "term").join(held.join(n_c, "entity"), "uid").filter(most >= least)
-    pairs = materialise(pairs.withColumn("most", most), "pairs")
-    alone, shared = pairs.filter("n_c = 1"), pairs.filter("n_c > 1")
+    shared = materialise(near.join(counted.filter("n_c > 1"), "uid").filter(most >= least), "pairs")
     n_ct = shared.groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct"))
     met = n_ct.select("entity", "term", disclosure(F.col("n_ct"), total, support).alias("reveals")).filter(F.col("reveals") >= least)
-    return alone.select("uid", "term", F.col("most").alias("reveals")).unionByName(shared.join(met, ["entity", "term"]).select("uid", "term", "reveals"))
+    return alone.unionByName(shared.join(met, ["entity", "term"]).select("uid", "term", "reveals"))
 
 
 def find_personal_data(docs: DataFrame, support: int = 3, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from metaudit.llm import chat_format, common, decontaminate, exact_dedup, language_model, mixing, near_dedup, pii, quality, toxicity, url_filter
+from metaudit.llm import chat_format, common, decontaminate, exact_dedup, language_model, mixing, near_dedup, odd_sketch, pii, quality, toxicity, url_filter
 from tests.llm.test_native import ITEM, ODD, TURNS, WANT, decisions, table
 
 CLASHING = ("_metadata", "a.b", "b`c", "at", "row", "uid", "fp", "key", "size", "source_size", "target", "octave", "copies", "base", "added", "y", "h", "text_hash", "toxicity", "held", "item_id", "digest", "sid", "root")
@@ -47,6 +47,10 @@ def operators(labels, bench):
         "drop_copies": exact_dedup.drop_copies,
         "leaks": lambda d: decontaminate.find_leaks(d, bench),
         "drop_leaks": lambda d: decontaminate.drop_leaks(d, bench),
+        "odd sketches": odd_sketch.near_groups,
+        "drop_near_copies by odd sketches": odd_sketch.drop_near_copies,
+        "urls": lambda d: url_filter.judge(d.withColumn("page_id", F.col("doc_id")).withColumn("url", F.concat(F.lit("https://a.org/"), "text"))),
+        "chats": lambda d: chat_format.expand(d.select("*", F.col("doc_id").alias("conv_id"), F.lit("assistant").alias("role"), F.lit(1).alias("turn"))),
     }
 
 
@@ -56,7 +60,7 @@ def test_clashing_names_and_empty_tables(tables, name):
     run = operators(labels, bench)[name]
     found = run(docs)
     got = found.count()
-    assert got == {"drop_toxic": got, "drop_near_copies": 43, "drop_copies": 43, "mix_sources": got, "leaks": 1, "drop_leaks": 45}.get(name, 46)
+    assert got == {"drop_toxic": got, "drop_near_copies": 43, "drop_copies": 43, "mix_sources": got, "leaks": 1, "drop_leaks": 45, "drop_near_copies by odd sketches": got}.get(name, 46)
     if name.startswith(("drop", "mix_")):
         assert found.columns == docs.columns
         assert all(r["a.b"] == "extra a.b" and r["_metadata"] == "extra _metadata" for r in found.collect())
@@ -106,6 +110,46 @@ def test_state_is_kept_for_later_calls(spark, tmp_path):
     assert got == [(4, True), (7, True), (9, True)]
 
 
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_call_that_fails_is_repeated(spark, tmp_path, monkeypatch, when):
+    """No row counts twice where a call died before or after its rows went into the state."""
+    check = "file://" + str(tmp_path / "state")
+    exact_dedup.find_copies(table(spark, tmp_path, [(20, "old", None, 0)], name="zero"), checkpoint=check).count()
+    plain = table(spark, tmp_path, [(k, f"t{k}", None, 0) for k in range(5)] + [(9, "old", None, 0)], name="one")
+    docs = plain.union(plain.limit(0)).repartition(2)  # no plain read of files: it is written anew for each call
+    run = exact_dedup.track_digests
+
+    def dies(*args, **named):
+        if when == "after":
+            run(*args, **named)
+        raise RuntimeError("planned")
+
+    monkeypatch.setattr(exact_dedup, "track_digests", dies)
+    with pytest.raises(RuntimeError, match="planned"):
+        exact_dedup.find_copies(docs, checkpoint=check)
+    monkeypatch.setattr(exact_dedup, "track_digests", run)
+    for _ in range(2):
+        got = sorted((r["doc_id"], r["group_size"], r["kept"]) for r in exact_dedup.find_copies(docs, checkpoint=check).collect())
+        assert got == [*((k, 1, True) for k in range(5)), (9, 2, True)]
+    assert sorted(r["doc_id"] for r in exact_dedup.drop_copies(docs, checkpoint=check).collect()) == [0, 1, 2, 3, 4, 9]
+    again = {r["doc_id"]: r["group_size"] for r in exact_dedup.find_copies(docs, checkpoint=check, batch="once more").collect()}
+    assert again[0] == 2 and again[9] == 3
+
+
+def test_kept_state_needs_no_other_table(spark, tmp_path):
+    """What a call has written besides may go, and so may the files that it read."""
+    check = "file://" + str(tmp_path / "state")
+    weak = lambda text: F.substring(exact_dedup.sha256_digest(text), 1, 0)
+    before = common.stored(spark)
+    first = table(spark, tmp_path, [(5, "x y", None, 0), (8, "x y", None, 0)], name="one").union(table(spark, tmp_path, [(6, "x y", None, 0)], name="two"))
+    exact_dedup.find_copies(first, digest=weak, checkpoint=check).count()
+    common.drop_stored(spark, before)
+    for f in first.inputFiles():
+        common.drop_path(spark, f)
+    got = exact_dedup.find_copies(table(spark, tmp_path, [(4, "new", None, 0), (9, "x y", None, 0)], name="three"), digest=weak, checkpoint=check).collect()
+    assert sorted((r["doc_id"], r["kept"]) for r in got) == [(4, True), (9, False)]
+
+
 def test_copies_of_one_row_are_dealt_out(spark, tmp_path):
     """A row that repeats more often than a block is large, and null ids."""
     rows = [(None, "w w w", "s", 0)] * 500 + [(1, "w w w", "s", 0)] * 500 + [(k, "w " * (k % 9), "t", 0) for k in range(2000)]
@@ -145,3 +189,13 @@ def test_labelled_sections_of_a_wide_host_stay_apart(spark):
     labels = spark.createDataFrame([(k, k % 20 == 0) for k in range(400)], "page_id int, bad boolean")
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id int, url string"), labels=labels).collect()}
     assert all((v == "block") == (k % 20 == 0) for k, v in got.items())
+
+
+def test_terms_and_entities_of_one_text_make_no_pairs(spark, monkeypatch):
+    """Two thousand addresses beside two thousand words: no more pairs than those of entities that texts share."""
+    began, made = time.time(), {}
+    monkeypatch.setattr(pii, "materialise", lambda df, label, f=common.materialise: made.setdefault(label, f(df, label)))
+    text = " ".join(f"u{k}@b{k % 7}.co w{k}" for k in range(2000))
+    docs = spark.createDataFrame([(0, text), *((k, f"plain w{k} words") for k in range(1, 200)), (300, "other u1@b1.co here")], "doc_id bigint, text string")
+    assert pii.find_personal_data(docs).count() == 201
+    assert made["pairs"].count() <= 3 * 2100 and time.time() - began < 60
