@@ -65,6 +65,19 @@ def decodability(images: DataFrame, registry: DataFrame, frame: int = 0) -> Data
     return named.withColumns({"decodability": verdict, "problem": problem}).drop("_kind")
 
 
+def boundary_facts(fragments: DataFrame, images: DataFrame, frame: int = 0) -> DataFrame:
+    """(file, fragments, offsets, offsets_match) for ``decodability``. ``fragments``: (file, idx, offset); ``images``: (file, offset_table).
+
+    The table's entry of the frame must be the offset of a fragment, and the entry after it that of a later fragment; the
+    last entry's frame goes on to the end. Counted by file, so no list of fragments is made."""
+    c = F.col
+    wanted = images.select("file", F.coalesce(F.size("offset_table"), F.lit(0)).alias("offsets"), F.get("offset_table", F.lit(frame)).alias("_from"), F.get("offset_table", F.lit(frame + 1)).alias("_to"))
+    met = wanted.join(fragments.select("file", "idx", "offset"), "file", "left")
+    found = met.groupBy("file").agg(F.count("idx").alias("fragments"), F.first("offsets").alias("offsets"), F.first("_to").alias("_to"), F.min(F.when(c("offset") == c("_from"), c("idx"))).alias("_first"), F.max(F.when(c("offset") == c("_to"), c("idx"))).alias("_next"))
+    ends = (c("offsets") == frame + 1) | F.coalesce(c("_next") > c("_first"), F.lit(False))
+    return found.select("file", c("fragments").cast("int").alias("fragments"), F.greatest("offsets", F.lit(0)).alias("offsets"), F.when(c("offsets") > 0, c("_first").isNotNull() & ends).alias("offsets_match"))
+
+
 def fragments_to_frames(fragments: DataFrame, images: DataFrame) -> DataFrame:
     """(file, idx, frame) of encapsulated fragments. ``fragments``: (file, idx, offset); ``images``: (file, frames, offset_table).
 

@@ -34,15 +34,25 @@ def burned_in_values(files: DataFrame, findings: DataFrame) -> DataFrame:
     return files.select("file").join(declared, "file", "left").groupBy("value").agg(F.count("*").alias("n"))
 
 
-def burned_in_text(counts: DataFrame) -> DataFrame:
-    """One row, (text): the counts in a sentence, most frequent value first."""
-    order = F.array_sort(F.collect_list(F.when(F.col("value").isNotNull(), F.struct((-F.col("n")).alias("k"), "value", "n"))))
-    one = counts.agg(order.alias("v"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("absent"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+#: Values that the sentence on burned-in annotation names at most; ``burned_in_values`` has all of them as rows.
+NAMED_VALUES = 100
+
+
+def burned_in_text(counts: DataFrame, most: int = NAMED_VALUES) -> DataFrame:
+    """One row, (text): the counts in a sentence, most frequent value first. Beyond ``most`` values it says how many more there are, in how many files.
+
+    The wording is fixed, as reports are compared."""
+    value, n = F.col("value"), F.col("n")
+    first = counts.filter("value IS NOT NULL").orderBy(-n, value).limit(most).agg(F.array_sort(F.collect_list(F.struct((-n).alias("k"), "value", "n"))).alias("v"))
+    total = counts.agg(F.coalesce(F.sum(F.when(value.isNull(), n)), F.lit(0)).alias("absent"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("value").alias("values"), F.coalesce(F.sum(F.when(value.isNotNull(), n)), F.lit(0)).alias("declared"))
+    one = total.crossJoin(first)  # one row each
     verb = lambda n: F.when(n == 1, F.lit("declares")).otherwise(F.lit("declare"))
     clause = lambda x, i: F.concat(F.when(i == 0, plural(x["n"], "file")).otherwise(x["n"].cast("string")), F.lit(" "), verb(x["n"]), F.lit(" "), x["value"])
-    listed = F.concat(F.lit("Burned-in annotation: "), F.array_join(F.transform("v", clause), ", "), F.when(F.col("absent") > 0, F.concat(F.lit("; "), F.col("absent").cast("string"), F.when(F.col("absent") == 1, F.lit(" does")).otherwise(F.lit(" do")), F.lit(" not carry the field"))).otherwise(F.lit("")))
+    rest = F.col("declared") - F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    more = F.when(F.col("values") > most, F.concat(F.lit(", "), rest.cast("string"), F.lit(" "), verb(rest), F.lit(" one of "), plural(F.col("values") - most, "other value"))).otherwise(F.lit(""))
+    listed = F.concat(F.lit("Burned-in annotation: "), F.array_join(F.transform("v", clause), ", "), more, F.when(F.col("absent") > 0, F.concat(F.lit("; "), F.col("absent").cast("string"), F.when(F.col("absent") == 1, F.lit(" does")).otherwise(F.lit(" do")), F.lit(" not carry the field"))).otherwise(F.lit("")))
     every = F.concat(F.lit("All "), plural(F.col("total"), "file"), F.lit(" "), verb(F.col("total")), F.lit(" burned-in annotation: "), F.get("v", F.lit(0))["value"])
-    return one.select(F.when(F.size("v") == 0, F.lit("No file declares burned-in annotation.")).when((F.size("v") == 1) & (F.col("absent") == 0), every).otherwise(listed).alias("text"))
+    return one.select(F.when(F.col("values") == 0, F.lit("No file declares burned-in annotation.")).when((F.col("values") == 1) & (F.col("absent") == 0), every).otherwise(listed).alias("text"))
 
 
 def outcome_totals(outcomes: DataFrame) -> DataFrame:
@@ -68,7 +78,7 @@ def finding_counts(rows: DataFrame) -> DataFrame:
 
 
 def headline(counts: DataFrame) -> DataFrame:
-    """(line_no, text) from one row (files, series, fields, not_consistent, structural); the last two lines only where they say something."""
+    """(line_no, text) from one row (files, series, fields, not_consistent, structural); the last two lines only where they say something. The wording is fixed."""
     c = F.col
     lines = F.array(
         F.struct(F.lit(1).alias("line_no"), F.concat(plural(c("files"), "file"), F.lit(" read across "), c("series").cast("string"), F.lit(" series")).alias("text")),

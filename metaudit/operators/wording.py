@@ -1,4 +1,4 @@
-"""Findings as sentences."""
+"""Findings as sentences. The wording is fixed, as reports are compared."""
 
 from __future__ import annotations
 

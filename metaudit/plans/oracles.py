@@ -281,4 +281,12 @@ SELECT o_orderkey, syntax_name, split_part(x, '|', 1) AS decodability, nullif(sp
 WITH f AS (SELECT l_orderkey AS k, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
 SELECT k::VARCHAR AS file, idx, CASE WHEN CASE k % 3 WHEN 0 THEN (n + 1) // 2 WHEN 1 THEN n ELSE n - 1 END <= 1 THEN 0 WHEN k % 3 = 0 THEN idx // 2 ELSE idx END AS frame FROM f
 WHERE k % 3 < 2 OR n <= 2""",
+    "offset_tables": """
+WITH f AS (SELECT l_orderkey AS k, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY l_orderkey) AS n, coalesce(sum(l_partkey + 8) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+           FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+t AS (SELECT *, start + CASE WHEN k % 5 = 0 AND idx = k % 3 THEN 1 ELSE 0 END AS entry FROM f WHERE k % 2 = 0),
+s AS (SELECT f.k, min(f.idx) AS first FROM f JOIN t ON t.k = f.k AND t.idx = 0 AND t.entry = f.start GROUP BY f.k),
+e AS (SELECT f.k, max(f.idx) AS next FROM f JOIN t ON t.k = f.k AND t.idx = 1 AND t.entry = f.start GROUP BY f.k),
+g AS (SELECT k, any_value(n) AS n FROM f GROUP BY k)
+SELECT k::VARCHAR AS file, n AS fragments, CASE WHEN k % 2 = 0 THEN n ELSE 0 END AS offsets, CASE WHEN k % 2 = 0 THEN first IS NOT NULL AND (n = 1 OR coalesce(next > first, FALSE)) END AS offsets_match FROM g LEFT JOIN s USING (k) LEFT JOIN e USING (k)""",
 }

@@ -325,12 +325,23 @@ def fragments_to_frames(spark, sf_dir):
     return pixels.fragments_to_frames(fragments.select("file", "idx", "offset"), images).select("file", F.col("idx").cast("bigint").alias("idx"), F.col("frame").cast("bigint").alias("frame"))
 
 
+def offset_tables(spark, sf_dir):
+    """Lines as fragments of their order's image; every second image has an offset table in which one entry may be wrong."""
+    c = F.col
+    sizes = b.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("l"))
+    ends = F.aggregate("l", F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["l_partkey"] + 8)))
+    images = sizes.select("l_orderkey", c("l_orderkey").cast("string").alias("file"), F.slice(ends, F.lit(1), F.size("l")).alias("at"))
+    wrong = F.transform("at", lambda x, i: F.when((c("l_orderkey") % 5 == 0) & (i == c("l_orderkey") % 3), x + 1).otherwise(x))
+    tables = images.select("file", F.when(c("l_orderkey") % 2 == 0, wrong).otherwise(F.array().cast("array<bigint>")).alias("offset_table"))
+    return pixels.boundary_facts(images.select("file", F.posexplode("at").alias("idx", "offset")), tables).select("file", c("fragments").cast("bigint").alias("fragments"), c("offsets").cast("bigint").alias("offsets"), "offsets_match")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         tag_normalise, tag_parts, classify_fields, mask_lookup, name_fields, mask_values, instance_view, slice_distance, order_series, series_meta, ungrouped_files, position_gap, duplicate_position,
         spacing_outliers, orientation_mix, mixed_modality_series, mixed_modality_folder, shared_series, extra_field, varying_value, check_series, finding_text, field_summary, field_values, burned_in,
         masked_view, nested_flatten, file_list, report_names, series_labels, series_order, spacing_tolerance, file_findings, report_findings, profile_quality, dictionary_quality, frame_samples,
-        outcome_totals, file_summary, headline, folder_name, diff_findings, voi_window, stored_value, frame_range, decodability, fragments_to_frames,
+        outcome_totals, file_summary, headline, folder_name, diff_findings, voi_window, stored_value, frame_range, decodability, fragments_to_frames, offset_tables,
     )
 }

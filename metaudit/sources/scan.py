@@ -96,7 +96,7 @@ class _Reader:
     """Reads the elements of one file in order and notes a row for each. ``wanted`` are the tags whose values are read; None means all."""
 
     def __init__(self, data: Window, vrs: dict[str, str], wanted: frozenset[str] | None = None):
-        self.data, self.vrs, self.wanted, self.rows = data, vrs, wanted, []
+        self.data, self.vrs, self.wanted, self.rows, self.pixels = data, vrs, wanted, [], None
 
     def elements(self, at: int, end: int, implicit: bool, prefix: str, depth: int, until: str = "") -> int:
         """Read up to ``end``, a delimiter or the pixel data; returns where it stopped. ``until`` is the group of the file's own header."""
@@ -109,6 +109,7 @@ class _Reader:
             if until and tag[:4] != until:
                 return at
             if tag == PIXEL_DATA and depth == 0:
+                self.pixels = (at + 8, struct.unpack_from("<I", head, 4)[0]) if implicit else (at + 12, struct.unpack_from("<I", head, 8)[0]) if len(head) == 12 else None
                 return end
             if group == 0xFFFE:
                 if element in (0xE00D, 0xE0DD):
@@ -171,8 +172,59 @@ class _Reader:
         return at if open_ended else stop
 
 
+PIXELS = "file string, has_pixels boolean, encapsulated boolean, pixel_bytes bigint, offset_table array<bigint>, fragments array<struct<offset: bigint, length: bigint>>, message string"
+
+
+def read_pixels(data: bytes | Window, vrs: dict[str, str] | None = None) -> tuple:
+    """(has_pixels, encapsulated, pixel_bytes, offset_table, fragments) of one file, from the headers of its pixel data: what lies between is passed over. ``pixel_bytes`` are those of native data that are there."""
+    reader = _read(data, vrs, frozenset())
+    if reader.pixels is None:
+        return False, False, None, None, None
+    data, (at, length) = reader.data, reader.pixels
+    if length != UNDEFINED:
+        return True, False, min(length, data.size - at), None, None
+    data.step, items, table = FIRST_BYTES // 16, [], None
+    while at + 8 <= data.size:
+        group, element, size = struct.unpack("<HHI", data.get(at, 8))
+        if (group, element) != (0xFFFE, 0xE000):
+            break
+        if at + 8 + size > data.size:
+            raise ValueError("a fragment runs past the end of the file")
+        if table is None:
+            table, first = np.frombuffer(data.get(at + 8, size - size % 4), "<u4").tolist(), at + 8 + size
+        else:
+            items.append({"offset": at - first, "length": size})
+        at += 8 + size
+    return True, True, None, table or [], items
+
+
+def scan_pixels(files: DataFrame, vrs: dict[str, str] | None = None) -> DataFrame:
+    """A row a file of ``files`` (file) with what ``pixels.boundary_facts`` and ``decodability`` ask about its pixel data; files that cannot be read have a message."""
+
+    def one(file: str) -> tuple:
+        close = lambda: None
+        try:
+            read, size, close = opened(file)
+            return (file, *read_pixels(Window(read, size), vrs), None)
+        except Exception as e:  # a bad file is a row
+            return file, None, None, None, None, None, str(e) or "the file could not be read"
+        finally:
+            close()
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for k in range(0, len(rows), 256):
+                yield pd.DataFrame([one(f) for f in rows["file"][k : k + 256]], columns=["file", "has_pixels", "encapsulated", "pixel_bytes", "offset_table", "fragments", "message"])
+
+    return files.select("file").mapInPandas(read, PIXELS)
+
+
 def read_metadata(data: bytes | Window, vrs: dict[str, str] | None = None, wanted: frozenset[str] | None = None) -> list[dict]:
-    """Attribute rows of one file. ``vrs``: VR by tag for files that do not state it; ``wanted``: the only tags that get rows, if given."""
+    """Attribute rows of one file. ``vrs``: VR by tag for files that do not state it; ``wanted``: the only tags whose longer values are read, if given."""
+    return _read(data, vrs, wanted).rows
+
+
+def _read(data: bytes | Window, vrs: dict[str, str] | None, wanted: frozenset[str] | None) -> _Reader:
     if isinstance(data, bytes):
         data = Window(lambda at, n, whole=data: whole[at : at + n], len(data))
     if not has_mark(data.get(0, 132)):
@@ -183,7 +235,7 @@ def read_metadata(data: bytes | Window, vrs: dict[str, str] | None = None, wante
     if syntax in REFUSED:
         raise ValueError(REFUSED[syntax])
     reader.elements(at, data.size, syntax == IMPLICIT, "", 0)
-    return reader.rows
+    return reader
 
 
 def has_mark(data: bytes) -> bool:

@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from metaudit.operators import checks, classify, summary
+from metaudit.operators import checks, classify, pixels, summary
 from metaudit.plans import audit as audits
 from metaudit.plans import report
 from metaudit.sources import scan
@@ -109,12 +109,68 @@ def test_json(audited, tmp_path, spark):
     assert head["headline"]["filesRead"] == 18 and head["headline"]["structuralCount"] == 8
     gaps = spark.read.json(str(tmp_path / "json/structural")).filter("kind = 'position-gap'").collect()
     assert [r["series"] for r in gaps] == ["4", "4"]
-    whole = json.loads("".join(p.read_text() for p in (tmp_path / "json/report").glob("part-*")))
+    whole = json.loads("".join(p.read_text() for p in sorted((tmp_path / "json/report").glob("part-*"))))
     assert list(whole) == ["provenance", "whatWasChecked", "headline", "burnedIn", "includesValues", "caveats", "identifyingFields", "notConsistent", "structural", "series", "ungrouped", "failed"]
     assert len(whole["structural"]) == 8 and len(whole["notConsistent"]) == 3 and len(whole["failed"]) == 1 and whole["series"][0]["seriesInstanceUid"] is None
     assert [f["path"] for f in whole["identifyingFields"]] == sorted(f["path"] for f in whole["identifyingFields"])
 
 
+def test_a_long_report_is_many_rows(spark, audited, tmp_path, monkeypatch):
+    """Twenty thousand failed files: the document is written by several tasks, a line an entry, and reads as JSON."""
+    n = 20_000
+    failed = spark.range(n).select(F.format_string("f%05d", n - 1 - F.col("id")).alias("name"), F.lit('cut "short"').alias("message"))
+    sections = report.json_sections(audited, "2026-01-15T14:30:00Z")
+    monkeypatch.setattr(report, "json_sections", lambda *a: sections | {"failed": failed, "ungrouped": sections["ungrouped"].limit(0)})
+    lines = report.json_lines(audited, "2026-01-15T14:30:00Z")
+    assert lines.filter("section = 6").count() == n + 2 and lines.agg(F.max(F.length("text"))).first()[0] < 5000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else small parts become one
+    try:
+        report.write_json(audited, str(tmp_path / "json"), "2026-01-15T14:30:00Z")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted((tmp_path / "json/report").glob("part-*"))
+    whole = json.loads("".join(p.read_text() for p in files))
+    assert len(files) > 1 and [f["name"] for f in whole["failed"]] == [f"f{k:05d}" for k in range(n)] and whole["ungrouped"] == []
+
+
+def test_burned_in_sentence_is_bounded(spark):
+    counts = spark.range(50_000).select(F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("value"), F.when(F.col("id") == 7, 9).otherwise(1).cast("bigint").alias("n"))
+    text = summary.burned_in_text(counts, 3).first()[0]
+    assert text == "Burned-in annotation: 9 files declare v00007, 1 declares v00000, 1 declares v00001, 49997 declare one of 49997 other values"
+    assert summary.burned_in_text(counts.limit(0)).first()[0] == "No file declares burned-in annotation."
+
+
+def frames_file(offsets, fragments, cut=0):
+    """A file with encapsulated pixel data."""
+    item = lambda b: b"\xfe\xff\x00\xe0" + len(b).to_bytes(4, "little") + b
+    data = item(b"".join(o.to_bytes(4, "little") for o in offsets)) + b"".join(map(item, fragments)) + b"\xfe\xff\xdd\xe0\0\0\0\0"
+    whole = part10(element("00280008", "IS", str(len(fragments))) + b"\xe0\x7f\x10\x00OB\0\0\xff\xff\xff\xff" + data, "1.2.840.10008.1.2.5")
+    return whole[: len(whole) - cut]
+
+
+def test_offset_tables_of_files(spark, tmp_path):
+    """Facts of pixel data from files up to the triage: a table that does not fit, data that are too short."""
+    fragments = [b"a" * 200_000, b"b" * 10, b"c" * 6]
+    right = [0, 200_008, 200_026]
+    for name, whole in {"right": frames_file(right, fragments), "wrong": frames_file([0, 200_000, 200_026], fragments), "back": frames_file([200_008, 0, 200_026], fragments), "none": frames_file([], fragments), "cut": frames_file(right, fragments, 20)}.items():
+        (tmp_path / name).write_bytes(whole)
+    (tmp_path / "native").write_bytes(study.file_bytes("P", 1, b"\1\2" * 50))
+    (tmp_path / "bare").write_bytes(part10(element("00100010", "PN", "A^B")))
+    got = scan.scan_pixels(scan.scan_files(spark, str(tmp_path))).withColumn("name", F.substring_index("file", "/", -1)).cache()
+    rows = {r["name"]: r for r in got.collect()}
+    assert [f["offset"] for f in rows["right"]["fragments"]] == right and rows["right"]["offset_table"] == right
+    assert rows["native"]["pixel_bytes"] == 100 and not rows["native"]["encapsulated"] and not rows["bare"]["has_pixels"]
+    assert "fragment" in rows["cut"]["message"]
+    pieces = got.select("file", F.posexplode("fragments").alias("idx", "f")).select("file", "idx", "f.offset")
+    facts = lambda frame: {r["file"].rpartition("/")[2]: r["offsets_match"] for r in pixels.boundary_facts(pieces, got.filter("encapsulated"), frame).collect()}
+    assert facts(0) == {"right": True, "wrong": False, "back": False, "none": None} and facts(1) == {"right": True, "wrong": False, "back": True, "none": None} and facts(2) == {"right": True, "wrong": True, "back": True, "none": None}
+    images = pixels.boundary_facts(pieces, got.filter("encapsulated")).join(got.select("file", "name", "has_pixels", "encapsulated", "pixel_bytes"), "file").withColumns(
+        {"syntax": F.lit("1.2.840.10008.1.2.5"), "frames": F.lit(3), "samples": F.lit(1), "photometric": F.lit("MONOCHROME2"), "planar": F.lit(0), "rows": F.lit(2), "columns": F.lit(2), "bits_allocated": F.lit(8), "bits_stored": F.lit(8), "high_bit": F.lit(7)}
+    )
+    registry = spark.createDataFrame([("1.2.840.10008.1.2.5", "RLE Lossless")], "uid string, name string")
+    assert {r["name"]: r["decodability"] for r in pixels.decodability(images, registry).collect()} == {"right": "ok", "wrong": "unsupported-format", "back": "unsupported-format", "none": "ok"}
+
+
 def test_implicit_gives_the_same(spark):
     from tests.dicom import sequence
 
