@@ -6,7 +6,8 @@ turns one bit over, an odd sketch: bits that two sketches do not share stand for
 number of such bits tells a high similarity far more exactly than as many bits of plain samples would.
 
 BANDS bands of ROWS values each find the candidates: sets that agree on a band. Odd sketches verify them with
-an exclusive-or and a bit count; who may reach the similarity is compared on full sets, in whole numbers.
+an exclusive-or and a bit count, and so do bitmaps of the whole sets, which differ in no more bits than the sets do
+in shingles; who may reach the similarity is compared on full sets, in whole numbers.
 No step takes all pairs of a band's value with their contents:
 
 1. each set meets the least set of each of its values, of which the nearest sketch is compared in full, then
@@ -59,12 +60,23 @@ def minhashes(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def parities(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """(n, BITS / 64) bitmaps in which each hash, given in order of its owner, turns one bit over."""
+    out = np.zeros((n, BITS // 64), np.int64)
+    cell = (tk.mix(h) % np.uint64(BITS)).astype(np.int64)
+    for k in range(0, n, 4096):
+        a, b = np.searchsorted(owner, [k, k + 4096])
+        m = min(4096, n - k)
+        odd = np.bincount((owner[a:b] - k) * BITS + cell[a:b], minlength=m * BITS) & 1
+        out[k : k + m] = np.packbits(odd.astype(np.uint8).reshape(m, BITS), 1).view(np.int64)
+    return out
+
+
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
-    """(n, BITS / 64) bitmaps of the columns of samples, each of which turns one bit over."""
+    """The bitmaps of the columns of samples."""
     n = samples.shape[1]
-    bit = (tk.mix(samples + np.arange(1, SAMPLES + 1, dtype=np.uint64)[:, None] * np.uint64(0xA24BAED4963EE407)) % np.uint64(BITS)).astype(np.int64)
-    parity = np.bincount((np.arange(n)[None, :] * BITS + bit).ravel(), minlength=n * BITS) & 1
-    return np.packbits(parity.astype(np.uint8).reshape(n, BITS), 1).view(np.int64)
+    salted = samples + np.arange(1, SAMPLES + 1, dtype=np.uint64)[:, None] * np.uint64(0xA24BAED4963EE407)
+    return parities(np.repeat(np.arange(n), SAMPLES), salted.T.ravel(), n)
 
 
 def similarity_estimate(bits: np.ndarray | int) -> np.ndarray:
@@ -73,13 +85,13 @@ def similarity_estimate(bits: np.ndarray | int) -> np.ndarray:
 
 
 def sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """(at, doc_id, size, d0, d1, odd, bands) of (text, at, doc_id): size and digest of the set, odd sketch, and a key for each band."""
-    schema = texts.select("at", "doc_id", *[F.lit(0).cast("long").alias(c) for c in ("size", "d0", "d1")], F.array().cast("array<long>").alias("odd"), F.array().cast("array<long>").alias("bands")).schema
-    names = ["at", "doc_id", "size", "d0", "d1", "odd", "bands"]
+    """(at, doc_id, size, d0, d1, odd, whole, bands) of (text, at, doc_id): size and digest of the set, odd sketches of its samples and of itself, and a key for each band."""
+    schema = texts.select("at", "doc_id", *[F.lit(0).cast("long").alias(c) for c in ("size", "d0", "d1")], *[F.array().cast("array<long>").alias(c) for c in ("odd", "whole")], F.array().cast("array<long>").alias("bands")).schema
+    names = ["at", "doc_id", "size", "d0", "d1", "odd", "whole", "bands"]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests, odd, bands = [], [], [], []
+            sizes, digests, odd, whole, bands = [], [], [], [], []
             for first, last, data, offsets in tk.runs(batch.column(0)):
                 n = last - first
                 owner, h = shingle_sets(data, offsets, shingle)
@@ -90,6 +102,7 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
                 digests.append(digest.view(np.int64))
                 samples = minhashes(owner, h, n)
                 odd += list(odd_sketches(samples))
+                whole += list(parities(owner, h, n))
                 keys = np.zeros((BANDS, n), np.uint64)
                 for b in range(BANDS):
                     keys[b] = b
@@ -98,7 +111,7 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
                 bands += list(keys.T.copy().view(np.int64))
             d = np.concatenate(digests, 1) if digests else np.zeros((2, 0), np.int64)
             size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(size.astype(np.int64)), pa.array(d[0]), pa.array(d[1]), pa.array(odd, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(size.astype(np.int64)), pa.array(d[0]), pa.array(d[1]), pa.array(odd, pa.list_(pa.int64())), pa.array(whole, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int64()))], names)
 
     return texts.select("text", "at", "doc_id").mapInArrow(make, schema)
 
@@ -106,8 +119,9 @@ def sketches(texts: DataFrame, shingle: int) -> DataFrame:
 def _near(pairs: DataFrame, percent: int) -> DataFrame:
     """``pairs`` with columns odd and size of both sides that may be similar enough, with ``bits``, in how many their sketches differ."""
     word = lambda side, k: F.get(side, F.lit(k))
-    bits = sum((F.bit_count(word("uo", k).bitwiseXOR(word("vo", k))) for k in range(BITS // 64)), F.lit(0))
-    return _sized(pairs, percent).withColumn("bits", bits).filter(F.col("bits") <= MOST_BITS)
+    bits = lambda u, v: sum((F.bit_count(word(u, k).bitwiseXOR(word(v, k))) for k in range(BITS // 64)), F.lit(0))
+    near = _sized(pairs, percent).withColumn("bits", bits("uo", "vo")).filter(F.col("bits") <= MOST_BITS)
+    return near.filter((100 + percent) * bits("uw", "vw") <= (100 - percent) * (F.col("us") + F.col("vs")))  # sets differ in as many shingles at least
 
 
 def _sized(pairs: DataFrame, percent: int) -> DataFrame:
@@ -143,13 +157,14 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int,
     return materialise(shared.filter(100 * F.col("both").cast("long") >= percent * (F.col("n") - F.col("both")).cast("long")).select("u", "v"), "near")
 
 
-_TILE = np.dtype([("odd", np.uint64, (BITS // 64,)), ("size", np.int64), ("sid", np.int64), ("root", np.int64)])
+_TILE = np.dtype([("odd", np.uint64, (BITS // 64,)), ("whole", np.uint64, (BITS // 64,)), ("size", np.int64), ("sid", np.int64), ("root", np.int64)])
 
 
 def _tile(column: pa.Array, k: int) -> np.ndarray:
     fields = column[k].values
     out = np.zeros(len(fields), _TILE)
-    out["odd"] = fields.field("odd").flatten().to_numpy().view(np.uint64).reshape(out["odd"].shape)
+    for name in ("odd", "whole"):
+        out[name] = fields.field(name).flatten().to_numpy().view(np.uint64).reshape(out[name].shape)
     for name in ("size", "sid", "root"):
         out[name] = fields.field(name).to_numpy()
     return out
@@ -165,13 +180,16 @@ def tile_pairs(a: np.ndarray, b: np.ndarray, percent: int, own: bool) -> Iterato
         i, j = np.nonzero(may)
         if own:
             i, j = i[i + k < j], j[i + k < j]
+        least = np.concatenate([np.bitwise_count(some["whole"][i[q : q + 65536]] ^ b["whole"][j[q : q + 65536]]).sum(1, np.int64) for q in range(0, len(i), 65536)] or [np.zeros(0, np.int64)])
+        may = (100 + percent) * least <= (100 - percent) * (some["size"][i] + b["size"][j])  # sets differ in as many shingles at least
+        i, j = i[may], j[may]
         yield i + k, j, bits[i, j]
 
 
 def _open_pairs(keys: DataFrame, sets: DataFrame, percent: int, tile_rows: int, nearest: bool) -> DataFrame:
     """(u, v, bits) of candidates in different components, written. ``keys`` (key, sid) of values that several sets share; ``sets`` with their root. ``nearest``: of each task's pairs only those that are the nearest of either set."""
     width = float(np.log(100 / percent * (1 + 1e-6)))
-    placed = keys.join(sets.select("sid", "root", "size", "odd"), "sid").withColumn("c", F.floor(F.log(F.col("size").cast("double")) / width).cast("int"))
+    placed = keys.join(sets.select("sid", "root", "size", "odd", "whole"), "sid").withColumn("c", F.floor(F.log(F.col("size").cast("double")) / width).cast("int"))
     roots = placed.groupBy("key").agg((F.min("root") != F.max("root")).alias("open")).filter("open").select("key")
     placed = materialise(placed.join(materialise(roots, "open"), "key", "left_semi"), "placed")
     # The members of a component with many sets of a value are tiles of their own, which need not meet each other; the rest share tiles.
@@ -219,8 +237,8 @@ def _groups(base: DataFrame, percent: int, shingle: int, tile_rows: int) -> tupl
     made = materialise(sketches(texts, shingle), "sketches")
     same = ["size", "d0", "d1"]
     rep = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")).alias("rep")
-    sets = made.filter("size > 0").groupBy(*same).agg(rep, F.first("odd").alias("odd"), F.first("bands").alias("bands"))
-    sets = materialise(sets.withColumn("sid", F.monotonically_increasing_id()).select("sid", *same, "odd", "bands", F.col("rep.doc_id").alias("doc_id"), F.col("rep.at").alias("at"), F.col("rep.no_id").alias("no_id")), "sets")
+    sets = made.filter("size > 0").groupBy(*same).agg(rep, F.first("odd").alias("odd"), F.first("whole").alias("whole"), F.first("bands").alias("bands"))
+    sets = materialise(sets.withColumn("sid", F.monotonically_increasing_id()).select("sid", *same, "odd", "whole", "bands", F.col("rep.doc_id").alias("doc_id"), F.col("rep.at").alias("at"), F.col("rep.no_id").alias("no_id")), "sets")
     rows = made.select("at", "doc_id", *same).join(sets.select(*same, "sid"), same, "left").select("at", "doc_id", "size", "sid")
 
     # Values that several sets share, with the least of them: from the first of these on, sets without a candidate are left alone.
@@ -230,9 +248,9 @@ def _groups(base: DataFrame, percent: int, shingle: int, tile_rows: int) -> tupl
 
     def rooted(edges: DataFrame) -> DataFrame:
         roots = connect(edges).select(F.col("node").alias("sid"), "root")
-        return materialise(sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")).select("sid", "root", "size", "odd", "doc_id", "no_id", "at"), "rooted")
+        return materialise(sets.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")).select("sid", "root", "size", "odd", "whole", "doc_id", "no_id", "at"), "rooted")
 
-    side = lambda s, x: s.select(F.col("sid").alias(x), F.col("odd").alias(f"{x}o"), F.col("size").alias(f"{x}s"), *([F.col("root").alias(f"{x}r")] if "root" in s.columns else []))
+    side = lambda s, x: s.select(F.col("sid").alias(x), F.col("odd").alias(f"{x}o"), F.col("whole").alias(f"{x}w"), F.col("size").alias(f"{x}s"), *([F.col("root").alias(f"{x}r")] if "root" in s.columns else []))
     stars = keys.filter("sid > least").select(F.col("sid").alias("u"), F.col("least").alias("v")).distinct()
     stars = materialise(_near(stars.join(side(sets, "u"), "u").join(side(sets, "v"), "v"), percent).select("u", "v", "bits"), "stars")
     near = verified(_nearest(stars), sets, texts, shingle, percent)
