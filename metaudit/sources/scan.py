@@ -195,6 +195,8 @@ def read_pixels(data: bytes | Window, vrs: dict[str, str] | None = None) -> tupl
         else:
             items.append({"offset": at - first, "length": size})
         at += 8 + size
+    else:
+        raise ValueError("the file ends before the last fragment does")
     return True, True, None, table or [], items
 
 
