@@ -3,12 +3,16 @@
 Base spans are emails, ip addresses, card and phone numbers. Their values are the protected entities, and
 so are the parts that several values share: a mail domain, the first three numbers of an ip address, the
 first six digits of a card, the first four of a phone. All terms of a document that holds an entity are
-candidates, at any distance from it; over all documents of the corpus, the pointwise mutual information of term and entity, divided by the entity's information content, estimates
-how much of the entity the term reveals (1: the term occurs with that entity alone). The entity's
-probability given the term is smoothed: ``support`` documents in which the term says nothing about the
-entity are added to those seen, so a pair that was seen once counts, but for less than one seen often.
-Terms that reach the lower threshold are generalised wherever they occur in the entity's documents, those
-that reach the upper one are removed.
+candidates, at any distance from it. Over all documents of the corpus the pointwise mutual information of
+term and entity says how much of the entity's information content the term gives away, that is, how many
+bits are left to guess. What counts is the lower confidence bound of that information (Wilson's bound on
+the entity's probability given the term), so that a term which was seen once, and so comes with that
+document's entities by chance, proves nothing at any corpus size. An entity's information counts up to
+``bits``: the threshold then asks for the same evidence in small and large corpora, while an entity that
+many documents hold (a hot mail domain) asks for more. Terms that reach the lower threshold are generalised
+wherever they occur in the entity's documents, those that reach the upper one are removed. Copies of a
+document count as documents, so the words that only they have look as if they revealed what copies share:
+drop copies first.
 
 All counts are of documents and of what lies outside base spans. A document gives a pair for each of its
 different terms and entities; documents without entities are only counted.
@@ -154,14 +158,15 @@ def places(found: DataFrame) -> DataFrame:
     return found.select("uid", F.explode(bound(_outside(F.col("text"), F.col("base")), placed)).alias("p")).select("uid", "p.*")
 
 
-def disclosure(n_ct: Column, total: int, support: int) -> Column:
-    """Share of an entity's information that a term gives away, from the documents with both (n_ct), the entity (n_c) and the term (n_t)."""
-    usual = F.col("n_c") / total
-    given = (n_ct + support * usual) / (F.col("n_t") + support)
-    return F.log2(given / usual) / -F.log2(usual)
+def disclosure(n_ct: Column, total: int, z: float, bits: float, n_c: Column | None = None) -> Column:
+    """Share of an entity's information that a term gives away for sure (``z`` deviations), from the documents with both (n_ct), the entity (n_c) and the term (n_t): 1 less the bits left to guess over the entity's bits, or over ``bits`` where it has more."""
+    n_t, usual = F.col("n_t"), (F.col("n_c") if n_c is None else n_c) / max(total, 2)  # one document or none has no entities that count
+    given, z2 = n_ct / n_t, z * z
+    least = (given + z2 / (2 * n_t) - z * F.sqrt(given * (1 - given) / n_t + z2 / (4 * n_t * n_t))) / (1 + z2 / n_t)
+    return 1 + F.log2(least) / F.least(-F.log2(usual), F.lit(bits))
 
 
-def revealing(docs: DataFrame, held: DataFrame, around: DataFrame, total: int, support: int, least: float) -> DataFrame:
+def revealing(docs: DataFrame, held: DataFrame, around: DataFrame, total: int, z: float, bits: float, least: float) -> DataFrame:
     """(uid, term, reveals) for the pairs of ``held`` (uid, entity) and ``around`` (uid, term) that reach ``least``."""
     plain = docs.select(text_or_empty().alias("text")).filter(F.size(base_spans(F.col("text"))) == 0)
     words = plain.select(F.explode(F.array_distinct(F.transform(_terms(F.col("text")), F.lower))).alias("term")).unionByName(around.select("term"))
@@ -169,18 +174,19 @@ def revealing(docs: DataFrame, held: DataFrame, around: DataFrame, total: int, s
     n_c = held.groupBy("entity").agg(F.count("*").alias("n_c")).filter(F.col("n_c") < total)
     # Terms and an entity of one document meet once, so all such entities of a document are disclosed alike: that is decided by term.
     counted = materialise(held.join(n_c, "entity"), "counted")
-    lone = counted.filter("n_c = 1").select("uid", "n_c").distinct()
+    lone = counted.filter("n_c = 1").select("uid").distinct()
     near = materialise(around.join(n_t, "term"), "near")
-    alone = near.join(lone, "uid").select("uid", "term", disclosure(F.lit(1), total, support).alias("reveals")).filter(F.col("reveals") >= least)
+    once = near.select("uid", "term", disclosure(F.lit(1), total, z, bits, F.lit(1)).alias("reveals")).filter(F.col("reveals") >= least)
+    alone = once.join(lone, "uid").select("uid", "term", "reveals")
     # A pair occurs n_c or n_t times at most; what cannot reach the threshold with that is not counted.
-    most = disclosure(F.least("n_c", "n_t"), total, support)
+    most = disclosure(F.least("n_c", "n_t"), total, z, bits)
     shared = materialise(near.join(counted.filter("n_c > 1"), "uid").filter(most >= least), "pairs")
     n_ct = shared.groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct"))
-    met = n_ct.select("entity", "term", disclosure(F.col("n_ct"), total, support).alias("reveals")).filter(F.col("reveals") >= least)
+    met = n_ct.select("entity", "term", disclosure(F.col("n_ct"), total, z, bits).alias("reveals")).filter(F.col("reveals") >= least)
     return alone.unionByName(shared.join(met, ["entity", "term"]).select("uid", "term", "reveals"))
 
 
-def find_personal_data(docs: DataFrame, support: int = 3, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
+def find_personal_data(docs: DataFrame, z: float = 1.96, bits: float = 4.0, generalise_at: float = 0.6, remove_at: float = 0.9) -> DataFrame:
     """(doc_id, text, base, added), one row a document: ``base`` and ``added`` are arrays of spans; added kinds are 4 (generalise) and 5 (remove). ``text`` is null where there is no span."""
     rows = docs.select(F.col("doc_id").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
@@ -189,7 +195,7 @@ def find_personal_data(docs: DataFrame, support: int = 3, generalise_at: float =
     holders = rows.filter("text IS NOT NULL")
     held = materialise(holders.select("uid", F.explode(F.array_distinct(F.flatten(F.transform("base", entities)))).alias("entity")), "held")
     kind = F.when(F.max("reveals") >= remove_at, F.lit(5)).otherwise(F.lit(4))
-    marked = revealing(docs, held, candidates(holders), rows.count(), support, generalise_at).groupBy("uid", "term").agg(kind.alias("kind"))
+    marked = revealing(docs, held, candidates(holders), rows.count(), z, bits, generalise_at).groupBy("uid", "term").agg(kind.alias("kind"))
     span = F.struct("start", "kind", "end", F.lit(None).cast("string").alias("value"))
     added = places(holders).join(marked, ["uid", "term"]).groupBy("uid").agg(F.array_sort(F.collect_list(span)).alias("added"))
     return rows.join(added, "uid", "left").select("doc_id", "text", "base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")).alias("added"))

@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import regex
 from pyspark.sql import functions as F
 
@@ -245,7 +246,7 @@ def test_language_model_score(spark, tmp_path):
 # --- personal data
 
 
-def plain_added(texts, support=3, generalise=0.6, remove=0.9):
+def plain_added(texts, dev=1.96, bits=4.0, generalise=0.6, remove=0.9):
     """{text number: spans added by the method}"""
     term = regex.compile(r"[\p{L}\p{N}][\p{L}\p{N}'’-]*[\p{L}\p{N}]")
     held, terms, places = [], [], []
@@ -271,8 +272,9 @@ def plain_added(texts, support=3, generalise=0.6, remove=0.9):
             if n_c[c] == total:
                 continue
             for w in t:
-                given = (n_ct[c, w] + support * usual) / (n_t[w] + support)
-                kinds[w] = max(kinds.get(w, 0), math.log2(given / usual) / -math.log2(usual))
+                given, n = n_ct[c, w] / n_t[w], n_t[w]
+                low = (given + dev**2 / (2 * n) - dev * math.sqrt(given * (1 - given) / n + dev**2 / (4 * n * n))) / (1 + dev**2 / n)
+                kinds[w] = max(kinds.get(w, -math.inf), 1 + math.log2(low) / min(-math.log2(usual), bits))
         out[k] = sorted((a, 5 if kinds[w] >= remove else 4, z) for a, z, w in places[k] if kinds.get(w, 0) >= generalise)
     return out
 
@@ -286,7 +288,7 @@ def test_added_spans(spark):
         who = rng.randint(0, 25)
         if rng.random() < 0.5:
             w.insert(0, f"Name{who}")
-            w.append(rng.choice([f"u{who}@d{who % 4}.org", f"10.0.{who}.7", "4111 1111 1111 1111", f"+49 170 12345{who:02d}"]))
+            w.append(f"u{who}@d{who % 4}.org" if who < 13 else rng.choice([f"10.0.{who}.7", "4111 1111 1111 1111", f"+49 170 12345{who:02d}"]))
             w.append(rng.choice(["", f"and x{k}@d1.org", "10.0.0.1-Zed"]))
         elif rng.random() < 0.2:
             w.append(f"Name{who}")
@@ -297,6 +299,31 @@ def test_added_spans(spark):
     assert got == want and sum(map(len, want.values())) > 100 and {k for v in want.values() for _, k, _ in v} == {4, 5}
 
 
+def planted(documents, people=20, seed=5):
+    """Texts of which each person's address stands in four; a code name stands in the same four, beside ordinary words of any frequency, rare ones too."""
+    rng = random.Random(seed)
+    texts = [[f"w{int(rng.paretovariate(0.6))}" for _ in range(30)] + [f"only{k}x{j}" for j in range(3)] for k in range(documents)]
+    for k, d in enumerate(rng.sample(range(documents), 4 * people)):
+        texts[d] += [f"Code{k // 4}name", f"p{k // 4}@shared.org" if k // 4 % 2 else f"p{k // 4}@own{k // 4}.org"]
+    for k in rng.sample(range(documents), documents // 20):
+        texts[k].append(f"q{k}@shared.org")
+    for t in texts:
+        rng.shuffle(t)
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("documents", [500, 10_000])
+def test_planted_terms_at_two_corpus_sizes(spark, documents):
+    """All code names are found and few ordinary words, whatever the size of the corpus."""
+    texts = planted(documents)
+    got = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).filter("size(added) > 0").collect()
+    marked = [r["text"][s["start"] : s["end"]] for r in got for s in r["added"]]
+    right = sum(m.startswith("Code") for m in marked)
+    words = sum(len(r.split()) for r in texts if "@" in r)
+    print(f"{documents} documents: {right} of 80 places of planted terms, {len(marked) - right} of {words} other words beside addresses")
+    assert right == 80 and len(marked) - right <= 8
+
+
 # --- near copies
 
 

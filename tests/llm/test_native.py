@@ -185,24 +185,24 @@ def test_base_spans(spark):
 def test_revealing_terms(spark):
     """A name that only comes with one address is marked there; common words are not."""
     rows = [(k, f"text number {k} that Zorblax wrote to boss@corp.com about work {k}") for k in range(6)] + [(100 + k, f"text {k} that someone wrote about work, mail u{k}@corp.com") for k in range(60)]
-    got = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string"), support=3).collect()}
+    got = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     for k in range(6):
         assert "Zorblax" not in got[k]["text"] and "boss@corp.com" not in got[k]["text"] and "wrote" in got[k]["text"] and "[EMAIL]" in got[k]["text"]
     assert got[101]["text"] == "text 1 that someone wrote about work, mail [EMAIL]"
 
 
 def test_entities_of_one_text_and_parts_of_many(spark):
-    """A name beside an address that occurs once counts, less than one that comes with all addresses of a domain."""
+    """A name beside an address that occurs once proves nothing; one that comes with all addresses of a domain does."""
     rows = [(0, "ask Zorblax at boss@corp.com about work")] + [(k, f"ask Umbrella staff at u{k}@umbrella.org about work") for k in range(1, 41)] + [(k, "ask them about work at any time, staff") for k in range(41, 3000)]
     got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     marked = lambda k: [(rows[k][1][s["start"] : s["end"]], s["kind"]) for s in got[k]["added"]]
-    assert marked(0) == [("Zorblax", 4)] and marked(7) == [("Umbrella", 5)] and marked(50) == []
+    assert marked(0) == [] and marked(7) == [("Umbrella", 5)] and marked(50) == []
 
 
 def test_terms_at_any_distance(spark):
     """A name far from the address is marked at each place; one that also occurs elsewhere tells less; blanks keep places beside overlapping and long spans."""
     far = "Zorblax wrote 1.2.3.4-Zorblax é😀 " + "and then he wrote " * 400 + "to boss@corp.com +1 (736) 555-2678 " + "and then he wrote " * 400 + "ZORBLAX"
-    rows = [(0, far)] + [(k, "and then he wrote to Quux") for k in range(1, 2000)]
+    rows = [(0, far)] + [(k, "then Zorblax wrote to boss@corp.com") for k in range(1, 4)] + [(k, "and then he wrote to Quux") for k in range(4, 2000)]
     r = next(r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() if r["doc_id"] == 0)
     assert [far[s["start"] : s["end"]] for s in r["added"]] == ["Zorblax", "Zorblax", "ZORBLAX"]
 
