@@ -8,10 +8,13 @@ leaks an item if it holds at least 0.8 of the item's windows. A window of fewer
 too little as a template: it only meets windows with the same values.
 
 Before that, documents that cannot leak are set aside without loss: who holds 0.8 of an item's windows
-holds one of any set of more than 0.2 of them, so it has all literal words of one window of such a set,
-the longest one (its anchor) among them. Documents and anchors meet by an equi-join on words, so the cost of
-a document does not grow with the benchmark; what a window does that many documents share with many items
-is a pair for each, which the comparison needs.
+holds one of any set of more than 0.2 of them, so it has all literal words of one window of such a set, the
+rarest of these words (the window's anchor) among them. Of each item the windows with the rarest anchors are
+taken, by how many documents have the word; a window with a word that no document has needs no look at all.
+Documents and anchors meet by an equi-join on words, and windows are compared for the pairs of document and
+item that met so, not for all items that share a window. The cost of a document thus grows with the items
+that it shares a rare word with, not with the benchmark; only where all words of an item are common does it
+meet many documents.
 
 Defined results: a null or empty text has no tokens and leaks nothing; an item without tokens never
 matches; an item of fewer than five tokens is one window of its length; of an item made of placeholders
@@ -101,33 +104,55 @@ def item_windows(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     return found, [r[0] for r in found.select("size").distinct().collect()]  # of 1 to 5
 
 
-def anchors(items: DataFrame) -> DataFrame:
-    """(anchor, words): of each item as many windows as a leaking document cannot all miss, those with the longest words. Values in a key are words that the document must have."""
-    keys = items.select("item_id", "n", "key").distinct()
+def key_words(items: DataFrame) -> DataFrame:
+    """(item_id, n, key, words): the different windows of each item, with the words that a document must have for them. Values in a key are such words."""
     literal = F.filter(F.split("key", " "), lambda w: ~w.isin(NUMBER, UNIT, NAME))
     words = F.array_distinct(F.filter(F.flatten(F.transform(literal, _plain_words)), lambda w: w != ""))
-    sized = keys.select("item_id", "n", words.alias("words")).select("item_id", "n", "words", F.array_max(F.transform("words", lambda w: F.struct(F.length(w).alias("l"), w.alias("w")))).alias("longest"))
+    return items.select("item_id", "n", "key").distinct().select("item_id", "n", "key", words.alias("words"))
+
+
+def document_counts(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(word, n_docs) for the words of ``vocabulary`` that occur in ``rows`` (text); added up before the shuffle."""
+    words = rows.select(F.explode(F.array_distinct(_plain_words(F.col("text")))).alias("word"))
+    few = small(vocabulary)
+    if few is not vocabulary:
+        return words.join(few, "word").groupBy("word").agg(F.count("*").alias("n_docs"))
+    return words.groupBy("word").agg(F.count("*").alias("n_docs")).join(vocabulary, "word")
+
+
+def anchors(keys: DataFrame, counts: DataFrame) -> DataFrame:
+    """(item_id, anchor, words): of each item as many windows as a leaking document cannot all miss, those with the rarest words. Windows with a word that is in no document are left out; those without words have the anchor ''."""
+    rare = F.struct(F.coalesce("n_docs", F.lit(0)).alias("n_docs"), "word")
+    ranked = keys.select("item_id", "n", "key", "words", F.explode_outer("words").alias("word")).join(small(counts), "word", "left")
+    ranked = ranked.groupBy("item_id", "n", "key").agg(F.min(F.when(F.col("word").isNotNull(), rare)).alias("rarest"), F.first("words").alias("words"))
+    lone = F.struct(F.coalesce("rarest.n_docs", F.lit(2**62)).alias("n_docs"), F.coalesce("rarest.word", F.lit("")).alias("anchor"), "words")
     needed = F.floor(F.col("n") * (1 - SHARE) + 1e-9) + 1
-    ranked = sized.groupBy("item_id", "n").agg(F.reverse(F.array_sort(F.collect_list(F.struct("longest", "words")))).alias("l"))
-    return ranked.select(F.explode(F.slice("l", F.lit(1), needed.cast("int"))).alias("l")).select(F.col("l.longest.w").alias("anchor"), F.col("l.words").alias("words")).distinct()
+    taken = ranked.groupBy("item_id", "n").agg(F.array_sort(F.collect_list(lone)).alias("l"))
+    return taken.select("item_id", F.explode(F.slice("l", F.lit(1), needed.cast("int"))).alias("l")).filter("l.n_docs > 0").select("item_id", "l.anchor", "l.words")
 
 
 def compare(base: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(suspects, leaks) of located rows: suspects (uid, at, doc_id), leaks (uid, item_id, matched, windows); both written.
 
-    Texts are read three times, for ever fewer rows, and only words and windows of those that may leak are shuffled."""
+    Texts are read four times, twice for ever fewer rows, and only words and windows of those that may leak are shuffled."""
     rows = base.select("at", F.col("row.doc_id").alias("doc_id"), text_or_empty("row.text").alias("text"))
     items, sizes = item_windows(benchmark)
-    windows_of = materialise(anchors(items), "anchors")
+    keys = materialise(key_words(items), "keys")
+    counts = materialise(document_counts(rows, keys.select(F.explode("words").alias("word")).distinct()), "counts")
+    # A number stands for the words of a window: items that share it are looked up afterwards.
+    anchored = materialise(anchors(keys, counts).withColumn("words", F.array_sort("words")).withColumn("window", F.xxhash64("words")), "anchors")
+    windows_of = anchored.select("window", "anchor", "words").distinct()
     shortest = windows_of.agg(F.coalesce(F.min(F.length("anchor")), F.lit(0))).first()[0]
     # Which anchors a document has: an equi-join of its words that are no shorter than any anchor.
-    words = F.filter(F.array_distinct(_plain_words(F.col("text"))), lambda w: F.length(w) >= shortest)
+    words = F.filter(F.array_distinct(F.concat(_plain_words(F.col("text")), F.array(F.lit("")))), lambda w: F.length(w) >= shortest)
     met = materialise(rows.select("at", F.explode(words).alias("anchor")).join(small(windows_of.select("anchor").distinct()), "anchor"), "anchored")
     # Of those documents, the ones that have all words of a window whose anchor they have.
-    needed = met.join(windows_of, "anchor").groupBy("at").agg(F.collect_set("words").alias("needed"))
-    having = among(rows, met.select("at").distinct()).select("at", "doc_id", _plain_words(F.col("text")).alias("words")).join(needed, "at")
-    close = having.filter(F.exists("needed", lambda n: F.size(F.array_except(n, "words")) == 0)).select("at", "doc_id")
+    needed = met.join(windows_of, "anchor").groupBy("at").agg(F.collect_set(F.struct("window", "words")).alias("needed"))
+    having = among(rows, met.select("at").distinct()).select("at", "doc_id", _plain_words(F.col("text")).alias("have")).join(needed, "at")
+    whole = F.transform(F.filter("needed", lambda n: F.size(F.array_except(n["words"], "have")) == 0), lambda n: n["window"])
+    close = having.select("at", "doc_id", whole.alias("held")).filter(F.size("held") > 0)
     suspects = materialise(close.withColumn("uid", F.monotonically_increasing_id()), "suspects")
+    pairs = materialise(suspects.select("uid", F.explode("held").alias("window")).join(small(anchored.select("window", "item_id")), "window").select("uid", "item_id").distinct(), "candidates")
     found = tokenised(among(rows.select("at", "text"), suspects.select("at", "uid")), "uid", "suspect-tokens")
     held = None
     for size in sizes:
@@ -135,8 +160,14 @@ def compare(base: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
         held = part if held is None else held.unionByName(part)
     if held is None:
         return suspects, base.sparkSession.createDataFrame([], "uid bigint, item_id bigint, matched bigint, windows bigint")
+    known = items.select("size", "key").distinct()
+    few = small(known)
+    if few is not known:  # what no item has is not shuffled
+        held = held.join(few, ["size", "key"], "left_semi")
     values = lambda c: F.transform(F.split(c, " "), lambda v: F.when(v != "", v))
-    met = held.join(small(items), ["size", "key"]).select("uid", "item_id", "n", "key", (F.col("d_at") - F.col("at")).alias("shift"), F.arrays_zip(values("slots").alias("i"), values("d_slots").alias("d")).alias("slots"))
+    # Windows meet within a candidate pair: a window that many documents and items share is no key of its own.
+    asked = pairs.join(small(items), "item_id")
+    met = held.join(asked, ["uid", "size", "key"]).select("uid", "item_id", "n", "key", (F.col("d_at") - F.col("at")).alias("shift"), F.arrays_zip(values("slots").alias("i"), values("d_slots").alias("d")).alias("slots"))
     met = materialise(met, "met")
     slots = met.select("uid", "item_id", "shift", F.explode("slots").alias("s")).filter("s.i IS NOT NULL").groupBy("uid", "item_id", "shift", "s.i").agg((F.min("s.d") != F.max("s.d")).alias("bad"))
     bad = slots.filter("bad").select("uid", "item_id", "shift").distinct()

@@ -199,3 +199,17 @@ def test_terms_and_entities_of_one_text_make_no_pairs(spark, monkeypatch):
     docs = spark.createDataFrame([(0, text), *((k, f"plain w{k} words") for k in range(1, 200)), (300, "other u1@b1.co here")], "doc_id bigint, text string")
     assert pii.find_personal_data(docs).count() == 201
     assert made["pairs"].count() <= 3 * 2100 and time.time() - began < 60
+
+
+def test_common_words_and_windows_make_no_pairs(spark, monkeypatch):
+    """Documents that share a common word and a common passage with two thousand items meet only the items whose rare words they have; a very long one is read whole."""
+    made = {}
+    monkeypatch.setattr(decontaminate, "materialise", lambda df, label, f=common.materialise: made.setdefault(label, f(df, label)))
+    frame = "read the following extraordinarily long passage and then choose"
+    item = lambda k: f"{frame} alpha{k} beta{k} gamma{k} delta{k} one of them"
+    bench = spark.createDataFrame([(k, item(k)) for k in range(2000)], "item_id bigint, text string")
+    docs = [(k, f"{frame} something else {k}") for k in range(1500)] + [(1500 + k, f"{frame} alpha{k} {frame}") for k in range(50)]
+    docs += [(2000, item(7)), (2001, "filler words " * 100_000 + item(8)), (2002, None), (2000, item(7))]
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), bench).collect())
+    assert got == [(2000, 7), (2000, 7), (2001, 8)]
+    assert made["anchored"].count() <= 4 * 60 and made["candidates"].count() <= 60 and made["met"].count() <= 60 * 20
