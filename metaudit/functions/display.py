@@ -63,8 +63,18 @@ def action_gloss(action: Column) -> Column:
     return F.coalesce(_words(action, ACTION_GLOSS), action)
 
 
+def either(condition: Column, yes: str, no: str) -> Column:
+    return F.when(condition, F.lit(yes)).otherwise(F.lit(no))
+
+
+def filled(sentence: str, *parts: Column) -> Column:
+    """The sentence with each ``{}`` replaced by a column in turn; null if one of them is null."""
+    first, *others = sentence.split("{}")
+    return F.concat(F.lit(first), *[c for part, text in zip(parts, others, strict=True) for c in (part, F.lit(text))])
+
+
 def plural(n: Column, word: str) -> Column:
-    return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, F.lit("")).otherwise(F.lit("s")))
+    return F.concat(n.cast("string"), F.lit(f" {word}"), either(n == 1, "", "s"))
 
 
 def format_mm(mm: Column) -> Column:

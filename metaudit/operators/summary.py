@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.display import plural
+from ..functions.display import either, filled, plural
 from .checks import IDENTIFYING_KINDS
 from .classify import identifying
 
@@ -37,6 +37,22 @@ def burned_in_values(files: DataFrame, findings: DataFrame) -> DataFrame:
 #: Values that the sentence on burned-in annotation names at most; ``burned_in_values`` has all of them as rows.
 NAMED_VALUES = 100
 
+#: The sentences on burned-in annotation; each ``{}`` is filled in.
+BURNED_IN = {
+    "none": "No file declares burned-in annotation.",
+    "every": "All {} {} burned-in annotation: {}",
+    "listed": "Burned-in annotation: {}{}",
+    "clause": "{} {} {}",
+    "absent": "; {} {} not carry the field",
+}
+#: The lines of the headline.
+HEADLINE = (
+    "{} read across {} series",
+    "{} could identify a patient",
+    "{} identifying field{} not the same on every file",
+    "{} structural inconsistenc{} between files",
+)
+
 
 def burned_in_text(counts: DataFrame, most: int = NAMED_VALUES) -> DataFrame:
     """One row, (text): the counts in a sentence, most frequent value first. Beyond ``most`` values it says how many more there are, in how many files.
@@ -46,13 +62,14 @@ def burned_in_text(counts: DataFrame, most: int = NAMED_VALUES) -> DataFrame:
     first = counts.filter("value IS NOT NULL").orderBy(-n, value).limit(most).agg(F.array_sort(F.collect_list(F.struct((-n).alias("k"), "value", "n"))).alias("v"))
     total = counts.agg(F.coalesce(F.sum(F.when(value.isNull(), n)), F.lit(0)).alias("absent"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("value").alias("values"), F.coalesce(F.sum(F.when(value.isNotNull(), n)), F.lit(0)).alias("declared"))
     one = total.crossJoin(first)  # one row each
-    verb = lambda n: F.when(n == 1, F.lit("declares")).otherwise(F.lit("declare"))
-    clause = lambda x, i: F.concat(F.when(i == 0, plural(x["n"], "file")).otherwise(x["n"].cast("string")), F.lit(" "), verb(x["n"]), F.lit(" "), x["value"])
+    verb = lambda n: either(n == 1, "declares", "declare")
+    clause = lambda x, i: filled(BURNED_IN["clause"], F.when(i == 0, plural(x["n"], "file")).otherwise(x["n"].cast("string")), verb(x["n"]), x["value"])
     rest = F.col("declared") - F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    more = F.when(F.col("values") > most, F.concat(F.lit(", "), rest.cast("string"), F.lit(" "), verb(rest), F.lit(" one of "), plural(F.col("values") - most, "other value"))).otherwise(F.lit(""))
-    listed = F.concat(F.lit("Burned-in annotation: "), F.array_join(F.transform("v", clause), ", "), more, F.when(F.col("absent") > 0, F.concat(F.lit("; "), F.col("absent").cast("string"), F.when(F.col("absent") == 1, F.lit(" does")).otherwise(F.lit(" do")), F.lit(" not carry the field"))).otherwise(F.lit("")))
-    every = F.concat(F.lit("All "), plural(F.col("total"), "file"), F.lit(" "), verb(F.col("total")), F.lit(" burned-in annotation: "), F.get("v", F.lit(0))["value"])
-    return one.select(F.when(F.col("values") == 0, F.lit("No file declares burned-in annotation.")).when((F.col("values") == 1) & (F.col("absent") == 0), every).otherwise(listed).alias("text"))
+    more = F.when(F.col("values") > most, filled(", {} {} one of {}", rest.cast("string"), verb(rest), plural(F.col("values") - most, "other value"))).otherwise(F.lit(""))
+    absent = F.when(F.col("absent") > 0, filled(BURNED_IN["absent"], F.col("absent").cast("string"), either(F.col("absent") == 1, "does", "do"))).otherwise(F.lit(""))
+    listed = filled(BURNED_IN["listed"], F.array_join(F.transform("v", clause), ", "), F.concat(more, absent))
+    every = filled(BURNED_IN["every"], plural(F.col("total"), "file"), verb(F.col("total")), F.get("v", F.lit(0))["value"])
+    return one.select(F.when(F.col("values") == 0, F.lit(BURNED_IN["none"])).when((F.col("values") == 1) & (F.col("absent") == 0), every).otherwise(listed).alias("text"))
 
 
 def outcome_totals(outcomes: DataFrame) -> DataFrame:
@@ -80,12 +97,13 @@ def finding_counts(rows: DataFrame) -> DataFrame:
 def headline(counts: DataFrame) -> DataFrame:
     """(line_no, text) from one row (files, series, fields, not_consistent, structural); the last two lines only where they say something. The wording is fixed."""
     c = F.col
-    lines = F.array(
-        F.struct(F.lit(1).alias("line_no"), F.concat(plural(c("files"), "file"), F.lit(" read across "), c("series").cast("string"), F.lit(" series")).alias("text")),
-        F.struct(F.lit(2).alias("line_no"), F.concat(plural(c("fields"), "field"), F.lit(" could identify a patient")).alias("text")),
-        F.struct(F.lit(3).alias("line_no"), F.when(c("not_consistent") > 0, F.concat(c("not_consistent").cast("string"), F.lit(" identifying field"), F.when(c("not_consistent") == 1, F.lit(" is")).otherwise(F.lit("s are")), F.lit(" not the same on every file"))).alias("text")),
-        F.struct(F.lit(4).alias("line_no"), F.when(c("structural") > 0, F.concat(c("structural").cast("string"), F.lit(" structural inconsistenc"), F.when(c("structural") == 1, F.lit("y")).otherwise(F.lit("ies")), F.lit(" between files"))).alias("text")),
-    )
+    texts = (
+        filled(HEADLINE[0], plural(c("files"), "file"), c("series").cast("string")),
+        filled(HEADLINE[1], plural(c("fields"), "field")),
+        F.when(c("not_consistent") > 0, filled(HEADLINE[2], c("not_consistent").cast("string"), either(c("not_consistent") == 1, " is", "s are"))),
+        F.when(c("structural") > 0, filled(HEADLINE[3], c("structural").cast("string"), either(c("structural") == 1, "y", "ies"))),
+    )
+    lines = F.array(*[F.struct(F.lit(k).alias("line_no"), text.alias("text")) for k, text in enumerate(texts, 1)])
     return counts.select(F.explode(lines).alias("l")).select("l.*").filter("text IS NOT NULL")
 
 

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.display import format_mm, plural
+from ..functions.display import either, filled, format_mm, plural
+
+#: The sentence of each kind of finding; each ``{}`` is filled in.
+SENTENCES = {
+    "varying-value": "{} is not the same on every file",
+    "extra-field": "{} appears on {} of {} files only",
+    "position-gap": "A slice may be missing — {} mm between two slices where {} mm is expected",
+    "duplicate-position": "Two slices occupy the same position",
+    "inconsistent-pixel-spacing": "{} {} different pixel dimensions from the rest",
+    "inconsistent-orientation": "Slices in this series are not all in the same plane",
+    "inconsistent-identifier": "Slices in this series belong to different studies",
+    "mixed-modality, folder": "This folder holds more than one kind of scan — {}",
+    "mixed-modality, series": "This series contains {} from a different kind of scan — {} among {}",
+}
 
 
 def finding_words(facts: DataFrame) -> DataFrame:
@@ -14,18 +27,18 @@ def finding_words(facts: DataFrame) -> DataFrame:
     rest = F.slice("kinds", 2, 1_000_000)
     names = lambda a: F.transform(a, lambda k: k["modality"])
     others = F.aggregate(rest, F.lit(0).cast("bigint"), lambda a, k: a + k["n"])
-    folder = F.concat(F.lit("This folder holds more than one kind of scan — "), F.array_join(F.transform("kinds", lambda k: F.concat(k["modality"], F.lit(" ("), plural(k["n"], "file"), F.lit(")"))), ", "))
-    series = F.concat(F.lit("This series contains "), plural(others, "file"), F.lit(" from a different kind of scan — "), F.array_join(names(rest), " and "), F.lit(" among "), F.get("kinds", F.lit(0))["modality"])
-    words: Column = (
-        F.when(c("kind") == "varying-value", F.concat(c("name"), F.lit(" is not the same on every file")))
-        .when(c("kind") == "extra-field", F.concat(c("name"), F.lit(" appears on "), c("n_files").cast("string"), F.lit(" of "), c("n_series_files").cast("string"), F.lit(" files only")))
-        .when(c("kind") == "position-gap", F.concat(F.lit("A slice may be missing — "), format_mm(c("actual")), F.lit(" mm between two slices where "), format_mm(c("expected")), F.lit(" mm is expected")))
-        .when(c("kind") == "duplicate-position", F.lit("Two slices occupy the same position"))
-        .when(c("kind") == "inconsistent-pixel-spacing", F.concat(plural(c("n_files"), "file"), F.when(c("n_files") == 1, F.lit(" has")).otherwise(F.lit(" have")), F.lit(" different pixel dimensions from the rest")))
-        .when(c("kind") == "inconsistent-orientation", F.lit("Slices in this series are not all in the same plane"))
-        .when(c("kind") == "inconsistent-identifier", F.lit("Slices in this series belong to different studies"))
-        .when(c("kind") == "mixed-modality", F.when(c("scope") == "folder", folder).otherwise(series))
-    )
+    counted = F.array_join(F.transform("kinds", lambda k: F.concat(k["modality"], F.lit(" ("), plural(k["n"], "file"), F.lit(")"))), ", ")
+    parts = {
+        "varying-value": [c("name")],
+        "extra-field": [c("name"), c("n_files").cast("string"), c("n_series_files").cast("string")],
+        "position-gap": [format_mm(c("actual")), format_mm(c("expected"))],
+        "inconsistent-pixel-spacing": [plural(c("n_files"), "file"), either(c("n_files") == 1, "has", "have")],
+        "mixed-modality, folder": [counted],
+        "mixed-modality, series": [plural(others, "file"), F.array_join(names(rest), " and "), F.get("kinds", F.lit(0))["modality"]],
+    }
+    mixed = F.concat(F.lit("mixed-modality, "), either(c("scope") == "folder", "folder", "series"))
+    sentence = F.when(c("kind") == "mixed-modality", mixed).otherwise(c("kind"))
+    words = F.coalesce(*[F.when(sentence == kind, filled(text, *parts.get(kind, []))) for kind, text in SENTENCES.items()])
     return facts.withColumn("text", words)
 
 
