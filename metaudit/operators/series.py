@@ -6,6 +6,8 @@ for a task are sorted in parts (``ranking``). Where the order of input rows woul
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,10 +30,10 @@ INSTANCE_TAGS = {
 }
 
 
-def top_level(attributes: DataFrame, tags: dict[str, str]) -> DataFrame:
-    """One row a file with the top-level values of ``tags`` as columns; of a tag that repeats the last value counts."""
-    wanted = attributes.filter((F.col("depth") == 0) & F.col("tag").isin(*tags.values()))
-    return wanted.groupBy("file").agg(*[F.max_by(F.when(F.col("tag") == t, F.col("value")), F.when(F.col("tag") == t, F.col("pos"))).alias(c) for c, t in tags.items()])
+def top_level(attributes: DataFrame, tags: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """One row for every file with the top-level values of ``tags`` as columns; of a tag that repeats the last value counts. ``keys`` are columns that all rows of a file share: attributes that lie by one of them stay where they are."""
+    is_ = lambda t: (F.col("depth") == 0) & (F.col("tag") == t)
+    return attributes.groupBy(*keys, "file").agg(*[F.max_by(F.when(is_(t), F.col("value")), F.when(is_(t), F.col("pos"))).alias(c) for c, t in tags.items()]).drop(*keys)
 
 
 def keyed(scanned: DataFrame) -> DataFrame:
@@ -40,9 +42,9 @@ def keyed(scanned: DataFrame) -> DataFrame:
     return scanned.withColumns({"study": value(INSTANCE_TAGS["study"]), "series": value(INSTANCE_TAGS["series"])})
 
 
-def instances(attributes: DataFrame) -> DataFrame:
-    """The instance view: a row for every file of ``attributes``, numbers parsed. Geometry with a wrong number of readable values counts as absent and sets ``malformed_geometry``."""
-    wide = attributes.select("file").distinct().join(top_level(attributes, INSTANCE_TAGS), "file", "left")
+def instances(attributes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The instance view: a row for every file of ``attributes``, numbers parsed. Geometry with a wrong number of readable values counts as absent and sets ``malformed_geometry``. ``keys`` are those of ``top_level``."""
+    wide = top_level(attributes, INSTANCE_TAGS, keys)
     orientation, position = numbers(F.col("orientation"), 6), numbers(F.col("position"), 3)
     malformed = (F.col("orientation").isNotNull() & orientation.isNull()) | (F.col("position").isNotNull() & position.isNull())
     return wide.select(
@@ -140,8 +142,17 @@ def most_common(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counts.groupBy(*keys).agg(best.alias(value))
 
 
+def declared_numbers(ordered: DataFrame) -> DataFrame:
+    """(study, series, series_number): of ``series_table`` what labels need."""
+    return ordered.groupBy("study", "series").agg(_declared_number())
+
+
+def _declared_number() -> Column:
+    return F.min_by("series_number", F.when(F.col("series_number").isNotNull(), F.col("ordinal"))).alias("series_number")
+
+
 def series_table(ordered: DataFrame) -> DataFrame:
     """One row a series: size, how it is ordered, its most common modality and description, and the number declared by its first file that has one."""
     keys = ["study", "series"]
-    base = ordered.groupBy(*keys).agg(F.count("*").alias("n_files"), F.first("ordered_by").alias("ordered_by"), F.first("orientation_consistent").alias("orientation_consistent"), F.min_by("series_number", F.when(F.col("series_number").isNotNull(), F.col("ordinal"))).alias("series_number"))
+    base = ordered.groupBy(*keys).agg(F.count("*").alias("n_files"), F.first("ordered_by").alias("ordered_by"), F.first("orientation_consistent").alias("orientation_consistent"), _declared_number())
     return base.join(most_common(ordered, keys, "modality"), keys).join(most_common(ordered, keys, "description"), keys)
