@@ -20,7 +20,7 @@ MOST_ENTRIES = 100_000
 PER_INSTANCE_TAGS = ("00080018", "00080013", "00080032", "00080033", "0008002a", "00200012", "00201041", "00020003")
 
 
-def _entries(table: DataFrame) -> DataFrame:
+def entries(table: DataFrame) -> DataFrame:
     """A table of a standard's entries, sent to every task if it has ``MOST_ENTRIES`` at most: attributes have few tags, so a shuffle by tag would gather them in few tasks."""
     return F.broadcast(table) if table.limit(MOST_ENTRIES + 1).count() <= MOST_ENTRIES else table
 
@@ -51,7 +51,7 @@ def classify(attributes: DataFrame, profile: DataFrame, patterns: DataFrame) ->
     Burned-in annotation comes first, then private tags, then the profile: an exact row wins over a mask even if its
     action is null. What the profile does not list is no finding."""
     exact = profile.select("tag", F.col("action").alias("_action"), F.lit(True).alias("_exact"))
-    joined = attributes.join(_entries(exact), "tag", "left").withColumn("_mask", F.when(F.col("_exact").isNull(), first_mask(F.col("tag"), patterns.select("ordinal", "mask", "action"))))
+    joined = attributes.join(entries(exact), "tag", "left").withColumn("_mask", F.when(F.col("_exact").isNull(), first_mask(F.col("tag"), patterns.select("ordinal", "mask", "action"))))
     kind = F.when(F.col("tag") == BURNED_IN, "burned-in").when(is_private(F.col("tag")), "private").when(F.col("_exact") | F.col("_mask").isNotNull(), "annex-e")
     found = joined.withColumn("kind", kind).filter("kind IS NOT NULL")
     return found.select(*attributes.columns, "kind", F.when(F.col("kind") == "annex-e", F.coalesce("_action", "_mask.action")).alias("action"))
@@ -60,7 +60,7 @@ def classify(attributes: DataFrame, profile: DataFrame, patterns: DataFrame) ->
 def name_fields(attributes: DataFrame, dictionary: DataFrame, patterns: DataFrame) -> DataFrame:
     """``attributes`` with ``name`` and ``listed_vr``: none for private tags, else those of the exact entry, the first mask, or "Group Length" and UL for element 0000."""
     exact = dictionary.select("tag", F.struct("name", "vr").alias("_exact"))
-    joined = attributes.drop("name").join(_entries(exact), "tag", "left")
+    joined = attributes.drop("name").join(entries(exact), "tag", "left")
     mask = first_mask(F.col("tag"), patterns.select("ordinal", "mask", "name", "vr"))
     group_length = F.when(F.endswith("tag", F.lit("0000")), F.struct(F.lit("Group Length").alias("name"), F.lit("UL").alias("vr")))
     entry = F.when(~is_private(F.col("tag")), F.coalesce("_exact", F.when(mask.isNotNull(), F.struct(mask["name"].alias("name"), mask["vr"].alias("vr"))), group_length))
