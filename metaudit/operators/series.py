@@ -121,18 +121,19 @@ def _by_parts(files: DataFrame) -> DataFrame:
     about = written(about, "large-about")
     agree = files.join(about.select(*keys, "_first"), keys).groupBy(*keys).agg(_agrees().alias("orientation_consistent"))
     ladder = files.join(about.join(agree, keys), keys).withColumn("_normal", slice_normal(F.col("_first")))
-    parts = sorted_parts(_placed(ladder).withColumn("_key", _order_key()), keys, ["_key", "file"], "large-parts")
+    parts = sorted_parts(_placed(ladder).withColumn("_key", order_key()), keys, ["_key", "file"], "large-parts")
     ranked = carried(parts, keys, {"ordinal": (F.lit(1), SUM)}).withColumn("ordinal", (F.col("ordinal") - 1).cast("int"))
     return ranked.drop("_first", "_normal", "_geometry", "_numbered", "_key", "_part", "_at")
 
 
-def _order_key() -> Column:
+def order_key() -> Column:
+    """What a series is sorted by before the file, by its ``ordered_by``."""
     return F.when(F.col("ordered_by") == "position", F.col("distance")).when(F.col("ordered_by") == "instance-number", F.col("instance_number"))
 
 
 def with_ordinal(placed: DataFrame) -> DataFrame:
     """``ordinal`` (from 0) within a series by the key that ``ordered_by`` names, then the file."""
-    return placed.withColumn("ordinal", F.row_number().over(Window.partitionBy("study", "series").orderBy(_order_key(), "file")) - 1)
+    return placed.withColumn("ordinal", F.row_number().over(Window.partitionBy("study", "series").orderBy(order_key(), "file")) - 1)
 
 
 def most_common(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
