@@ -266,8 +266,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def row_outliers(files: Column, tolerance: float, kept: Sequence[str]) -> Column:
-    """Of an array of files with spacings (first, row, col, read), in order, those whose spacing is not that of most: with the columns ``kept``, ``most`` and ``own``."""
+def _small_series(have: DataFrame, tolerance: float) -> DataFrame:
+    """The outliers, with ``own`` and ``most``, of series of few files: each series is a row, and no table meets another."""
 
     def close(a: Column, b: Column) -> Column:
         return (F.abs(a["row"] - b["row"]) <= tolerance) & (F.abs(a["col"] - b["col"]) <= tolerance)
@@ -281,7 +281,7 @@ def row_outliers(files: Column, tolerance: float, kept: Sequence[str]) -> Column
 
     def owned(files: Column, leads: Column) -> Column:
         own = lambda x: F.when(x["read"], F.get(F.filter(leads, lambda g: close(g, x)), F.lit(0))).otherwise(spacing(x))
-        return F.transform(files, lambda x: F.struct(*[x[c].alias(c) for c in kept], x["read"].alias("read"), own(x).alias("own")))
+        return F.transform(files, lambda x: F.struct(x["file"].alias("file"), x["ordinal"].alias("ordinal"), x["read"].alias("read"), own(x).alias("own")))
 
     def most(leads: Column, owned: Column) -> Column:
         group = lambda n, g: F.struct(n.alias("n"), g["row"].alias("row"), g["col"].alias("col"), g["first"].alias("first"))
@@ -289,16 +289,11 @@ def row_outliers(files: Column, tolerance: float, kept: Sequence[str]) -> Column
         return F.array_min(F.concat(counted, F.transform(F.filter(owned, lambda o: ~o["read"]), lambda o: group(F.lit(-1), o["own"]))))
 
     def outliers(owned: Column, most: Column) -> Column:
-        return F.transform(F.filter(owned, lambda o: o["own"]["first"] != most["first"]), lambda o: F.struct(*[o[c].alias(c) for c in kept], most.alias("most"), o["own"].alias("own")))
-
-    return let(leads(files), lambda g: let(owned(files, g), lambda o: let(most(g, o), lambda m: outliers(o, m))))
+        return F.transform(F.filter(owned, lambda o: o["own"]["first"] != most["first"]), lambda o: F.struct(o["file"].alias("file"), o["ordinal"].alias("ordinal"), most.alias("most"), o["own"].alias("own")))
 
-
-def _small_series(have: DataFrame, tolerance: float) -> DataFrame:
-    """The outliers, with ``own`` and ``most``, of series of few files: each series is a row, and no table meets another."""
     one = F.struct(F.col("ordinal").cast("bigint").alias("first"), "row", "col", "read", "file", "ordinal")
     series = have.groupBy(*SERIES).agg(F.collect_list(one).alias("_files"))
-    found = let(F.sort_array("_files"), lambda files: row_outliers(files, tolerance, ("file", "ordinal")))
+    found = let(F.sort_array("_files"), lambda files: let(leads(files), lambda g: let(owned(files, g), lambda o: let(most(g, o), lambda m: outliers(o, m)))))
     return series.select(*SERIES, F.explode(found).alias("f")).select(*SERIES, "f.*")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,13 +49,19 @@ def audit_folder(spark: SparkSession, root: str, profile: DataFrame, patterns: D
     return audit_rows(scanning.outcomes(scanned), scanning.attributes(scanned), profile, patterns, dictionary, dictionary_patterns)
 
 
-def series_labels(series_rows: DataFrame) -> DataFrame:
-    """(study, series, position, label): the declared number, or else the position in the sorted list.
+#: Series that a part of the sorted list holds.
+PART_SERIES = 1 << 15
+
+
+def series_labels(series_rows: DataFrame, kept: Sequence[str] = ()) -> DataFrame:
+    """(study, series, position, label): the declared number, or else the position in the sorted list. Columns ``kept`` go along.
 
     Positions come from counts of sorted partitions, not from a window over all series."""
-    placed = series_rows.select("study", "series", "series_number").orderBy("study", "series")
+    parts = max(series_rows.sparkSession.sparkContext.defaultParallelism, -(-series_rows.count() // PART_SERIES)) if kept else None
+    placed = series_rows.select("study", "series", "series_number", *kept)
+    placed = placed.orderBy("study", "series") if parts is None else placed.repartitionByRange(parts, "study", "series").sortWithinPartitions("study", "series")
     placed = written(placed.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "labels")
     counts = placed.groupBy("_part").count()
     before = counts.alias("a").join(counts.alias("b"), F.col("b._part") < F.col("a._part"), "left").groupBy(F.col("a._part").alias("_part")).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("_before"))  # a row a partition
     position = F.col("_before") + F.col("_at") + 1
-    return placed.join(F.broadcast(before), "_part").select("study", "series", position.alias("position"), F.coalesce("series_number", position.cast("string")).alias("label"))
+    return placed.join(F.broadcast(before), "_part").select("study", "series", position.alias("position"), F.coalesce("series_number", position.cast("string")).alias("label"), *kept)
